@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference reads only bounded tables and frames; it has no watermark,
+streaming window, state or late-data logic, so there is nothing to build
+here. Every operator in this library is a batch DataFrame function.
+"""
