@@ -136,13 +136,13 @@ def loose_date(col: ColumnOrName, strict: bool = False) -> Column:
     month = F.when(n == 6, F.substring(c, 6, 1)).when(n.isin(7, 10), F.substring(c, 6, 2))
     day = F.when(n == 10, F.substring(c, 9, 2)).otherwise(F.lit("1"))
     text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    parsed = F.to_date(text, "yyyy-MM-dd") if strict else F.try_to_date(text, F.lit("yyyy-MM-dd"))
+    parsed = F.to_date(text, "yyyy-MM-dd") if strict else F.try_to_date(text, "yyyy-MM-dd")
     return F.when(n.isin(6, 7, 10), parsed)
 
 
 def try_date(col: ColumnOrName, fmt: str = "yyyy-MM-dd") -> Column:
     """Parse text to date; invalid -> null. Dates and timestamps pass through as dates."""
-    return F.try_to_date(_c(col).cast("string"), F.lit(fmt))
+    return F.try_to_date(_c(col).cast("string"), fmt)
 
 
 def add_months(ts: ColumnOrName, months: int) -> Column:
@@ -218,7 +218,7 @@ def json_scalar(col: ColumnOrName, key: str, strict: bool = False) -> Column:
     """
     doc = F.parse_json(_c(col)) if strict else F.try_parse_json(_c(col))
     path = f"$.{key}"
-    value = F.try_variant_get(doc, path)
+    value = F.try_variant_get(doc, path, "variant")
     kind = F.schema_of_variant(value)
     nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     return F.when(~nested | kind.isNull(), F.try_variant_get(doc, path, "string"))

@@ -12,6 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loanlens.operators import delinquency as dq
+from loanlens.operators import profile as pf
+from loanlens.operators import scoring as sc
+from loanlens.operators.relational import latest_by
+from loanlens.plans.features import loan_features
 from loanlens.plans.oracle_sql import AS_OF
 from loanlens.plans.output import edge
 from loanlens.sources.testdata import test_sources
@@ -34,6 +38,21 @@ QUERIES: dict[str, Query] = {
     "payment_default_flags": _q(lambda s: dq.payment_default_flags(s, AS_OF)),
     "customer_default_flags": _q(lambda s: dq.customer_default_flags(s, AS_OF)),
     "payment_channels": _q(dq.payment_channels),
+    "frozen_status": _q(pf.frozen_status),
+    "fraud_status": _q(pf.fraud_status),
+    "permanent_freeze": _q(pf.permanent_freeze),
+    "latest_by": _q(lambda s: latest_by(s.table("payment_responses"), ["tendopay_user_id"], ["created_at"], ["id"])),
+    "latest_employment": _q(pf.latest_employment),
+    "latest_kyc_document": _q(pf.latest_kyc_document),
+    "user_address": _q(pf.user_address),
+    "user_address_v1": _q(lambda s: pf.user_address(s, region="v1")),
+    "max_debt_income_ratio": _q(pf.max_debt_income_ratio),
+    "risk_inputs": _q(sc.risk_inputs),
+    "scorecard_points": _q(lambda s: sc.scorecard_points(sc.risk_inputs(s)).select(
+        "user_id", *list(sc.DEFAULT_CARDS))),
+    "credit_rating": _q(lambda s: sc.credit_rating(sc.risk_inputs(s))),
+    "loan_features": _q(lambda s: loan_features(s, AS_OF)),
+    "loan_features_v1": _q(lambda s: loan_features(s, AS_OF, region="v1")),
 }
 
 
