@@ -12,11 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loanlens.operators import delinquency as dq
+from loanlens.operators import prep as pr
 from loanlens.operators import profile as pf
+from loanlens.operators import repayments as rp
+from loanlens.operators import targets as tg
 from loanlens.operators import scoring as sc
 from loanlens.operators.relational import latest_by
 from loanlens.plans.features import loan_features
-from loanlens.plans.oracle_sql import AS_OF
+from loanlens.plans.oracle_sql import AS_OF, OBS_MONTHS, THRESHOLD
 from loanlens.plans.output import edge
 from loanlens.sources.testdata import test_sources
 
@@ -31,6 +34,16 @@ def _q(fn) -> Query:
     return run
 
 
+def _inputs(s):
+    return pr.prepare_target_inputs(loan_features(s, AS_OF), rp.repayment_fact(s, AS_OF))
+
+
+def _anchor(s):
+    employees, repayments = _inputs(s)
+    rep = tg.attach_resignation(repayments, employees)
+    return rep, tg.tpsd_anchor(rep, THRESHOLD, OBS_MONTHS, AS_OF)
+
+
 QUERIES: dict[str, Query] = {
     "paid_payments": _q(dq.paid_payments),
     "delinquency": _q(lambda s: dq.delinquency(s, AS_OF)),
@@ -53,6 +66,19 @@ QUERIES: dict[str, Query] = {
     "credit_rating": _q(lambda s: sc.credit_rating(sc.risk_inputs(s))),
     "loan_features": _q(lambda s: loan_features(s, AS_OF)),
     "loan_features_v1": _q(lambda s: loan_features(s, AS_OF, region="v1")),
+    "repayment_fact": _q(lambda s: rp.repayment_fact(s, AS_OF)),
+    "with_balance_before": _q(lambda s: rp.with_balance_before(rp.repayment_fact(s, AS_OF))),
+    "transition_resignation": _q(lambda s: pr.transition_resignation(rp.repayment_fact(s, AS_OF))),
+    "prepare_employees": _q(lambda s: _inputs(s)[0]),
+    "with_outstanding_balance": _q(lambda s: rp.with_outstanding_balance(
+        rp.repayment_fact(s, AS_OF), pr.employee_frame(loan_features(s, AS_OF)))),
+    "prepare_target_inputs": _q(lambda s: _inputs(s)[1]),
+    "tpsd_anchor": _q(lambda s: _anchor(s)[1].drop("ee_resignation_date_correct")),
+    "target_base": _q(lambda s: tg.target_base(*_anchor(s))),
+    "tpfp_labels": _q(lambda s: tg.tpfp_labels(tg.target_base(*_anchor(s)), THRESHOLD, AS_OF)),
+    "leave_labels": _q(lambda s: tg.leave_labels(tg.target_base(*_anchor(s)), AS_OF)),
+    "user_targets": _q(lambda s: tg.user_targets(_inputs(s)[1], _inputs(s)[0], obs_window=OBS_MONTHS,
+                                                 current_date=AS_OF, balance_threshold=THRESHOLD)),
 }
 
 
