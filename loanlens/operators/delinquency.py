@@ -200,8 +200,18 @@ def payment_default_flags(src: Sources, as_of) -> DataFrame:
 def customer_default_flags(src: Sources, as_of) -> DataFrame:
     """Per user, cumulative flags (fpd, fspd, fstpd, fstfpd) and maturity of the
     first qualifying loan (60/90/120/150 days after its creation date)."""
-    as_of_col = lit_date(as_of)
+    return _customer_flags(_points_frame(_delinquency_frame(src, as_of), as_of), as_of)
+
+
+def default_flags(src: Sources, as_of) -> tuple[DataFrame, DataFrame]:
+    """(payment_default_flags, customer_default_flags) from one points frame,
+    so both share the delinquency shuffles."""
     p = _points_frame(_delinquency_frame(src, as_of), as_of)
+    return _flags_from_points(p).select(*FLAG_COLUMNS), _customer_flags(p, as_of)
+
+
+def _customer_flags(p: DataFrame, as_of) -> DataFrame:
+    as_of_col = lit_date(as_of)
     per_user = p.groupBy("user_id").agg(
         F.min("loan_created_date").alias("first_loan_date"),
         *[F.sum(flag(_default_at(k))).alias(f"n_def{k}") for k in range(1, 5)],

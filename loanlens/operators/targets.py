@@ -148,17 +148,28 @@ def user_targets(
     obs_window: int = K.DEFAULT_OBS_WINDOW_MONTHS,
     current_date=K.DEFAULT_CURRENT_DATE,
     balance_threshold: float = K.DEFAULT_BALANCE_THRESHOLD,
+    cut_lineage: bool = True,
 ) -> DataFrame:
     """One row per labelled user: tpfp or leave target, windows, maturity,
-    observation-incomplete flag and the model-development maturity flag."""
+    observation-incomplete flag and the model-development maturity flag.
+
+    The anchored base feeds both branches and the metadata; with
+    `cut_lineage` it is written once to the checkpoint folder (eagerly) so
+    the branches read it instead of recomputing it.
+    """
     rep = attach_resignation(repayments, employees)
     anchor = tpsd_anchor(rep, balance_threshold, obs_window, current_date)
     base = target_base(rep, anchor)
+    if cut_lineage:
+        from loanlens.plans.stages import handoff
+
+        base = handoff(base)
+    # user-level values, so distinct keeps one row per user
+    meta = base.select("user_id", "future_flag", "ee_resignation_date_correct", "obs_end").distinct()
     tpfp_users = tpfp_in_observation(base)
     tpfp = tpfp_labels(base, balance_threshold, current_date).withColumn("target_type", F.lit("tpfp"))
     leave = leave_labels(base, current_date, tpfp_users=tpfp_users).withColumn("target_type", F.lit("leave"))
     labels = tpfp.unionByName(leave)
-    meta = anchor.select("user_id", "future_flag", "ee_resignation_date_correct", "obs_end")
     out = labels.join(meta, "user_id", "left")
     dev = flag((F.col("target_maturity_flag") == 1) & ~((F.col("future_flag") == 1) & (F.col("target_type") == "leave")))
     return out.select(

@@ -74,7 +74,7 @@ def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in keep])
 
 
-def _user_side(src: Sources, as_of, region: str) -> DataFrame:
+def _user_side(src: Sources, as_of, region: str, cl: DataFrame) -> DataFrame:
     users = src.table(
         "users", "id", "email", "phone", "firstname", "middlename", "lastname", "birthdate", "gender",
         "email_verified", "telephone_verified", "id_verified", "income_verified", "morning_time",
@@ -105,7 +105,7 @@ def _user_side(src: Sources, as_of, region: str) -> DataFrame:
     freeze = _prefixed(pf.permanent_freeze(src), "fz_", ["user_id", "created_at"])
     rating = _prefixed(sc.credit_rating(sc.risk_inputs(src)), "rt_",
                        ["user_id", "frozen_status"] + list(sc.DEFAULT_CARDS) + ["credit_rating"])
-    cl = dq.customer_default_flags(src, as_of).withColumnRenamed("user_id", "cl_user_id")
+    cl = cl.withColumnRenamed("user_id", "cl_user_id")
 
     emp = _prefixed(
         src.table("employers", "id"), "er_",
@@ -220,7 +220,7 @@ def _user_side(src: Sources, as_of, region: str) -> DataFrame:
     )
 
 
-def _loan_side(src: Sources, as_of) -> DataFrame:
+def _loan_side(src: Sources, flags: DataFrame) -> DataFrame:
     loans = src.table(
         "payment_responses", "id", "tendopay_user_id", "merchant_id", "merchant_order_id", "status", "principal",
         "fee", "tendopay_installments", "created_at", "repaid_full", "fully_repaid_at",
@@ -228,7 +228,7 @@ def _loan_side(src: Sources, as_of) -> DataFrame:
     xendit = src.table("xendit_payment_responses", "reference_id", "channel_code").select(
         F.col("reference_id").alias("x_ref"), F.col("channel_code").alias("ln_disbursement_channel")
     )
-    flags = dq.payment_default_flags(src, as_of).withColumnRenamed("loan_id", "f_loan_id")
+    flags = flags.withColumnRenamed("loan_id", "f_loan_id")
     side = (
         loans.join(xendit, F.col("merchant_order_id") == F.col("x_ref"), "left")
         .join(flags, F.col("id") == F.col("f_loan_id"), "left")
@@ -254,13 +254,14 @@ def loan_features(src: Sources, as_of, region: str = "v2") -> DataFrame:
     """The wide customer x loan feature table (100 columns; 101 with region="v1")."""
     if region not in ("v1", "v2"):
         raise ValueError(f"region must be 'v1' or 'v2', not {region!r}")
-    users = _user_side(src, as_of, region)
-    loans = _loan_side(src, as_of)
+    loan_flags, customer_flags = dq.default_flags(src, as_of)
+    users = _user_side(src, as_of, region, customer_flags)
+    loans = _loan_side(src, loan_flags)
     with_loans = users.join(loans, F.col("ee_customer_id") == F.col("loan_user_id"), "inner")
     loan_users = loans.select(F.col("loan_user_id").alias("ee_customer_id")).distinct()
-    without = users.join(loan_users, "ee_customer_id", "left_anti")
-    for f in loans.schema.fields:
-        without = without.withColumn(f.name, F.lit(None).cast(f.dataType))
+    without = users.join(loan_users, "ee_customer_id", "left_anti").select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in loans.schema.fields]
+    )
     both = with_loans.unionByName(without)
     derived = dq.loan_flag_columns(both, as_of)
     loan_cols = {

@@ -21,6 +21,8 @@ from loanlens.operators.relational import latest_by
 from loanlens.plans.features import loan_features
 from loanlens.plans.oracle_sql import AS_OF, OBS_MONTHS, THRESHOLD
 from loanlens.plans.output import edge
+from loanlens.plans.stages import handoff
+from loanlens.session import fast_planning
 from loanlens.sources.testdata import test_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _q(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fast_planning(spark)
         return edge(fn(test_sources(spark, sf_dir)))
 
     run.__name__ = getattr(fn, "__name__", "query")
@@ -35,7 +38,12 @@ def _q(fn) -> Query:
 
 
 def _inputs(s):
-    return pr.prepare_target_inputs(loan_features(s, AS_OF), rp.repayment_fact(s, AS_OF))
+    """Feature table and repayment fact handed to prep as written tables,
+    then the prepared pair handed to labelling, as in the source pipeline."""
+    features = handoff(loan_features(s, AS_OF))
+    fact = handoff(rp.repayment_fact(s, AS_OF))
+    employees, repayments = pr.prepare_target_inputs(features, fact)
+    return handoff(employees), handoff(repayments)
 
 
 def _anchor(s):
@@ -44,6 +52,12 @@ def _anchor(s):
     return rep, tg.tpsd_anchor(rep, THRESHOLD, OBS_MONTHS, AS_OF)
 
 
+def _targets(s):
+    employees, repayments = _inputs(s)
+    return tg.user_targets(repayments, employees, obs_window=OBS_MONTHS, current_date=AS_OF,
+                           balance_threshold=THRESHOLD)
+
+
 QUERIES: dict[str, Query] = {
     "paid_payments": _q(dq.paid_payments),
     "delinquency": _q(lambda s: dq.delinquency(s, AS_OF)),
@@ -77,8 +91,7 @@ QUERIES: dict[str, Query] = {
     "target_base": _q(lambda s: tg.target_base(*_anchor(s))),
     "tpfp_labels": _q(lambda s: tg.tpfp_labels(tg.target_base(*_anchor(s)), THRESHOLD, AS_OF)),
     "leave_labels": _q(lambda s: tg.leave_labels(tg.target_base(*_anchor(s)), AS_OF)),
-    "user_targets": _q(lambda s: tg.user_targets(_inputs(s)[1], _inputs(s)[0], obs_window=OBS_MONTHS,
-                                                 current_date=AS_OF, balance_threshold=THRESHOLD)),
+    "user_targets": _q(lambda s: _targets(s)),
 }
 
 

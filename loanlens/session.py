@@ -26,6 +26,24 @@ RUNTIME_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
+# Call-site capture for DataFrame error messages costs several JVM round
+# trips per Column function call; with plans of a few thousand expressions
+# that is seconds of driver time per query. Errors still carry the SQL
+# context; only the Python call site is dropped.
+DEBUG_CONF = "spark.python.sql.dataFrameDebugging.enabled"
+
+
+def fast_planning(spark: SparkSession) -> None:
+    """Turn off per-call Python call-site capture for this session."""
+    if spark.conf.get(DEBUG_CONF, "true").lower() != "false":
+        spark.conf.set(DEBUG_CONF, "false")
+    try:  # PySpark caches the setting on first use
+        from pyspark.errors import utils as _eu
+
+        _eu._enable_debugging_cache = False
+    except (ImportError, AttributeError):
+        pass
+
 
 def get_session(
     master: str | None = None,
@@ -46,8 +64,10 @@ def get_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
+    builder = builder.config(DEBUG_CONF, "false")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    fast_planning(spark)
     return spark
 
 
@@ -56,9 +76,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Only when the setting is absent (local tests) is a folder created here.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="loanlens-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
