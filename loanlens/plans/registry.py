@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loanlens.operators import apps as ap
 from loanlens.operators import delinquency as dq
 from loanlens.operators import prep as pr
 from loanlens.operators import profile as pf
@@ -19,7 +20,7 @@ from loanlens.operators import targets as tg
 from loanlens.operators import scoring as sc
 from loanlens.operators.relational import latest_by
 from loanlens.plans.features import loan_features
-from loanlens.plans.oracle_sql import AS_OF, OBS_MONTHS, THRESHOLD
+from loanlens.plans.oracle_sql import APP_CUTOFF, AS_OF, OBS_MONTHS, THRESHOLD
 from loanlens.plans.output import edge
 from loanlens.plans.stages import handoff
 from loanlens.session import fast_planning
@@ -92,6 +93,14 @@ QUERIES: dict[str, Query] = {
     "tpfp_labels": _q(lambda s: tg.tpfp_labels(tg.target_base(*_anchor(s)), THRESHOLD, AS_OF)),
     "leave_labels": _q(lambda s: tg.leave_labels(tg.target_base(*_anchor(s)), AS_OF)),
     "user_targets": _q(lambda s: _targets(s)),
+    "clean_reference_strict": _q(lambda s: ap.cleaned_references(s, "strict")),
+    "clean_reference_lenient": _q(lambda s: ap.cleaned_references(s, "lenient")),
+    "user_reference": _q(lambda s: ap.user_reference(s, ap.customer_onboarding(s), APP_CUTOFF)),
+    "user_reference_lenient": _q(lambda s: ap.user_reference(s, ap.customer_onboarding(s), APP_CUTOFF, "lenient")),
+    "device_apps": _q(ap.device_apps),
+    "user_app_packages": _q(lambda s: ap.user_app_packages(s, ap.customer_onboarding(s), APP_CUTOFF)),
+    "user_app_packages_lenient": _q(
+        lambda s: ap.user_app_packages(s, ap.customer_onboarding(s), APP_CUTOFF, "lenient")),
 }
 
 
