@@ -15,12 +15,13 @@ from loanlens.operators import apps as ap
 from loanlens.operators import delinquency as dq
 from loanlens.operators import prep as pr
 from loanlens.operators import profile as pf
+from loanlens.operators import quality as ql
 from loanlens.operators import repayments as rp
 from loanlens.operators import targets as tg
 from loanlens.operators import scoring as sc
 from loanlens.operators.relational import latest_by
 from loanlens.plans.features import loan_features
-from loanlens.plans.oracle_sql import APP_CUTOFF, AS_OF, OBS_MONTHS, THRESHOLD
+from loanlens.plans.oracle_sql import APP_CUTOFF, AS_OF, OBS_MONTHS, REPORT_DECIMALS, REPORT_TARGET, THRESHOLD
 from loanlens.plans.output import edge
 from loanlens.plans.stages import handoff
 from loanlens.session import fast_planning
@@ -34,6 +35,15 @@ def _q(fn) -> Query:
         fast_planning(spark)
         return edge(fn(test_sources(spark, sf_dir)))
 
+    return run
+
+
+def _raw(fn) -> Query:
+    """Like _q, but the operator's output types are kept (no decimal edge)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fast_planning(spark)
+        return fn(test_sources(spark, sf_dir))
+
     run.__name__ = getattr(fn, "__name__", "query")
     return run
 
@@ -101,6 +111,10 @@ QUERIES: dict[str, Query] = {
     "user_app_packages": _q(lambda s: ap.user_app_packages(s, ap.customer_onboarding(s), APP_CUTOFF)),
     "user_app_packages_lenient": _q(
         lambda s: ap.user_app_packages(s, ap.customer_onboarding(s), APP_CUTOFF, "lenient")),
+    "data_quality_report": _raw(lambda s: ql.data_quality_report(
+        dq.delinquency(s, AS_OF), target_col=REPORT_TARGET, decimals=REPORT_DECIMALS)),
+    "data_quality_report_approx": _raw(lambda s: ql.data_quality_report(
+        dq.delinquency(s, AS_OF), target_col=REPORT_TARGET, approx=True, decimals=REPORT_DECIMALS)),
 }
 
 
