@@ -24,7 +24,8 @@ from loanlens.plans.features import loan_features
 from loanlens.plans.oracle_sql import APP_CUTOFF, AS_OF, OBS_MONTHS, REPORT_DECIMALS, REPORT_TARGET, THRESHOLD
 from loanlens.plans.output import edge
 from loanlens.plans.stages import handoff
-from loanlens.session import fast_planning
+from loanlens.session import checkpoint_dir, fast_planning
+from loanlens.sources import io as lio
 from loanlens.sources.testdata import test_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,19 @@ def _targets(s):
                            balance_threshold=THRESHOLD)
 
 
+def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loan flags written as CSV and parquet under the shared checkpoint
+    folder, then read back from parquet."""
+    import uuid
+
+    flags = QUERIES["payment_default_flags"](spark, sf_dir)
+    root = checkpoint_dir(spark).rstrip("/") + "/roundtrip"
+    manifest = lio.write_multi(flags, root, f"/{uuid.uuid4().hex}", "payment_default_flags")
+    if "error" in manifest:
+        raise RuntimeError(manifest["error"])
+    return lio.read_dataset(spark, manifest["parquet"], "parquet")
+
+
 QUERIES: dict[str, Query] = {
     "paid_payments": _q(dq.paid_payments),
     "delinquency": _q(lambda s: dq.delinquency(s, AS_OF)),
@@ -113,6 +127,7 @@ QUERIES: dict[str, Query] = {
         lambda s: ap.user_app_packages(s, ap.customer_onboarding(s), APP_CUTOFF, "lenient")),
     "data_quality_report": _raw(lambda s: ql.data_quality_report(
         dq.delinquency(s, AS_OF), target_col=REPORT_TARGET, decimals=REPORT_DECIMALS)),
+    "write_read_roundtrip": _roundtrip,
     "data_quality_report_approx": _raw(lambda s: ql.data_quality_report(
         dq.delinquency(s, AS_OF), target_col=REPORT_TARGET, approx=True, decimals=REPORT_DECIMALS)),
 }
