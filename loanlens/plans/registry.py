@@ -26,7 +26,7 @@ from loanlens.plans.output import edge
 from loanlens.plans.stages import handoff
 from loanlens.session import checkpoint_dir, fast_planning
 from loanlens.sources import io as lio
-from loanlens.sources.testdata import test_sources
+from loanlens.sources.testdata import adapter_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _q(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fast_planning(spark)
-        return edge(fn(test_sources(spark, sf_dir)))
+        return edge(fn(adapter_sources(spark, sf_dir)))
 
     return run
 
@@ -43,7 +43,7 @@ def _raw(fn) -> Query:
     """Like _q, but the operator's output types are kept (no decimal edge)."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fast_planning(spark)
-        return fn(test_sources(spark, sf_dir))
+        return fn(adapter_sources(spark, sf_dir))
 
     run.__name__ = getattr(fn, "__name__", "query")
     return run
