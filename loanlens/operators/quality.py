@@ -60,7 +60,7 @@ def _moments(df: DataFrame, names, numeric, target_col, approx):
             continue
         d = v.cast("double")
         aggs += [
-            F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.avg(v).cast("double").alias(f"mean{i}"),
+            F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.avg(d).alias(f"mean{i}"),
             F.stddev_samp(d).alias(f"std{i}"), F.skewness(d).alias(f"skew{i}"), F.kurtosis(d).alias(f"kurt{i}"),
         ]
         if target_ok and name != target_col:
