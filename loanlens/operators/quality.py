@@ -1,9 +1,9 @@
 """Per-column data-quality report (21 metrics per column).
 
 Plan shape, all distributed:
-  moments   one global aggregate over every column at once (counts, min,
-            max, mean, std, skewness, kurtosis, correlation with the target);
-            the final merge holds one fixed-size buffer per map task
+  moments   one unpivot to (column, value, target) rows, then a grouped
+            aggregate per column (counts, min, max, mean, std, skewness,
+            kurtosis, correlation with the target), combined map-side
   values    one unpivot + groupBy(column, value).count(): distinct counts and
             the mode (min over struct(-count, value): map-side combining)
   quantiles exact: the value counts are range-partitioned by (column, value);
@@ -50,48 +50,10 @@ def _lerp(a, b, t):
     return F.when(t >= 0.5, b - diff * (F.lit(1.0) - t)).otherwise(a + diff * t)
 
 
-def _moments(df: DataFrame, names, numeric, target_col, approx):
-    aggs = [F.count(F.lit(1)).alias("n")]
-    target_ok = target_col in numeric
-    for i, name in enumerate(names):
-        v = _value(df, name)
-        aggs.append(F.count(v).alias(f"nn{i}"))
-        if name not in numeric:
-            continue
-        d = v.cast("double")
-        aggs += [
-            F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.avg(d).alias(f"mean{i}"),
-            F.stddev_samp(d).alias(f"std{i}"), F.skewness(d).alias(f"skew{i}"), F.kurtosis(d).alias(f"kurt{i}"),
-        ]
-        if target_ok and name != target_col:
-            t = _value(df, target_col).cast("double")
-            x, y = F.when(t.isNotNull(), d), F.when(d.isNotNull(), t)
-            corr = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-            aggs.append(corr.alias(f"corr{i}"))
-        if approx:
-            aggs.append(F.percentile_approx(d, list(QUANTILES)).alias(f"pq{i}"))
-            aggs.append(F.approx_count_distinct(v).alias(f"ad{i}"))
-    wide = df.agg(*aggs)
-    rows = []
-    for i, name in enumerate(names):
-        num = name in numeric
-
-        def pick(prefix, dtype="double", _i=i, _num=num):
-            return F.col(f"{prefix}{_i}") if _num else F.lit(None).cast(dtype)
-
-        corr = F.col(f"corr{i}") if (num and target_ok and name != target_col) else F.lit(None).cast("double")
-        rows.append(F.struct(
-            F.lit(i).alias("ord"), F.col("n").alias("n"), F.col(f"nn{i}").alias("nn"),
-            pick("min").alias("min"), pick("max").alias("max"), pick("mean").alias("mean"),
-            pick("std").alias("std"), pick("skew").alias("skew"), pick("kurt").alias("kurt"),
-            corr.alias("corr"),
-            (F.col(f"pq{i}") if (approx and num) else F.lit(None).cast("array<double>")).alias("pq"),
-            (F.col(f"ad{i}") if (approx and num) else F.lit(None).cast("bigint")).alias("ad"),
-        ))
-    return wide.select(F.explode(F.array(*rows)).alias("m")).select("m.*")
-
-
-def _value_counts(df: DataFrame, names, numeric):
+def _long(df: DataFrame, names, numeric, target_col):
+    """Unpivot: one row per (input row, column) with the value as double
+    (numeric columns) or text (others) and the target value of the row."""
+    target = _value(df, target_col).cast("double") if target_col in numeric else F.lit(None).cast("double")
     cells = []
     for i, name in enumerate(names):
         v = _value(df, name)
@@ -100,10 +62,34 @@ def _value_counts(df: DataFrame, names, numeric):
             F.lit(i).alias("ord"),
             (v.cast("double") if num else F.lit(None).cast("double")).alias("dval"),
             (F.lit(None).cast("string") if num else v.cast("string")).alias("sval"),
+            (target if (num and name != target_col) else F.lit(None).cast("double")).alias("tval"),
         ))
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    long = long.where(F.col("dval").isNotNull() | F.col("sval").isNotNull())
-    return long.groupBy("ord", "dval", "sval").agg(F.count(F.lit(1)).alias("cnt"))
+    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def _moments(long: DataFrame, approx: bool) -> DataFrame:
+    """Per column: row count, non-null count, min, max, mean, std, population
+    skewness/kurtosis and Pearson correlation with the target on complete pairs.
+    A grouped aggregate over (at most) a few hundred groups, combined map-side."""
+    d, t = F.col("dval"), F.col("tval")
+    x, y = F.when(t.isNotNull(), d), F.when(d.isNotNull(), t)
+    aggs = [
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.coalesce(d.cast("string"), F.col("sval"))).alias("nn"),
+        F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"),
+        F.stddev_samp(d).alias("std"), F.skewness(d).alias("skew"), F.kurtosis(d).alias("kurt"),
+        F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias("corr"),
+    ]
+    if approx:
+        aggs += [F.percentile_approx(d, list(QUANTILES)).alias("pq"), F.approx_count_distinct(d).alias("ad")]
+    else:
+        aggs += [F.lit(None).cast("array<double>").alias("pq"), F.lit(None).cast("bigint").alias("ad")]
+    return long.groupBy("ord").agg(*aggs)
+
+
+def _value_counts(long: DataFrame) -> DataFrame:
+    vals = long.where(F.col("dval").isNotNull() | F.col("sval").isNotNull())
+    return vals.groupBy("ord", "dval", "sval").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _exact_quantiles(vc: DataFrame, moments: DataFrame, numeric_ords) -> DataFrame:
@@ -152,19 +138,23 @@ def data_quality_report(df: DataFrame, target_col: str = "ln_fspd30_flag", appro
 
     Numeric = integral, fractional, decimal and boolean (as 0/1) columns;
     others get counts and the mode only. `decimals` rounds the double metrics.
-    `materialize` writes the value-count table once to the checkpoint folder
-    (eagerly) instead of recomputing the input for each of its three uses.
+    `materialize` writes the input and the value-count table once each to the
+    checkpoint folder (eagerly) instead of recomputing them for each use.
     """
     names = df.columns
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)}
     integral = {f.name for f in df.schema.fields if isinstance(f.dataType, _INTEGRAL)}
     numeric_ords = [i for i, n in enumerate(names) if n in numeric]
-    moments = _moments(df, names, numeric, target_col, approx)
-    vc = _value_counts(df, names, numeric)
     if materialize:
-        # value counts feed the distinct/mode summary and the quantile steps
+        # the input feeds the moments and the value counts; the value counts
+        # feed the distinct/mode summary and the quantile steps
         from loanlens.plans.stages import handoff
 
+        df = handoff(df)
+    long = _long(df, names, numeric, target_col)
+    moments = _moments(long, approx)
+    vc = _value_counts(long)
+    if materialize:
         vc = handoff(vc)
     summary = vc.groupBy("ord").agg(
         F.count(F.lit(1)).alias("distinct"),
