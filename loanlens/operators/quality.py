@@ -12,7 +12,7 @@ Plan shape, all distributed:
             (partition, column) gives the running count, and the rows holding
             the needed ranks are picked by a join against at most 3 rows per
             column. No task ever holds a whole column.
-            approx=True: percentile_approx and approx_count_distinct instead.
+            approx=True: percentile_approx instead (fixed-size sketches).
 Quantiles use linear interpolation; skewness and kurtosis are the
 bias-corrected sample values (0 for a constant column); correlation is
 Pearson on rows where both values exist (null when undefined).
@@ -81,9 +81,9 @@ def _moments(long: DataFrame, approx: bool) -> DataFrame:
         F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias("corr"),
     ]
     if approx:
-        aggs += [F.percentile_approx(d, list(QUANTILES)).alias("pq"), F.approx_count_distinct(d).alias("ad")]
+        aggs.append(F.percentile_approx(d, list(QUANTILES)).alias("pq"))
     else:
-        aggs += [F.lit(None).cast("array<double>").alias("pq"), F.lit(None).cast("bigint").alias("ad")]
+        aggs.append(F.lit(None).cast("array<double>").alias("pq"))
     return long.groupBy("ord").agg(*aggs)
 
 
@@ -185,7 +185,7 @@ def data_quality_report(df: DataFrame, target_col: str = "ln_fspd30_flag", appro
     kurt = F.when(nn < 4, F.lit(None)).when(std == 0, F.lit(0.0)).otherwise(
         ((nn + 1) * F.col("kurt") + 6) * (nn - 1) / ((nn - 2) * (nn - 3)))
     is_num = F.col("min").isNotNull() | F.col("q50").isNotNull()
-    distinct = (F.coalesce(F.col("ad"), F.col("distinct")) if approx else F.col("distinct"))
+    distinct = F.col("distinct")
 
     def r(c):
         return F.round(c, decimals) if decimals is not None else c

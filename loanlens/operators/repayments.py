@@ -1,10 +1,11 @@
 """Repayment transaction fact and balance columns.
 
 Plan shape: live payments JOIN vendor responses (txn id) JOIN paid roll-up
-and schedules (both on the schedule id text; the roll-up arrives already
-partitioned on it) JOIN loans x users (loan id); the DENSE_RANK, ROW_NUMBER,
-LAG and running-sum windows all partition by loan, so they reuse the loan-id
-partitioning of the last join and share one sort when their order matches.
+and ranked schedules (both on the schedule id text; the roll-up arrives
+already partitioned on it) JOIN loans x users (loan id). The installment
+DENSE_RANK is computed on schedules, not payments. The balance windows
+(ROW_NUMBER, LAG, running sum) partition by loan and share one exchange and
+sort; they hold one loan's payments, which its schedule bounds.
 """
 
 from __future__ import annotations
@@ -69,16 +70,22 @@ def repayment_fact(src: Sources, as_of, ordered: bool = False) -> DataFrame:
         F.col("amount").alias("pp_amount"),
         F.col("repaid_date").alias("pp_repaid_date"),
     )
+    paid_rows = pay.join(crs, pay["txnid"] == crs["txn_id"])
+    # DENSE_RANK of the due date in a loan over the surviving payment rows ==
+    # the same rank over the schedules that have a surviving payment (same
+    # set of due dates). Ranking schedules keeps the window to one loan's
+    # schedules (bounded by its tenor); the payment rows, however many a loan
+    # has, only pass through joins, which AQE can split when a key is hot.
+    live = sched.join(paid_rows.select("sched_key").distinct(), "sched_key", "left_semi")
+    w = Window.partitionBy("loan_id").orderBy("due_date")
+    ranked = live.select("*", F.dense_rank().over(w).alias("installment_number"))
     rows = (
-        pay.join(crs, pay["txnid"] == crs["txn_id"])
-        .join(paid, "sched_key")
-        .join(sched, "sched_key")
+        paid_rows.join(paid, "sched_key")
+        .join(ranked, "sched_key")
         .join(loans.join(users, "user_id"), "loan_id")
     )
-    w = Window.partitionBy("loan_id").orderBy("due_date")
     fact = rows.select(
-        "user_id", "loan_id",
-        F.dense_rank().over(w).alias("installment_number"),
+        "user_id", "loan_id", "installment_number",
         "vendor_id", "subfamily", "repaid_date", "due_date", "due_principal", "due_interest", "due_amount",
         "paid_principal", "paid_interest", "paid_amount", "outstanding_balance",
         dpd(F.col("due_amount"), F.col("pp_amount"), F.col("pp_repaid_date"), F.col("due_date"), as_of_col).alias("dpd"),

@@ -149,13 +149,16 @@ def user_targets(
     current_date=K.DEFAULT_CURRENT_DATE,
     balance_threshold: float = K.DEFAULT_BALANCE_THRESHOLD,
     cut_lineage: bool = True,
+    ordered: bool = False,
 ) -> DataFrame:
     """One row per labelled user: tpfp or leave target, windows, maturity,
     observation-incomplete flag and the model-development maturity flag.
 
     The anchored base feeds both branches and the metadata; with
     `cut_lineage` it is written once to the checkpoint folder (eagerly) so
-    the branches read it instead of recomputing it.
+    the branches read it instead of recomputing it. `ordered` adds the
+    source's final sort (user id as text, target type, target); a written
+    table does not keep row order, so it is off by default.
     """
     rep = attach_resignation(repayments, employees)
     anchor = tpsd_anchor(rep, balance_threshold, obs_window, current_date)
@@ -172,8 +175,11 @@ def user_targets(
     labels = tpfp.unionByName(leave)
     out = labels.join(meta, "user_id", "left")
     dev = flag((F.col("target_maturity_flag") == 1) & ~((F.col("future_flag") == 1) & (F.col("target_type") == "leave")))
-    return out.select(
+    result = out.select(
         "user_id", "target", "target_type", "last_tpsd_date", "obs_end", "perf_start_date", "perf_end_date",
         "ee_resignation_date_correct", "target_maturity_flag", F.col("future_flag").alias("obs_incomplete_flag"),
         dev.alias("target_maturity_flag_for_dev"),
     )
+    if ordered:
+        result = result.orderBy(F.col("user_id").cast("string"), "target_type", "target")
+    return result

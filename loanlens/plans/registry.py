@@ -50,12 +50,11 @@ def _raw(fn) -> Query:
 
 
 def _inputs(s):
-    """Feature table and repayment fact handed to prep as written tables,
-    then the prepared pair handed to labelling, as in the source pipeline."""
+    """Feature table and repayment fact handed to prep as written tables, as
+    in the source pipeline; labelling hands off its own shared base."""
     features = handoff(loan_features(s, AS_OF))
     fact = handoff(rp.repayment_fact(s, AS_OF))
-    employees, repayments = pr.prepare_target_inputs(features, fact)
-    return handoff(employees), handoff(repayments)
+    return pr.prepare_target_inputs(features, fact)
 
 
 def _anchor(s):
