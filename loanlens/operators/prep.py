@@ -3,13 +3,13 @@ resignation implied by a switch from salary deduction to another vendor."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loanlens.functions import constants as K
 from loanlens.functions.exprs import add_months, as_ntz, null_tokens, try_date
-from loanlens.operators.repayments import loan_order, with_outstanding_balance
+from loanlens.operators.repayments import with_next_vendor, with_outstanding_balance
 
 
 def _clean_id(df: DataFrame, name: str):
@@ -59,9 +59,7 @@ def employee_frame(features: DataFrame, with_employment_correct: bool = False) -
 def transition_resignation(repayments: DataFrame) -> DataFrame:
     """Per user: latest (repaid date + 1 month) of a TPSD payment whose next
     payment in the loan is TPFP. The last payment of a loan has no next."""
-    w = Window.partitionBy("loan_id").orderBy(*loan_order(repayments.columns))
-    nxt = F.lead("vendor_id").over(w)
-    rows = repayments.select("user_id", "vendor_id", "repaid_date", nxt.alias("next_vendor"))
+    rows = with_next_vendor(repayments).select("user_id", "vendor_id", "repaid_date", "next_vendor")
     hits = rows.where((F.col("vendor_id") == K.VENDOR_SALARY) & (F.col("next_vendor") == K.VENDOR_AFTER_LEAVE))
     return hits.groupBy("user_id").agg(
         F.max(add_months(as_ntz("repaid_date"), 1)).alias("resignation_date_fp_new")

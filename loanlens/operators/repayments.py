@@ -120,9 +120,31 @@ def with_balance_before(fact: DataFrame) -> DataFrame:
 
 # pandas-style per-loan order: repaid date, installment (missing last), then
 # the remaining fact columns so exact ties cannot change a running total
+LOAN_ORDER_KEYS = ["repaid_date", "installment_number", "due_date", "vendor_id", "paid_principal"]
+NO_DAY = "9999-12-31"  # bucket for payments without a repaid date (sorted last)
+
+
 def loan_order(cols: list[str]):
-    keys = ["repaid_date", "installment_number", "due_date", "vendor_id", "paid_principal"]
-    return [F.col(k).asc_nulls_last() for k in keys if k in cols]
+    return [F.col(k).asc_nulls_last() for k in LOAN_ORDER_KEYS if k in cols]
+
+
+def _order_struct(cols: list[str]):
+    """Struct whose max is the last row (and min the first) in `loan_order`."""
+    fields = []
+    for k in LOAN_ORDER_KEYS:
+        if k in cols:
+            fields += [F.col(k).isNull().alias(f"{k}_missing"), F.col(k).alias(k)]
+    return fields
+
+
+def split_by_day(rows: DataFrame) -> DataFrame:
+    """Add `_day` (repaid day; missing days last) and spread each loan's rows
+    over (loan, day). Repaid date leads the loan order, so a loan's order is
+    its days in turn: per-row windows run inside one (loan, day) and only
+    per-day summaries run over a whole loan (one row per day), so a loan with
+    a third of all payments is still split over its days."""
+    day = F.coalesce(F.col("repaid_date").cast("date"), F.lit(NO_DAY).cast("date"))
+    return rows.withColumn("_day", day).repartition("loan_id", "_day")
 
 
 def with_outstanding_balance(fact: DataFrame, employees: DataFrame) -> DataFrame:
@@ -136,12 +158,47 @@ def with_outstanding_balance(fact: DataFrame, employees: DataFrame) -> DataFrame
     principal = employees.select(
         F.col("ln_loan_id").alias("loan_id"), F.col("ln_original_principal")
     ).distinct()
-    rows = fact.join(principal, "loan_id", "left")
-    w = Window.partitionBy("loan_id").orderBy(*loan_order(rows.columns))
-    running = F.sum("paid_principal").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cum = F.when(F.col("paid_principal").isNotNull(), running)
-    out = rows.select(*fact.columns, "ln_original_principal", cum.alias("cumulative_paid_principal"))
+    rows = split_by_day(fact.join(principal, "loan_id", "left"))
+    paid = F.col("paid_principal")
+    # per day: total paid, and whether the day's last row has a payment
+    last = F.max(F.struct(*_order_struct(rows.columns), paid.isNull().alias("_none")))
+    days = rows.groupBy("loan_id", "_day").agg(F.sum(paid).alias("_tot"), last.alias("_last"))
+    over_days = Window.partitionBy("loan_id").orderBy("_day")
+    days = days.select(
+        "loan_id", "_day", "_last",
+        F.coalesce(F.sum("_tot").over(over_days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.coalesce(F.sum("_tot").over(over_days.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_end"),
+    )
+    days = days.select(
+        "loan_id", "_day", "_offset",
+        F.lag(F.when(~F.col("_last._none"), F.col("_end"))).over(over_days).alias("_prev_end"),
+    )
+    in_day = Window.partitionBy("loan_id", "_day").orderBy(*loan_order(rows.columns))
+    local = F.sum(paid).over(in_day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = rows.join(days, ["loan_id", "_day"]).select(
+        "*",
+        F.when(paid.isNotNull(), F.col("_offset") + local).alias("cumulative_paid_principal"),
+        F.row_number().over(in_day).alias("_rn"),
+    )
     out = out.withColumn("osbal_after", F.col("ln_original_principal") - F.col("cumulative_paid_principal"))
-    return out.withColumn(
-        "osbal_before", F.coalesce(F.lag("osbal_after").over(w), F.col("ln_original_principal"))
+    first_before = F.col("ln_original_principal") - F.col("_prev_end")
+    before = F.when(F.col("_rn") == 1, first_before).otherwise(F.lag("osbal_after").over(in_day))
+    return out.select(
+        *fact.columns, "ln_original_principal", "cumulative_paid_principal", "osbal_after",
+        F.coalesce(before, F.col("ln_original_principal")).alias("osbal_before"),
     )
+
+
+def with_next_vendor(repayments: DataFrame) -> DataFrame:
+    """Add `next_vendor`: the vendor of the next payment of the loan in loan
+    order (null for the last), split by day like `with_outstanding_balance`."""
+    rows = split_by_day(repayments)
+    first = F.min(F.struct(*_order_struct(rows.columns), F.col("vendor_id").alias("_vendor")))
+    days = rows.groupBy("loan_id", "_day").agg(first.alias("_first"))
+    over_days = Window.partitionBy("loan_id").orderBy("_day")
+    days = days.select("loan_id", "_day", F.lead(F.col("_first._vendor")).over(over_days).alias("_next_day_vendor"))
+    in_day = Window.partitionBy("loan_id", "_day").orderBy(*loan_order(rows.columns))
+    is_last = F.lead(F.lit(1)).over(in_day).isNull()
+    out = rows.join(days, ["loan_id", "_day"])
+    nxt = F.when(is_last, F.col("_next_day_vendor")).otherwise(F.lead("vendor_id").over(in_day))
+    return out.select(*repayments.columns, nxt.alias("next_vendor"))
