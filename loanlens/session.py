@@ -34,10 +34,18 @@ DEBUG_CONF = "spark.python.sql.dataFrameDebugging.enabled"
 
 
 def fast_planning(spark: SparkSession) -> None:
-    """Turn off per-call Python call-site capture for this session."""
-    if spark.conf.get(DEBUG_CONF, "true").lower() != "false":
-        spark.conf.set(DEBUG_CONF, "false")
-    try:  # PySpark caches the setting on first use
+    """Turn off per-call Python call-site capture in this process.
+
+    The conf is static: it can only be set when the session is built (as
+    `get_session` does). For a session built elsewhere only PySpark's
+    Python-side switch, cached on first use, is turned off.
+    """
+    try:
+        if spark.conf.get(DEBUG_CONF, "true").lower() != "false":
+            spark.conf.set(DEBUG_CONF, "false")
+    except Exception:  # noqa: BLE001 - static conf on a running session
+        pass
+    try:
         from pyspark.errors import utils as _eu
 
         _eu._enable_debugging_cache = False
