@@ -57,6 +57,7 @@ def get_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
     app_name: str = "loanlens",
+    extra_conf: dict | None = None,
 ) -> SparkSession:
     """Return a session for scripts/tests; the UI stays off."""
     builder = SparkSession.builder.appName(app_name)
@@ -73,6 +74,8 @@ def get_session(
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     builder = builder.config(DEBUG_CONF, "false")
+    for key, value in (extra_conf or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     fast_planning(spark)

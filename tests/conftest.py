@@ -11,7 +11,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from loanlens.session import get_session
 
-    s = get_session("local[4]", shuffle_partitions=4, app_name="loanlens-tests")
+    warehouse = tempfile.mkdtemp(prefix="loanlens-test-warehouse-")
+    s = get_session("local[4]", shuffle_partitions=4, app_name="loanlens-tests",
+                    extra_conf={"spark.sql.warehouse.dir": warehouse})
     if not s.sparkContext.getConf().get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loanlens-test-ckpt-"))
     yield s

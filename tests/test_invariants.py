@@ -46,3 +46,15 @@ def test_permuted_input_gives_same_flags(spark, src):
         repayment_schedules=src["repayment_schedules"].repartition(5),
     )
     assert sorted(dq.payment_default_flags(shuffled, AS_OF).collect()) == base
+
+
+def test_feature_table_width(src):
+    from loanlens.plans.features import loan_features
+
+    v2 = loan_features(src, AS_OF)
+    v1 = loan_features(src, AS_OF, region="v1")
+    assert len(v2.columns) == 100 and len(set(v2.columns)) == 100
+    assert len(v1.columns) == 101 and "ee_region_name_V2" in v1.columns
+    # every user appears: users without loans keep one row with null loan columns
+    users = src["users"].count()
+    assert v2.select("ee_customer_id").distinct().count() == users
