@@ -3,9 +3,10 @@
 Plan shape: live payments JOIN vendor responses (txn id) JOIN paid roll-up
 and ranked schedules (both on the schedule id text; the roll-up arrives
 already partitioned on it) JOIN loans x users (loan id). The installment
-DENSE_RANK is computed on schedules, not payments. The balance windows
-(ROW_NUMBER, LAG, running sum) partition by loan and share one exchange and
-sort; they hold one loan's payments, which its schedule bounds.
+DENSE_RANK is computed on schedules, not payments. The balance columns
+(ROW_NUMBER, LAG, LEAD, running sum) split each loan's payments by repaid
+day: per-row windows run inside one (loan, day) and one-row-per-day
+summaries carry values across days, so no task holds a whole loan.
 """
 
 from __future__ import annotations
@@ -100,17 +101,35 @@ def with_balance_before(fact: DataFrame) -> DataFrame:
 
     First payment of an installment: the previous installment's balance, else
     balance + paid amount; later payments: the previous payment's balance.
+    Payments of a loan are split by repaid day like `with_outstanding_balance`:
+    per-row windows run inside one (installment, day); one-row-per-day
+    summaries carry the sequence offset and the previous balance across days.
     """
     order = ["repaid_date", "due_date"] + PAYMENT_TIEBREAK
-    in_inst = Window.partitionBy("user_id", "loan_id", "installment_number").orderBy(*order)
-    in_loan = Window.partitionBy("user_id", "loan_id").orderBy("installment_number", *order)
-    seq = F.row_number().over(in_inst)
-    out = fact.select(
-        "*",
-        seq.alias("payment_seq"),
-        F.lag("outstanding_balance").over(in_loan).alias("prev_installment_balance"),
-        F.lag("outstanding_balance").over(in_inst).alias("_prev_in_inst"),
+    day = F.coalesce(F.col("repaid_date").cast("date"), F.lit(FIRST_DAY).cast("date"))
+    rows = fact.withColumn("_day", day).repartition("loan_id", "_day")
+    bucket = ["user_id", "loan_id", "installment_number", "_day"]
+    in_bucket = Window.partitionBy(*bucket).orderBy(*order)
+    rows = rows.select("*", F.row_number().over(in_bucket).alias("_rn"),
+                       F.lag("outstanding_balance").over(in_bucket).alias("_lag"))
+    # ascending with nulls first, as the window orders: max(struct) is the last row
+    last = F.max(F.struct(*[F.col(c) for c in order])).alias("_last")
+    days = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), last)
+    in_inst = Window.partitionBy("user_id", "loan_id", "installment_number").orderBy("_day")
+    in_loan = Window.partitionBy("user_id", "loan_id").orderBy("installment_number", "_day")
+    days = days.select(
+        *bucket,
+        F.coalesce(F.sum("_n").over(in_inst.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.lag("_last.outstanding_balance").over(in_inst).alias("_prev_inst_day"),
+        F.lag("_last.outstanding_balance").over(in_loan).alias("_prev_loan_day"),
     )
+    out = rows.join(days, bucket)
+    first_in_day = F.col("_rn") == 1
+    seq = (F.col("_offset") + F.col("_rn")).cast("int")
+    prev_inst = F.when(first_in_day, F.col("_prev_loan_day")).otherwise(F.col("_lag"))
+    prev_row = F.when(first_in_day, F.col("_prev_inst_day")).otherwise(F.col("_lag"))
+    out = out.select(*fact.columns, seq.alias("payment_seq"), prev_inst.alias("prev_installment_balance"),
+                     prev_row.alias("_prev_in_inst"))
     before = F.when(
         F.col("payment_seq") == 1,
         F.coalesce(F.col("prev_installment_balance"), F.col("outstanding_balance") + F.col("paid_amount")),
@@ -122,6 +141,7 @@ def with_balance_before(fact: DataFrame) -> DataFrame:
 # the remaining fact columns so exact ties cannot change a running total
 LOAN_ORDER_KEYS = ["repaid_date", "installment_number", "due_date", "vendor_id", "paid_principal"]
 NO_DAY = "9999-12-31"  # bucket for payments without a repaid date (sorted last)
+FIRST_DAY = "0001-01-01"  # same, where missing dates sort first
 
 
 def loan_order(cols: list[str]):
