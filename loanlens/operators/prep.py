@@ -9,7 +9,9 @@ from pyspark.sql.types import StringType
 
 from loanlens.functions import constants as K
 from loanlens.functions.exprs import add_months, as_ntz, null_tokens, try_date
-from loanlens.operators.repayments import with_next_vendor, with_outstanding_balance
+from loanlens.operators.repayments import (
+    balances_of_split, next_vendor_of_split, split_by_day, with_next_vendor, with_principal,
+)
 
 
 def _clean_id(df: DataFrame, name: str):
@@ -59,18 +61,23 @@ def employee_frame(features: DataFrame, with_employment_correct: bool = False) -
 def transition_resignation(repayments: DataFrame) -> DataFrame:
     """Per user: latest (repaid date + 1 month) of a TPSD payment whose next
     payment in the loan is TPFP. The last payment of a loan has no next."""
-    rows = with_next_vendor(repayments).select("user_id", "vendor_id", "repaid_date", "next_vendor")
+    return _transitions(with_next_vendor(repayments))
+
+
+def _transitions(with_next: DataFrame) -> DataFrame:
+    rows = with_next.select("user_id", "vendor_id", "repaid_date", "next_vendor")
     hits = rows.where((F.col("vendor_id") == K.VENDOR_SALARY) & (F.col("next_vendor") == K.VENDOR_AFTER_LEAVE))
     return hits.groupBy("user_id").agg(
         F.max(add_months(as_ntz("repaid_date"), 1)).alias("resignation_date_fp_new")
     )
 
 
-def prepare_employees(features: DataFrame, repayments: DataFrame) -> DataFrame:
+def prepare_employees(features: DataFrame, repayments: DataFrame, moved: DataFrame | None = None) -> DataFrame:
     """(ee_customer_id, ee_resignation_date_correct) per feature row, the
     resignation filled from vendor transitions where still missing."""
     emp = employee_frame(features)
-    moved = transition_resignation(repayments).withColumnRenamed("user_id", "_t_user")
+    moved = transition_resignation(repayments) if moved is None else moved
+    moved = moved.withColumnRenamed("user_id", "_t_user")
     joined = emp.join(moved, emp["ee_customer_id"] == moved["_t_user"], "left")
     return joined.select(
         "ee_customer_id",
@@ -83,6 +90,10 @@ REPAYMENT_INPUT_COLUMNS = ["user_id", "loan_id", "installment_number", "vendor_i
 
 def prepare_target_inputs(features: DataFrame, repayments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pair (employees, repayments) that `user_targets` takes."""
-    employees = prepare_employees(features, repayments)
-    balances = with_outstanding_balance(repayments, employee_frame(features))
+    # one split of the loan payments by day serves both the running balance
+    # and the next-vendor lookup (the shuffle is shared)
+    split = split_by_day(with_principal(repayments, employee_frame(features)))
+    moved = _transitions(next_vendor_of_split(split, repayments.columns))
+    employees = prepare_employees(features, repayments, moved)
+    balances = balances_of_split(split, repayments.columns)
     return employees, balances.select(*REPAYMENT_INPUT_COLUMNS)

@@ -175,10 +175,19 @@ def with_outstanding_balance(fact: DataFrame, employees: DataFrame) -> DataFrame
     payment gives null on its own row and is skipped afterwards;
     osbal_before is the previous row's osbal_after, else the principal.
     """
+    return balances_of_split(split_by_day(with_principal(fact, employees)), fact.columns)
+
+
+def with_principal(fact: DataFrame, employees: DataFrame) -> DataFrame:
+    """Fact rows with the loan principal of the employee frame (else null)."""
     principal = employees.select(
         F.col("ln_loan_id").alias("loan_id"), F.col("ln_original_principal")
     ).distinct()
-    rows = split_by_day(fact.join(principal, "loan_id", "left"))
+    return fact.join(principal, "loan_id", "left")
+
+
+def balances_of_split(rows: DataFrame, fact_columns: list[str]) -> DataFrame:
+    """Running balance columns over rows already split by `split_by_day`."""
     paid = F.col("paid_principal")
     # per day: total paid, and whether the day's last row has a payment
     last = F.max(F.struct(*_order_struct(rows.columns), paid.isNull().alias("_none")))
@@ -204,7 +213,7 @@ def with_outstanding_balance(fact: DataFrame, employees: DataFrame) -> DataFrame
     first_before = F.col("ln_original_principal") - F.col("_prev_end")
     before = F.when(F.col("_rn") == 1, first_before).otherwise(F.lag("osbal_after").over(in_day))
     return out.select(
-        *fact.columns, "ln_original_principal", "cumulative_paid_principal", "osbal_after",
+        *fact_columns, "ln_original_principal", "cumulative_paid_principal", "osbal_after",
         F.coalesce(before, F.col("ln_original_principal")).alias("osbal_before"),
     )
 
@@ -212,7 +221,11 @@ def with_outstanding_balance(fact: DataFrame, employees: DataFrame) -> DataFrame
 def with_next_vendor(repayments: DataFrame) -> DataFrame:
     """Add `next_vendor`: the vendor of the next payment of the loan in loan
     order (null for the last), split by day like `with_outstanding_balance`."""
-    rows = split_by_day(repayments)
+    return next_vendor_of_split(split_by_day(repayments), repayments.columns)
+
+
+def next_vendor_of_split(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """`next_vendor` over rows already split by `split_by_day`."""
     first = F.min(F.struct(*_order_struct(rows.columns), F.col("vendor_id").alias("_vendor")))
     days = rows.groupBy("loan_id", "_day").agg(first.alias("_first"))
     over_days = Window.partitionBy("loan_id").orderBy("_day")
@@ -221,4 +234,4 @@ def with_next_vendor(repayments: DataFrame) -> DataFrame:
     is_last = F.lead(F.lit(1)).over(in_day).isNull()
     out = rows.join(days, ["loan_id", "_day"])
     nxt = F.when(is_last, F.col("_next_day_vendor")).otherwise(F.lead("vendor_id").over(in_day))
-    return out.select(*repayments.columns, nxt.alias("next_vendor"))
+    return out.select(*columns, nxt.alias("next_vendor"))
