@@ -227,3 +227,44 @@ def json_scalar(col: ColumnOrName, key: str, strict: bool = False) -> Column:
 def money(col: ColumnOrName) -> Column:
     """Decimal money -> double at the output edge."""
     return _c(col).cast("double")
+
+
+# --- conditional aggregates -----------------------------------------------
+
+def sum_if(cond: Column, value: ColumnOrName | int = 1) -> Column:
+    """sum(case when cond then value else 0 end): a count or a volume."""
+    v = F.lit(value) if isinstance(value, int) else _c(value)
+    return F.sum(F.when(cond, v).otherwise(F.lit(0)))
+
+
+def min_if(cond: Column, value: ColumnOrName) -> Column:
+    """min(case when cond then value end): null when nothing matches."""
+    return F.min(F.when(cond, _c(value)))
+
+
+def max_if(cond: Column, value: ColumnOrName) -> Column:
+    """max(case when cond then value end): null when nothing matches."""
+    return F.max(F.when(cond, _c(value)))
+
+
+def any_flag(cond: Column) -> Column:
+    """1 if any row of the group matches, else 0."""
+    return F.max(flag(cond))
+
+
+def pivot_nth(pos: ColumnOrName, value: ColumnOrName, n: int, name: str) -> list[Column]:
+    """Value at position 1..n as one column each (`<name>_<k>`), without a pivot shuffle."""
+    return [min_if(_c(pos) == k, value).alias(f"{name}_{k}") for k in range(1, n + 1)]
+
+
+# --- parsing ------------------------------------------------------------------
+
+def parse_date(col: ColumnOrName, fmt: str = "yyyy-MM-dd", strict: bool = False) -> Column:
+    """Text -> date; invalid text gives null, or raises when `strict`."""
+    c = _c(col).cast("string")
+    return F.to_date(c, fmt) if strict else F.try_to_date(c, fmt)
+
+
+def parse_number(col: ColumnOrName, strict: bool = False) -> Column:
+    """Text -> double; invalid text gives null, or raises when `strict`."""
+    return _c(col).cast("double") if strict else _c(col).try_cast("double")

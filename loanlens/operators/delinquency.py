@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions import constants as K
-from loanlens.functions.exprs import days_between, flag, month_label
+from loanlens.functions.exprs import days_between, flag, max_if, min_if, month_label
+from loanlens.operators.relational import join_as_string
 from loanlens.sources.catalog import Sources, lit_date
 
 
@@ -58,9 +59,7 @@ def _delinquency_frame(src: Sources, as_of) -> DataFrame:
     paid = paid_payments(src).select(
         "repayment_schedule_id", F.col("amount").alias("pp_amount"), "repaid_date"
     )
-    sched_paid = sched.join(
-        paid, sched["id"].cast("string") == paid["repayment_schedule_id"], "left"
-    ).select(
+    sched_paid = join_as_string(sched, "id", paid, "repayment_schedule_id", "left").select(
         F.col("payment_response_id").alias("loan_id"),
         "due_date",
         F.col("amount").alias("annuity"),
@@ -117,16 +116,16 @@ def _points_frame(d: DataFrame, as_of) -> DataFrame:
         F.max(inst).alias("max_installment_number"),
         F.avg("principal").alias("principal"),
         F.avg("annuity").alias("annuity"),
-        F.min(F.when(inst == 1, F.col("annuity"))).alias("first_outstanding_due_amount"),
+        min_if(inst == 1, "annuity").alias("first_outstanding_due_amount"),
     ]
     for k, name in enumerate(["first", "second", "third", "fourth"], start=1):
-        aggs.append(F.min(F.when(inst == k, F.col("outstanding_balance"))).alias(f"{name}_outstanding_balance"))
+        aggs.append(min_if(inst == k, "outstanding_balance").alias(f"{name}_outstanding_balance"))
     for level in K.DPD_LEVELS:
         hit = F.col("dpd") > 0 if level == 0 else F.col("dpd") >= level
-        aggs.append(F.min(F.when(hit, inst)).alias(f"min_inst_{_level_name(level)}"))
+        aggs.append(min_if(hit, inst).alias(f"min_inst_{_level_name(level)}"))
     for level in K.DPD_LEVELS:
         aged = age > 0 if level == 0 else age >= level
-        aggs.append(F.max(F.when(aged, inst)).alias(f"obs_min_inst_{_level_name(level)}"))
+        aggs.append(max_if(aged, inst).alias(f"obs_min_inst_{_level_name(level)}"))
     # loan attributes carried through the same aggregate (constant per loan),
     # so the flag steps need no second join back to the loans table
     aggs += [
@@ -259,7 +258,7 @@ def payment_channels(src: Sources) -> DataFrame:
     sched = src.table("repayment_schedules", "id", "payment_response_id")
     loans = src.table("payment_responses", "id")
     pv = pay.join(crs, pay["txnid"] == crs["txn_id"]).select("repayment_schedule_id", "vendor_id")
-    lv = pv.join(sched, sched["id"].cast("string") == pv["repayment_schedule_id"]).select(
+    lv = join_as_string(sched, "id", pv, "repayment_schedule_id").select(
         F.col("payment_response_id").alias("loan_id"), "vendor_id"
     )
     lv = lv.join(loans.select(F.col("id").alias("loan_id")), "loan_id")

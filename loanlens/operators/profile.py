@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import constants as K
-from loanlens.functions.exprs import contains_class, flag, json_scalar
+from loanlens.functions.exprs import any_flag, contains_class, json_scalar
 from loanlens.operators.relational import latest_by
 from loanlens.sources.catalog import Sources, active
 
@@ -27,7 +27,7 @@ def frozen_status(src: Sources) -> DataFrame:
     """Per user with any tag: frozen_tag 0/1 (deleted tags count) and label."""
     tags = src.table("user_tag", "user_id", "tag_id")
     per_user = tags.groupBy("user_id").agg(
-        F.max(flag(F.col("tag_id").isin(list(K.FROZEN_TAG_IDS)))).alias("frozen_tag")
+        any_flag(F.col("tag_id").isin(list(K.FROZEN_TAG_IDS))).alias("frozen_tag")
     )
     return per_user.select(
         "user_id",

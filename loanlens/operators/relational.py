@@ -74,3 +74,28 @@ def unnest(df: DataFrame, array_col: str) -> DataFrame:
     """One row per element of an array of structs; null/empty arrays drop the row."""
     others = [c for c in df.columns if c != array_col]
     return df.select(*others, F.inline(F.col(array_col)))
+
+
+def first_by(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[ColumnOrName],
+    tiebreak: Sequence[ColumnOrName] = (),
+) -> DataFrame:
+    """One row per `keys`: the first row by ascending (`order`, `tiebreak`),
+    nulls first (a sort-then-keep-first de-dup, made deterministic)."""
+    return latest_by(df, keys, order, tiebreak, earliest=True)
+
+
+def join_as_string(left: DataFrame, left_key: str, right: DataFrame, right_key: str,
+                   how: str = "inner") -> DataFrame:
+    """Equi-join where the left key is an integer id and the right key its text
+    (the integer side is cast; never through double, so '123.0' cannot arise)."""
+    return left.join(right, left[left_key].cast("string") == right[right_key], how)
+
+
+def slice_window(df: DataFrame, windows: DataFrame, key: str, t: str, lo: str, hi: str) -> DataFrame:
+    """Rows of `df` whose `t` lies in their key's [lo, hi] window (both ends
+    included); `windows` has one row per key."""
+    joined = df.join(windows, on=key, how="inner")
+    return joined.where((F.col(t) >= F.col(lo)) & (F.col(t) <= F.col(hi)))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loanlens.functions import constants as K
 from loanlens.functions.exprs import add_months, as_ntz, flag, is_other_vendor, month_floor_prev
+from loanlens.operators.relational import not_in_keys, slice_window
 
 TARGET_COLUMNS = [
     "user_id", "target", "target_type", "last_tpsd_date", "obs_end", "perf_start_date", "perf_end_date",
@@ -115,9 +116,7 @@ def tpfp_labels(base: DataFrame, balance_threshold: float, current_date,
         F.least("r", "d").alias("perf_start_date"),
         add_months(F.greatest("r", "d"), perf_months).alias("perf_end_date"),
     )
-    span = base.join(perf, "user_id").where(
-        (F.col("repaid_date") >= F.col("perf_start_date")) & (F.col("repaid_date") <= F.col("perf_end_date"))
-    )
+    span = slice_window(base, perf, "user_id", "repaid_date", "perf_start_date", "perf_end_date")
     rows = span.select("user_id", "last_tpsd_date", "perf_start_date", "perf_end_date",
                        flag(is_other_vendor("vendor_id")).alias("row_target"))
     return _label(rows, current_date)
@@ -130,7 +129,7 @@ def leave_labels(base: DataFrame, current_date, perf_months: int = K.DEFAULT_PER
     resignation) .. + 2 months; target = any other vendor inside; users with
     no row inside keep target 0."""
     tpfp_users = tpfp_in_observation(base) if tpfp_users is None else tpfp_users
-    lv = base.join(tpfp_users, "user_id", "left_anti")
+    lv = not_in_keys(base, tpfp_users, "user_id")
     resign = F.col("ee_resignation_date_correct")
     lv = lv.where((resign <= F.col("obs_end")) & (resign >= month_floor_prev("last_tpsd_date")))
     start = F.greatest("last_tpsd_date", "ee_resignation_date_correct")
