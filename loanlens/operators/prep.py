@@ -28,6 +28,13 @@ def _as_ts(df: DataFrame, name: str):
     return as_ntz(name).alias(name)
 
 
+# the feature-table columns the prep stage reads
+FEATURE_INPUT_COLUMNS = [
+    "ee_customer_id", "ln_loan_id", "ln_original_principal", "ee_product_type", "ee_onboarding_date",
+    "ee_employment_date", "ee_resignation_date", "ee_permanent_freeze_date",
+]
+
+
 def employee_frame(features: DataFrame, with_employment_correct: bool = False) -> DataFrame:
     """Employer users with an onboarding date, one row per feature row.
 

@@ -31,10 +31,25 @@ from loanlens.sources.testdata import adapter_sources
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_SOURCES: dict[str, tuple[SparkSession, object]] = {}
+
+
+def _sources(spark: SparkSession, sf_dir: str):
+    """Adapter sources per (session, folder). Only the lazy DataFrame plans are
+    kept (nothing is cached in memory), so later queries skip re-parsing and
+    re-analysing the ~30 adapter statements."""
+    key = sf_dir.rstrip("/")
+    hit = _SOURCES.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, adapter_sources(spark, key))
+        _SOURCES[key] = hit
+    return hit[1]
+
+
 def _q(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fast_planning(spark)
-        return edge(fn(adapter_sources(spark, sf_dir)))
+        return edge(fn(_sources(spark, sf_dir)))
 
     return run
 
@@ -43,16 +58,17 @@ def _raw(fn) -> Query:
     """Like _q, but the operator's output types are kept (no decimal edge)."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fast_planning(spark)
-        return fn(adapter_sources(spark, sf_dir))
+        return fn(_sources(spark, sf_dir))
 
     run.__name__ = getattr(fn, "__name__", "query")
     return run
 
 
 def _inputs(s):
-    """Feature table and repayment fact handed to prep as written tables, as
-    in the source pipeline; labelling hands off its own shared base."""
-    features = handoff(loan_features(s, AS_OF))
+    """Feature table (the columns prep reads) and repayment fact handed to
+    prep as written tables, as in the source pipeline; labelling hands off
+    its own shared base."""
+    features = handoff(loan_features(s, AS_OF).select(*pr.FEATURE_INPUT_COLUMNS))
     fact = handoff(rp.repayment_fact(s, AS_OF))
     return pr.prepare_target_inputs(features, fact)
 
