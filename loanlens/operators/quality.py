@@ -80,11 +80,13 @@ def _moments(long: DataFrame, approx: bool) -> DataFrame:
         F.stddev_samp(d).alias("std"), F.skewness(d).alias("skew"), F.kurtosis(d).alias("kurt"),
         F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias("corr"),
     ]
-    if approx:
-        aggs.append(F.percentile_approx(d, list(QUANTILES)).alias("pq"))
-    else:
-        aggs.append(F.lit(None).cast("array<double>").alias("pq"))
-    return long.groupBy("ord").agg(*aggs)
+    moments = long.groupBy("ord").agg(*aggs)
+    if not approx:
+        return moments.withColumn("pq", F.lit(None).cast("array<double>"))
+    # sketches in their own aggregate: a typed (object) aggregate in the same
+    # groupBy would take the moments out of whole-stage codegen
+    sketches = long.where(d.isNotNull()).groupBy("ord").agg(F.percentile_approx(d, list(QUANTILES)).alias("pq"))
+    return moments.join(sketches, "ord", "left")
 
 
 def _value_counts(long: DataFrame) -> DataFrame:
