@@ -34,23 +34,17 @@ DEBUG_CONF = "spark.python.sql.dataFrameDebugging.enabled"
 
 
 def fast_planning(spark: SparkSession) -> None:
-    """Turn off per-call Python call-site capture in this process.
+    """Turn off per-call Python call-site capture where Spark allows it.
 
-    The conf is static: it can only be set when the session is built (as
-    `get_session` does). For a session built elsewhere only PySpark's
-    Python-side switch, cached on first use, is turned off.
+    The conf is static: it takes effect when set at session build time (as
+    `get_session` does). On a session built elsewhere it cannot change, and
+    planning simply keeps capturing call sites (slower, same results).
     """
     try:
         if spark.conf.get(DEBUG_CONF, "true").lower() != "false":
             spark.conf.set(DEBUG_CONF, "false")
     except Exception:  # noqa: BLE001 - static conf on a running session
         pass
-    try:
-        from pyspark.errors import utils as _eu
-
-        _eu._enable_debugging_cache = False
-    except (ImportError, AttributeError):
-        pass
 
 
 def get_session(
@@ -88,9 +82,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the setting is absent (local tests) is a folder created here.
     """
     sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="loanlens-ckpt-")
