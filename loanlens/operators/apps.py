@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loanlens.functions.exprs import clean_reference, strip_device_prefix, to_manila
 from loanlens.operators.relational import latest_by, unnest
-from loanlens.sources.catalog import Sources, lit_date
+from loanlens.sources.catalog import Sources, lit_date, require
 
 REFERENCE_COLUMNS = ["ee_customer_id", "id", "user_id", "reference_number", "cleaned_rn", "deleted_at", "created_at",
                      "updated_at"]
@@ -40,6 +40,7 @@ def user_reference(src: Sources, customers: DataFrame, cutoff, mode: str = "stri
     """
     refs = src.table("credo_lab_reference_numbers", "id", "user_id", "reference_number", "deleted_at",
                      "created_at", "updated_at")
+    require(customers, ["ee_customer_id", "ee_onboarding_date"], "customers")
     onboard = customers.select("ee_customer_id", "ee_onboarding_date").distinct()
     joined = refs.join(onboard, refs["user_id"] == onboard["ee_customer_id"]).where(
         F.col("created_at").cast("date") <= F.col("ee_onboarding_date").cast("date")

@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType
 
 from loanlens.functions import constants as K
 from loanlens.functions.exprs import add_months, as_ntz, null_tokens, try_date
+from loanlens.sources.catalog import require
 from loanlens.operators.repayments import (
     balances_of_split, next_vendor_of_split, split_by_day, with_next_vendor, with_principal,
 )
@@ -42,6 +43,7 @@ def employee_frame(features: DataFrame, with_employment_correct: bool = False) -
     With `with_employment_correct`, also the earlier of onboarding and
     employment date (date part).
     """
+    require(features, FEATURE_INPUT_COLUMNS, "feature table")
     f = features.where(
         (F.col("ee_product_type") == K.EMPLOYER_PRODUCT_TYPE) & F.col("ee_onboarding_date").isNotNull()
     )
@@ -97,6 +99,9 @@ REPAYMENT_INPUT_COLUMNS = ["user_id", "loan_id", "installment_number", "vendor_i
 
 def prepare_target_inputs(features: DataFrame, repayments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pair (employees, repayments) that `user_targets` takes."""
+    require(features, FEATURE_INPUT_COLUMNS, "feature table")
+    require(repayments, ["user_id", "loan_id", "installment_number", "vendor_id", "repaid_date", "due_date",
+                         "paid_principal"], "repayment fact")
     # one split of the loan payments by day serves both the running balance
     # and the next-vendor lookup (the shuffle is shared)
     split = split_by_day(with_principal(repayments, employee_frame(features)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loanlens.functions import constants as K
 from loanlens.operators.delinquency import dpd, paid_payments
-from loanlens.sources.catalog import Sources, active, lit_date
+from loanlens.sources.catalog import Sources, active, lit_date, require
 
 FACT_COLUMNS = [
     "user_id", "loan_id", "installment_number", "vendor_id", "subfamily", "repaid_date", "due_date",
@@ -175,6 +175,8 @@ def with_outstanding_balance(fact: DataFrame, employees: DataFrame) -> DataFrame
     payment gives null on its own row and is skipped afterwards;
     osbal_before is the previous row's osbal_after, else the principal.
     """
+    require(fact, ["loan_id", "repaid_date", "installment_number", "paid_principal"], "repayment fact")
+    require(employees, ["ln_loan_id", "ln_original_principal"], "employee frame")
     return balances_of_split(split_by_day(with_principal(fact, employees)), fact.columns)
 
 

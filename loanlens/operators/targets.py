@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from loanlens.functions import constants as K
 from loanlens.functions.exprs import add_months, as_ntz, flag, is_other_vendor, month_floor_prev
 from loanlens.operators.relational import not_in_keys, slice_window
+from loanlens.sources.catalog import require
 
 TARGET_COLUMNS = [
     "user_id", "target", "target_type", "last_tpsd_date", "obs_end", "perf_start_date", "perf_end_date",
@@ -159,6 +160,9 @@ def user_targets(
     source's final sort (user id as text, target type, target); a written
     table does not keep row order, so it is off by default.
     """
+    require(repayments, ["user_id", "loan_id", "installment_number", "vendor_id", "repaid_date", "due_date",
+                         "osbal_after"], "repayments")
+    require(employees, ["ee_customer_id", "ee_resignation_date_correct"], "employees")
     rep = attach_resignation(repayments, employees)
     anchor = tpsd_anchor(rep, balance_threshold, obs_window, current_date)
     base = target_base(rep, anchor)

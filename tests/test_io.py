@@ -40,3 +40,28 @@ def test_replace_table(spark):
     assert name == "loanlens_test.scores_20250915"
     lio.replace_table(spark.range(5), "loanlens_test", "scores", "2025-09-15")
     assert spark.table(name).count() == 5
+
+
+def test_missing_columns_are_named(spark):
+    from loanlens.operators import targets as tg
+    from loanlens.sources import MissingColumns, Sources
+
+    reps = spark.createDataFrame([(1, 10)], "user_id bigint, loan_id bigint")
+    emp = spark.createDataFrame([(1,)], "ee_customer_id bigint")
+    with pytest.raises(MissingColumns, match="vendor_id"):
+        tg.user_targets(reps, emp)
+    with pytest.raises(MissingColumns, match="tendopay_user_id"):
+        from loanlens.operators import delinquency as dq
+
+        dq.delinquency(Sources({"payment_responses": reps, "users": reps}), "2025-01-01")
+
+
+def test_sources_from_parquet(spark):
+    from loanlens.sources import Sources
+
+    root = tempfile.mkdtemp(prefix="loanlens-src-")
+    spark.range(4).withColumnRenamed("id", "user_id").write.parquet(f"{root}/user_tag")
+    src = Sources.from_parquet(spark, root)
+    assert src.table("user_tag", "user_id").count() == 4
+    with pytest.raises(Exception):
+        src.table("user_tag", "tag_id")
