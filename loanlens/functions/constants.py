@@ -4,6 +4,11 @@ These must equal the business rules the tables are defined by; they are
 stated here once, as plain data, in natural order.
 """
 
+# --- fixed values: source column names of the loan table -------------------
+LOAN_USER_ID = "tendopay_user_id"
+LOAN_TERM = "tendopay_installments"
+LOAN_DISPOSITION = "tendopay_disposition"
+
 # --- fixed values: loan and payment codes --------------------------------
 SUCCESS_DISPOSITION = "success"
 DISBURSED_STATUS = "PTOK"

@@ -47,10 +47,10 @@ def dpd(annuity, paid_amount, repaid_date, due_date, as_of_col):
 def _delinquency_frame(src: Sources, as_of) -> DataFrame:
     as_of_col = lit_date(as_of)
     loans = src.table(
-        "payment_responses", "id", "tendopay_user_id", "principal", "fee", "bir",
-        "tendopay_installments", "created_at", "status", "tendopay_disposition",
+        "payment_responses", "id", K.LOAN_USER_ID, "principal", "fee", "bir",
+        K.LOAN_TERM, "created_at", "status", K.LOAN_DISPOSITION,
     ).where(
-        (F.col("tendopay_disposition") == K.SUCCESS_DISPOSITION) & (F.col("status") == K.DISBURSED_STATUS)
+        (F.col(K.LOAN_DISPOSITION) == K.SUCCESS_DISPOSITION) & (F.col("status") == K.DISBURSED_STATUS)
     )
     users = src.table("users", "id", "product_type").select(
         F.col("id").alias("user_id"), "product_type"
@@ -67,14 +67,14 @@ def _delinquency_frame(src: Sources, as_of) -> DataFrame:
         "repaid_date",
         "outstanding_balance",
     )
-    loan_users = loans.join(users, loans["tendopay_user_id"] == users["user_id"]).select(
+    loan_users = loans.join(users, loans[K.LOAN_USER_ID] == users["user_id"]).select(
         "user_id",
         "product_type",
         F.col("id").alias("loan_id"),
         "principal",
         "fee",
         "bir",
-        F.col("tendopay_installments").alias("term"),
+        F.col(K.LOAN_TERM).alias("term"),
         month_label("created_at").alias("mth"),
         F.col("created_at").cast("date").alias("loan_created_date"),
     )

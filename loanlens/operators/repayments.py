@@ -41,8 +41,8 @@ def repayment_fact(src: Sources, as_of, ordered: bool = False) -> DataFrame:
     users = active(src.table("users", "id", "product_type", "is_delete")).where(
         F.col("product_type") == K.EMPLOYER_PRODUCT_TYPE
     ).select(F.col("id").alias("user_id"))
-    loans = src.table("payment_responses", "id", "tendopay_user_id").select(
-        F.col("id").alias("loan_id"), F.col("tendopay_user_id").alias("user_id")
+    loans = src.table("payment_responses", "id", K.LOAN_USER_ID).select(
+        F.col("id").alias("loan_id"), F.col(K.LOAN_USER_ID).alias("user_id")
     )
     sched = active(src.table("repayment_schedules", "id", "payment_response_id", "due_date", "principal", "interest",
                              "amount", "outstanding_balance", "is_delete")).select(

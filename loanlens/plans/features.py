@@ -222,8 +222,8 @@ def _user_side(src: Sources, as_of, region: str, cl: DataFrame) -> DataFrame:
 
 def _loan_side(src: Sources, flags: DataFrame) -> DataFrame:
     loans = src.table(
-        "payment_responses", "id", "tendopay_user_id", "merchant_id", "merchant_order_id", "status", "principal",
-        "fee", "tendopay_installments", "created_at", "repaid_full", "fully_repaid_at",
+        "payment_responses", "id", K.LOAN_USER_ID, "merchant_id", "merchant_order_id", "status", "principal",
+        "fee", K.LOAN_TERM, "created_at", "repaid_full", "fully_repaid_at",
     )
     xendit = src.table("xendit_payment_responses", "reference_id", "channel_code").select(
         F.col("reference_id").alias("x_ref"), F.col("channel_code").alias("ln_disbursement_channel")
@@ -234,14 +234,14 @@ def _loan_side(src: Sources, flags: DataFrame) -> DataFrame:
         .join(flags, F.col("id") == F.col("f_loan_id"), "left")
     )
     return side.select(
-        F.col("tendopay_user_id").alias("loan_user_id"),
+        F.col(K.LOAN_USER_ID).alias("loan_user_id"),
         F.col("id").alias("ln_loan_id"),
         "merchant_id",
         F.col("status").alias("ln_status_code"),
         "ln_disbursement_channel",
         F.col("principal").alias("ln_original_principal"),
         F.col("fee").alias("ln_orig_interest_fees"),
-        F.col("tendopay_installments").alias("ln_orig_tenor"),
+        F.col(K.LOAN_TERM).alias("ln_orig_tenor"),
         F.col("created_at").alias("ln_loan_application_datetime"),
         F.col("repaid_full").alias("ln_repaid_full_flag"),
         F.col("fully_repaid_at").cast("date").alias("ln_fully_repaid_date"),

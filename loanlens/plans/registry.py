@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loanlens.operators import apps as ap
+from loanlens.functions import constants as K
 from loanlens.operators import delinquency as dq
 from loanlens.operators import prep as pr
 from loanlens.operators import profile as pf
@@ -108,7 +109,7 @@ QUERIES: dict[str, Query] = {
     "frozen_status": _q(pf.frozen_status),
     "fraud_status": _q(pf.fraud_status),
     "permanent_freeze": _q(pf.permanent_freeze),
-    "latest_by": _q(lambda s: latest_by(s.table("payment_responses"), ["tendopay_user_id"], ["created_at"], ["id"])),
+    "latest_by": _q(lambda s: latest_by(s.table("payment_responses"), [K.LOAN_USER_ID], ["created_at"], ["id"])),
     "latest_employment": _q(pf.latest_employment),
     "latest_kyc_document": _q(pf.latest_kyc_document),
     "user_address": _q(pf.user_address),
