@@ -68,6 +68,9 @@ def get_session(
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     builder = builder.config(DEBUG_CONF, "false")
+    # hand-offs write reliable checkpoints; remove their files once the
+    # DataFrame that reads them is garbage-collected
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in (extra_conf or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
