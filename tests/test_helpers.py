@@ -35,3 +35,13 @@ def test_first_by_join_as_string_and_slice(spark):
     rows = spark.createDataFrame([(1, 5), (1, 10), (1, 11), (2, 1)], "k int, t int")
     win = spark.createDataFrame([(1, 5, 10)], "k int, lo int, hi int")
     assert sorted(r.t for r in R.slice_window(rows, win, "k", "t", "lo", "hi").collect()) == [5, 10]
+
+
+def test_asof_latest_and_keys(spark):
+    left = spark.createDataFrame([(1, 10), (2, 5)], "k int, t int")
+    right = spark.createDataFrame([(1, 3, "a"), (1, 9, "b"), (1, 11, "c"), (2, 6, "d")], "k int, rt int, v string")
+    got = {r.k: r.v for r in R.asof_latest(left, right, "k", "t", "rt").collect()}
+    assert got == {1: "b"}
+    keys = spark.createDataFrame([(1,), (1,)], "k int")
+    assert R.in_keys(left, keys, "k").count() == 1
+    assert [r.k for r in R.not_in_keys(left, keys, "k").collect()] == [2]
