@@ -73,3 +73,17 @@ def test_other_vendor_and_flag(spark):
     assert got == [0, 0, 1, 1]
     df = _one_col(spark, [True, False, None], "b boolean")
     assert [r[0] for r in df.select(X.flag(F.col("b"))).collect()] == [1, 0, 0]
+
+
+def test_strict_modes_raise(spark):
+    import pytest
+
+    df = spark.createDataFrame([("2020-13", "abc", "bad {")], "d string, i string, j string")
+    with pytest.raises(Exception):
+        df.select(X.loose_date("d", strict=True)).collect()
+    with pytest.raises(Exception):
+        df.select(X.income_midpoint("i", strict=True)).collect()
+    with pytest.raises(Exception):
+        df.select(X.json_scalar("j", K.DEBT_INCOME_KEY, strict=True)).collect()
+    ok = df.select(X.loose_date("d"), X.income_midpoint("i"), X.json_scalar("j", K.DEBT_INCOME_KEY)).first()
+    assert tuple(ok) == (None, None, None)
