@@ -268,3 +268,10 @@ def parse_date(col: ColumnOrName, fmt: str = "yyyy-MM-dd", strict: bool = False)
 def parse_number(col: ColumnOrName, strict: bool = False) -> Column:
     """Text -> double; invalid text gives null, or raises when `strict`."""
     return _c(col).cast("double") if strict else _c(col).try_cast("double")
+
+
+def nan_to_null(col: ColumnOrName) -> Column:
+    """Floating NaN -> null (pandas treats NaN as missing; Spark would count
+    it, compare it above every number and return it from max)."""
+    c = _c(col)
+    return F.when(~F.isnan(c), c)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from loanlens.functions.exprs import nan_to_null
 from pyspark.sql.types import (
     BooleanType, ByteType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType,
 )
@@ -41,7 +42,12 @@ def report_columns(target_col: str) -> list[str]:
 
 def _value(df: DataFrame, name: str):
     c = F.col(f"`{name}`")
-    return c.cast("int") if isinstance(df.schema[name].dataType, BooleanType) else c
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, BooleanType):
+        return c.cast("int")
+    if isinstance(dtype, (FloatType, DoubleType)):
+        return nan_to_null(c)  # NaN counts as missing, as in pandas
+    return c
 
 
 def _lerp(a, b, t):

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import constants as K
-from loanlens.functions.exprs import add_months, as_ntz, flag, is_other_vendor, month_floor_prev
+from pyspark.sql.types import DoubleType, FloatType
+
+from loanlens.functions.exprs import add_months, as_ntz, flag, is_other_vendor, month_floor_prev, nan_to_null
 from loanlens.operators.relational import not_in_keys, slice_window
 from loanlens.sources.catalog import require
 
@@ -41,9 +43,12 @@ def attach_resignation(repayments: DataFrame, employees: DataFrame) -> DataFrame
     dim = employees.groupBy("ee_customer_id").agg(
         F.max("ee_resignation_date_correct").alias("ee_resignation_date_correct")
     )
+    bal = F.col("osbal_after")
+    if isinstance(repayments.schema["osbal_after"].dataType, (FloatType, DoubleType)):
+        bal = nan_to_null(bal)  # NaN balance = missing, as pandas compares it
     rep = repayments.select(
         "user_id", "loan_id", "installment_number", "vendor_id",
-        as_ntz("repaid_date").alias("repaid_date"), as_ntz("due_date").alias("due_date"), "osbal_after",
+        as_ntz("repaid_date").alias("repaid_date"), as_ntz("due_date").alias("due_date"), bal.alias("osbal_after"),
     )
     return rep.join(dim, rep["user_id"] == dim["ee_customer_id"], "left").drop("ee_customer_id")
 

@@ -32,3 +32,9 @@ def test_constant_column(spark):
 def test_approx_matches_on_small_data(spark):
     r = _report(spark, [1, 2, 4, 8, 16, None], approx=True)["x"]
     assert r["Unique Values"] == 5 and r["Median"] == 4.0
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
+    r = {row["Column"]: row for row in data_quality_report(df, target_col="t").collect()}["x"]
+    assert r["Missing Values"] == 2 and r["Mean"] == 2.0 and r["Max"] == 3.0 and r["Unique Values"] == 2
