@@ -251,10 +251,40 @@ def _loan_side(src: Sources, flags: DataFrame) -> DataFrame:
     )
 
 
-def loan_features(src: Sources, as_of, region: str = "v2") -> DataFrame:
-    """The wide customer x loan feature table (100 columns; 101 with region="v1")."""
+# left-joined tables that are not de-duplicated: (table, key) -> extra rows fan out
+FAN_OUT_TABLES = [
+    ("income_info", "user_id"), ("id_info", "user_id"), ("user_timelines", "user_id"),
+    ("kyc_credit_info", "user_id"), ("employer_group", "employer_id"), ("model_has_permissions", "model_id"),
+    ("xendit_payment_responses", "reference_id"),
+]
+
+
+def duplicated_keys(src: Sources) -> list[str]:
+    """Fan-out tables that hold a key more than once. One bounded job per
+    table: a grouped count that stops at the first duplicate found."""
+    found = []
+    for table, key in FAN_OUT_TABLES:
+        dup = src.table(table, key).groupBy(key).count().where(F.col("count") > 1)
+        if dup.limit(1).count() > 0:
+            found.append(f"{table}.{key}")
+    return found
+
+
+def loan_features(src: Sources, as_of, region: str = "v2", on_duplicate: str = "keep") -> DataFrame:
+    """The wide customer x loan feature table (100 columns; 101 with region="v1").
+
+    on_duplicate="keep" keeps the source semantics: a key repeated in a
+    left-joined table repeats the user's rows. "error" checks those tables
+    first and raises, naming them, if any key repeats.
+    """
     if region not in ("v1", "v2"):
         raise ValueError(f"region must be 'v1' or 'v2', not {region!r}")
+    if on_duplicate not in ("keep", "error"):
+        raise ValueError(f"on_duplicate must be 'keep' or 'error', not {on_duplicate!r}")
+    if on_duplicate == "error":
+        dups = duplicated_keys(src)
+        if dups:
+            raise ValueError(f"duplicate keys in left-joined tables: {', '.join(dups)}")
     loan_flags, customer_flags = dq.default_flags(src, as_of)
     users = _user_side(src, as_of, region, customer_flags)
     loans = _loan_side(src, loan_flags)

@@ -58,3 +58,14 @@ def test_feature_table_width(src):
     # every user appears: users without loans keep one row with null loan columns
     users = src["users"].count()
     assert v2.select("ee_customer_id").distinct().count() == users
+
+
+def test_on_duplicate_error(src):
+    from loanlens.plans.features import loan_features
+
+    assert loan_features(src, AS_OF, on_duplicate="error").count() > 0
+    doubled = src.with_tables(income_info=src["income_info"].unionByName(src["income_info"]))
+    with pytest.raises(ValueError, match="income_info"):
+        loan_features(doubled, AS_OF, on_duplicate="error")
+    # default keeps the fan-out: every income row repeats the user's rows
+    assert loan_features(doubled, AS_OF).count() > loan_features(src, AS_OF).count()
