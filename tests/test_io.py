@@ -65,3 +65,15 @@ def test_sources_from_parquet(spark):
     assert src.table("user_tag", "user_id").count() == 4
     with pytest.raises(Exception):
         src.table("user_tag", "tag_id")
+
+
+def test_declared_schemas_match_adapter(spark):
+    from loanlens.sources.schemas import SCHEMAS, conform, ddl
+    from loanlens.sources.testdata import adapter_sources
+
+    src = adapter_sources(spark, "/root/testdata/sf0.001")
+    for name in SCHEMAS:
+        df = conform(src[name], name)
+        assert [f.name for f in df.schema.fields] == [c for c, _ in SCHEMAS[name]]
+    # DDL strings are readable by Spark
+    assert spark.createDataFrame([], ddl("payment_responses")).columns[1] == "tendopay_user_id"
