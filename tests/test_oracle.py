@@ -22,3 +22,9 @@ def test_entry_runs(spark):
     from __spark_entry__ import entry
 
     assert entry(spark).count() > 0
+
+
+def test_oracle_keys_are_registered():
+    qs, sqls = set(queries()), set(oracle_sql())
+    assert sqls <= qs
+    assert qs - sqls == {"data_quality_report_approx"}
