@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import decontamination, line_dedup, packing, secret_scan, sharding, suffix_dedup
+from loanlens.llm import decontamination, jaccard_join, line_dedup, packing, secret_scan, sharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": _over_documents(line_dedup.dedup_lines),
     "op3_packing": _over_documents(packing.pack_documents),
     "op4_suffix_dedup": _over_documents(suffix_dedup.remove_repeats),
+    "op5_jaccard_join": _over_documents(jaccard_join.jaccard_components),
     "op8_decontamination": lambda spark, sf_dir: decontamination.find_leaks(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op9_secret_scan": _over_documents(secret_scan.scan_secrets),
