@@ -39,7 +39,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -153,28 +152,23 @@ def _window_ranks(hulls: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
 def _repeats(length: int):
     """One anchor's distinct hulls: the starts whose window's rank pair occurs again."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
-        first, second, owner = _window_ranks(list(group["hull"]), length)
+    schema = pa.schema([*_KEY, ("start", pa.int64()), ("n", pa.int32())])
+
+    def run(group: pa.Table) -> pa.Table:
+        first, second, owner = _window_ranks(group.column("hull").to_pylist(), length)
         order = np.lexsort((second, first))
         same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
         again = np.zeros(len(order), dtype=bool)
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
-        again &= ~group["done"].to_numpy()[owner]
+        again &= ~group.column("done").to_numpy()[owner]
         at = np.flatnonzero(again)
-        if not len(at):
-            return pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "text_key": pd.Series(dtype="int64"),
-                                 "start": pd.Series(dtype="int64"), "n": pd.Series(dtype="int32")})
-        cut = np.r_[True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])]
-        first_at = at[cut]
-        rows = owner[first_at]
-        begin = np.searchsorted(owner, rows)
-        return pd.DataFrame({
-            "doc_id": group["doc_id"].astype("Int64").to_numpy()[rows], "text_key": group["text_key"].to_numpy()[rows],
-            "start": group["start"].to_numpy()[rows] + first_at - begin,
-            "n": np.diff(np.r_[np.flatnonzero(cut), len(at)]).astype(np.int32),
-        }).astype({"doc_id": "Int64"})
+        cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])][: len(at)])
+        rows = owner[at[cut]]
+        start = group.column("start").to_numpy()[rows] + at[cut] - np.searchsorted(owner, rows)
+        return pa.Table.from_arrays([
+            group.column("doc_id").take(pa.array(rows)), group.column("text_key").take(pa.array(rows)), pa.array(start),
+            pa.array(np.diff(np.r_[cut, len(at)]).astype(np.int32))], schema=schema)
 
     return run
 
@@ -217,7 +211,7 @@ def _windows_in_hot_groups(hulls: DataFrame, length: int, group_rows: int) -> li
         large = sizes.where(F.col("rows") > group_rows).select("rank")
         small = sizes.where(F.col("rows").between(2, group_rows)).select("rank")
         spans.append(staged(
-            hulls.join(small, "rank", "left_semi").groupBy("rank").applyInPandas(_repeats(length), SPANS)))
+            hulls.join(small, "rank", "left_semi").groupBy("rank").applyInArrow(_repeats(length), SPANS)))
         if large.isEmpty():
             return spans
         hot = hulls.join(large, "rank", "left_semi")
