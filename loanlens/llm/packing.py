@@ -25,12 +25,13 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,38 +48,77 @@ _FIELDS = [f.split()[0] for f in PIECES.split(", ")]
 _SCHEMA = pa.schema([(n, pa.bool_() if n == "open" else pa.int64()) for n in _FIELDS])
 
 
+# Plain words: letters whose lower case and composed form are one letter, then marks.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Plain letters as the byte-level alphabet writes their UTF-8 bytes: a
+    printable Latin-1 byte as itself, the others in order from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    letter = {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
 class WordTokenizer:
-    """Little-endian uint32 ids of a text, word by word."""
+    """Little-endian uint32 ids of a text, word by word.
+
+    A word made of plain letters and marks goes to the vocabulary's merges
+    directly (its letters and its marks are encoded apart anyway); any other
+    word goes through the whole tokenizer. Both are remembered in two
+    generations of at most `kept` words.
+    """
 
     def __init__(self, path: str, kept: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._merges = self._tokenizer.model
+        self._letters = _byte_letters()
         self._kept = kept
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
+        self._marks: dict[str, bytes] = {"": b""}
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        plain = _PLAIN.fullmatch(text) if len(word) <= 64 else None
+        if not plain:
+            return self._whole(text)
+        letters, marks = plain.groups()
+        if marks not in self._marks:
+            if len(self._marks) > 1000:
+                return self._whole(text)
+            self._marks[marks] = self._whole(marks)
+        letters = letters.lower()
+        known = self._young.get(key := letters.encode()) or self._old.get(key)
+        if known is None:
+            found = self._merges.tokenize(letters if letters.isascii() else letters.translate(self._letters))
+            known = self._young[key] = array("I", [t.id for t in found]).tobytes()
+        return known + self._marks[marks]
 
     def ids(self, body: bytes) -> bytes:
         words = body.split()  # ASCII white space
+        young = self._young
         try:
-            return b"".join(map(self._young.__getitem__, words))
+            return b"".join(map(young.__getitem__, words))
         except KeyError:
             pass
-        if len(self._young) > self._kept:  # bounded: forget what was not used lately
-            self._old, self._young = self._young, {}
+        if len(young) > self._kept:  # bounded: forget what was not used lately
+            self._old, self._young = young, {}
+            young = self._young
         extra: dict[bytes, bytes] = {}
-        young, old, new = self._young, self._old, []
         for w in set(words):
             if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
-        for w, e in zip(new, self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            (young if len(w) <= 64 else extra)[w] = np.array(e.ids, dtype="<u4").tobytes()
+                ids = self._old.get(w)
+                (young if len(w) <= 64 else extra)[w] = self._word(w) if ids is None else ids
         if extra:
-            return b"".join([young[w] if w in young else extra[w] for w in words])
+            return b"".join([extra[w] if w in extra else young[w] for w in words])
         return b"".join(map(young.__getitem__, words))
 
 
@@ -183,22 +223,19 @@ def _pack_partition(path: str, open_windows: int):
 
 
 def _merge_group(level: int, open_windows: int, last: bool):
-    def run(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        group = int(key[0])
-        ids = pieces["doc_id"]
-        order = pieces.assign(_null=ids.isna()).sort_values(
-            ["length", "_null", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
-        windows = OpenWindows(len(order) + 1)
-        for p in zip(order["doc_id"], order["start"], order["length"], order["ids_crc32"], order["doc_tokens"]):
+    def run(key: tuple, pieces: pa.Table) -> pa.Table:
+        group = key[0].as_py()
+        rows = zip(*(pieces.column(n).to_pylist() for n in _FIELDS[:5]))  # doc_id, start, length, ids_crc32, doc_tokens
+        windows = OpenWindows(pieces.num_rows + 1)
+        for p in sorted(rows, key=lambda p: (-p[2], p[0] is None, p[0] or 0, *p[1:])):
             if not windows.fits(p[2]):
                 windows.open()
-            windows.put((None if pd.isna(p[0]) else int(p[0]), *map(int, p[1:])))
+            windows.put(p)
         left = windows.free  # by room: the emptiest last
         cut = len(left) if last else max(0, len(left) - open_windows)
         done = windows.closed + [(n, windows.content[n]) for _, n in left[:cut]]
         kept = [(n, windows.content[n]) for _, n in left[cut:]]
-        out = [pd.DataFrame(_rows(x, _prefix(level, group), group, o)) for x, o in ((done, False), (kept, True))]
-        return pd.concat(out).astype({"doc_id": "Int64", "open": bool})
+        return pa.concat_tables([pa.Table.from_pydict(_rows(x, _prefix(level, group), group, o), schema=_SCHEMA) for x, o in ((done, False), (kept, True))])
 
     return run
 
@@ -219,7 +256,7 @@ def pack_documents(docs: DataFrame, open_windows: int = 16, fan_in: int = 32, to
         last = parts == 1
         merged = staged(
             left.withColumn("group", F.floor(F.col("part") / fan_in))
-            .groupBy("group").applyInPandas(_merge_group(level, open_windows, last), PIECES)
+            .groupBy("group").applyInArrow(_merge_group(level, open_windows, last), PIECES)
         )
         done.append(merged.where("not open"))
         left = merged.where("open")
