@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loanlens.llm import decontamination, jaccard_join, line_dedup, packing, secret_scan, sharding, suffix_dedup
+from loanlens.llm import decontamination, jaccard_join, line_dedup, packing, quality_classifier, secret_scan, sharding, suffix_dedup, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,15 +21,42 @@ def _over_documents(operator) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": _over_documents(line_dedup.dedup_lines),
     "op3_packing": _over_documents(packing.pack_documents),
     "op4_suffix_dedup": _over_documents(suffix_dedup.remove_repeats),
     "op5_jaccard_join": _over_documents(jaccard_join.jaccard_components),
+    "op6_quality_classifier": _quality,
+    "op7_topk_search": _topk,
     "op8_decontamination": lambda spark, sf_dir: decontamination.find_leaks(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op9_secret_scan": _over_documents(secret_scan.scan_secrets),
     "op10_sharding": _over_documents(sharding.shard_documents),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk_search": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), q as (select distinct vec_id, v from v where vec_id % 50 = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5""",
+}
