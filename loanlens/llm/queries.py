@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import decontamination, jaccard_join, line_dedup, packing, quality_classifier, secret_scan, sharding, suffix_dedup, topk_search
+from loanlens.llm import decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, secret_scan, sharding, suffix_dedup, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,7 @@ def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": _over_documents(line_dedup.dedup_lines),
+    "op2_lm_scoring": _over_documents(lm_scoring.score_documents),
     "op3_packing": _over_documents(packing.pack_documents),
     "op4_suffix_dedup": _over_documents(suffix_dedup.remove_repeats),
     "op5_jaccard_join": _over_documents(jaccard_join.jaccard_components),
