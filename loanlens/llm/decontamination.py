@@ -120,32 +120,56 @@ def _probe(sent, threshold: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, slice_shingles: int = 2_000_000) -> DataFrame:
-    """doc_id, item_id, item_shingles, shared, containment, doc_shingles for every
-    document and item with containment of at least `threshold`."""
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be in (0, 1]")
-    spark = docs.sparkSession
+def _sent_slices(benchmark: DataFrame, slice_shingles: int) -> Iterator:
+    """Broadcast lists of (item_id, shingles), each of about `slice_shingles`."""
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"),
         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"),
     ).mapInArrow(_item_shingles, _ITEMS).where(F.size("shingles") > 0)
     total = items.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("n")).first().n
     slices = -(-total // slice_shingles) or 1
-    body = documents(docs).select("doc_id", "body")
-    found = None
     for s in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(slices)) == s)
-        sent = spark.sparkContext.broadcast([(r.item_id, r.shingles) for r in part.toLocalIterator()])  # about slice_shingles longs
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, r.shingles) for r in part.toLocalIterator()])
+
+
+def _checked(threshold: float) -> None:
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, slice_shingles: int = 2_000_000) -> DataFrame:
+    """doc_id, item_id, item_shingles, shared, containment, doc_shingles for every
+    document and item with containment of at least `threshold`."""
+    _checked(threshold)
+    body = documents(docs).select("doc_id", "body")
+    found = None
+    for sent in _sent_slices(benchmark, slice_shingles):
         hits = body.mapInArrow(_probe(sent, threshold), HITS)
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` (all columns) whose document holds no test item.
+def _without_leaks(sent, threshold: float, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = SketchIndex(sent.value, threshold)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            body = pa.RecordBatch.from_arrays([batch.column(text).cast(pa.binary()).fill_null(b"")], names=["body"])
+            for start, _, data, offsets in blocks(body):
+                value, owner = shingle_hashes(*words(data, offsets), SHINGLE)
+                for d in index.candidates(value, owner):
+                    lo, hi = np.searchsorted(owner, [d, d + 1])
+                    clean[start + int(d)] = not index.contained(np.unique(value[lo:hi]))
+            yield batch.filter(pa.array(clean))
+
+    return run
+
 
-    A row with a null id stays unless a null id was found to leak.
-    """
-    leaks = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(leaks["_leaking"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, slice_shingles: int = 2_000_000) -> DataFrame:
+    """The rows of `docs`, all columns, whose text holds no test item: one scan
+    per slice of the benchmark, no shuffle."""
+    _checked(threshold)
+    for sent in _sent_slices(benchmark, slice_shingles):
+        docs = docs.mapInArrow(_without_leaks(sent, threshold, docs.columns.index("text")), docs.schema)
+    return docs

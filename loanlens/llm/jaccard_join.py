@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import blocks, distinct_pairs, documents, shingle_hashes, staged, words
+from loanlens.llm.common import blocks, distinct_pairs, documents, shingle_hashes, staged, text_key, words
 from loanlens.llm.components import components
 
 SHINGLE = 5
@@ -273,3 +273,19 @@ def linked_documents(docs: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id per document."""
     return linked_documents(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, but of every group of linked documents
+    only one row, the smallest by (doc_id, text_key)."""
+    found = staged(linked_documents(docs)).where(F.col("component").isNotNull()).select("component", F.struct("doc_id", "text_key").alias("key"))
+    kept = found.groupBy("component").agg(F.min("key").alias("kept"))
+    state = found.groupBy("component", "key").agg(F.count("*").alias("rows")).join(kept, "component").select(
+        F.col("key").alias("_key"), F.when(F.col("key") != F.col("kept"), "goes").when(F.col("rows") > 1, "repeated").otherwise("stays").alias("_state"))
+    state = staged(state.where("_state <> 'stays'"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
+    if state.where("_state = 'repeated'").isEmpty():
+        return docs.join(state, key == F.col("_key"), "left_anti").select(*docs.columns)
+    marked = docs.join(state, key == F.col("_key"), "left")
+    return marked.where("_state is null").drop("_key", "_state").unionByName(
+        marked.where("_state = 'repeated'").dropDuplicates(["_key"]).drop("_key", "_state"))

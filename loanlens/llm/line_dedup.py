@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from loanlens.llm.common import documents, staged, text_key
 
@@ -120,38 +121,60 @@ def copied_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found if found is not None else windows
 
 
-def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("_doc_id", pa.int64()), ("_text_key", pa.int64()), ("kept", pa.string()), ("n_lines", pa.int32()), ("removed", pa.list_(pa.int32()))])
-    for batch in batches:
-        kept, n_lines, removed = [], [], []
-        for body, copies in zip(batch.column(2), batch.column(3)):
-            body = body.as_py()
-            content = _content(body)
-            gone: set[int] = set()
-            for c in copies.as_py() or ():
-                gone.update(range(c["line"], c["line"] + c["lines"]))
-            numbers = {content[k][0] for k in gone}
-            kept.append(b"\n".join(x for k, x in enumerate(body.split(b"\n")) if k not in numbers).decode("utf-8", "replace") if gone
-                        else body.decode("utf-8", "replace"))
-            n_lines.append(len(content))
-            removed.append(sorted(numbers))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, type=f.type) for c, f in zip((kept, n_lines, removed), list(schema)[2:]))], schema=schema)
+def without_copies(body: bytes, copies: list[dict] | None) -> tuple[bytes, int, list[int]]:
+    """(text left, non-blank lines, numbers of the deleted lines)."""
+    content = _content(body)
+    gone: set[int] = set()
+    for c in copies or ():
+        gone.update(content[k][0] for k in range(c["line"], c["line"] + c["lines"]))
+    left = b"\n".join(x for k, x in enumerate(body.split(b"\n")) if k not in gone) if gone else body
+    return left, len(content), sorted(gone)
+
+
+def _clean(names: list[str]):
+    """Replace `text` by what is left and add n_lines and removed_lines; the last
+    column has the copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, n_lines, removed = [], [], []
+            at = names.index("text")
+            for value, copies in zip(batch.column(at), batch.column(batch.num_columns - 1)):
+                value = value.as_py()
+                left, n, gone = without_copies((value or "").encode("utf-8", "replace"), copies.as_py())
+                text.append(None if value is None else left.decode("utf-8", "replace"))
+                n_lines.append(n)
+                removed.append(gone)
+            columns = [pa.array(text, type=pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, type=pa.int32()), pa.array(removed, type=pa.list_(pa.int32()))],
+                                             names=[*names, "_n_lines", "_removed_lines"])
+
+    return run
+
+
+def _with_lines_removed(docs: DataFrame, min_words: int) -> DataFrame:
+    """All columns of `docs`, `text` cleaned, and _n_lines, _removed_lines."""
+    copies = copied_windows(docs, min_words).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("line", "lines")).alias("_copies"))
+    joined = docs.join(copies, F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key")) == F.col("_doc"), "left").drop("_doc")
+    schema = StructType([*docs.schema.fields, StructField("_n_lines", IntegerType()), StructField("_removed_lines", ArrayType(IntegerType()))])
+    return joined.mapInArrow(_clean(docs.columns), schema)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (without the deleted lines), n_lines (non-blank ones),
     n_removed, removed_lines (numbers of the deleted lines, from 0) per document."""
-    copies = copied_windows(docs, min_words).groupBy("doc").agg(F.collect_list(F.struct("line", "lines")).alias("copies"))
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("binary").alias("body"),
-                       F.col("text").isNull().alias("no_text"))
-    joined = body.join(copies, F.struct(body["doc_id"], body["text_key"]) == copies["doc"], "left")
-    cleaned = joined.select("doc_id", "text_key", F.coalesce("body", F.lit(b"")).alias("body"), "copies").mapInArrow(
-        _without_lines, "_doc_id long, _text_key long, kept string, n_lines int, removed array<int>")
-    null_key = F.xxhash64(F.lit(None).cast("string"))
-    return cleaned.select(
-        F.col("_doc_id").alias("doc_id"),
-        F.when((F.col("_text_key") == null_key) & (F.col("n_lines") == 0) & (F.col("kept") == ""), F.lit(None)).otherwise(F.col("kept")).alias("text"),
-        "n_lines",
-        F.size("removed").alias("n_removed"),
-        F.col("removed").alias("removed_lines"),
-    )
+    cleaned = _with_lines_removed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)
+    return cleaned.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.size("_removed_lines").alias("n_removed"),
+                          F.col("_removed_lines").alias("removed_lines"))
+
+
+def clean_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The columns of `docs` with the deleted lines gone from `text` (and
+    `n_chars`, if there is one, counted anew). Documents that had lines and lost
+    all of them go."""
+    cleaned = _with_lines_removed(docs, min_words)
+    cleaned = cleaned.where((F.col("_n_lines") == 0) | (F.size("_removed_lines") < F.col("_n_lines")))
+    if "n_chars" in docs.columns:
+        counted = F.when(F.size("_removed_lines") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        cleaned = cleaned.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*docs.columns)

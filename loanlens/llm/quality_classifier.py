@@ -237,3 +237,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, fold: int = 0, sample: int
         .mapInArrow(_scores(model, prior), "doc_id long, text_key long, held_out boolean, score double")
         .withColumn("predicted", (F.col("score") >= keep).cast("int"))
     )
+
+
+def _keep(model: Model | None, prior: float, keep: float, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.full(batch.num_rows, prior)
+            body = pa.RecordBatch.from_arrays([batch.column(text).cast(pa.binary()).fill_null(b"")], names=["body"])
+            for start, end, data, offsets in blocks(body) if model else ():
+                score[start:end] = _sigmoid(model.log_odds(figures(data, offsets)))
+            yield batch.filter(pa.array(score >= keep))
+
+    return run
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, fold: int = 0, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
+    """The rows of `docs`, all columns, that the classifier predicts as 1."""
+    model, prior = train(docs, labels, fold, sample)
+    return docs.mapInArrow(_keep(model, prior, keep, docs.columns.index("text")), docs.schema)
