@@ -58,10 +58,16 @@ def permanent_freeze(src: Sources) -> DataFrame:
     return picked.select("user_id", "created_at")
 
 
-def latest_employment(src: Sources) -> DataFrame:
-    """Latest employer_employees row per user by updated_at (ties: table key)."""
-    ee = src.table("employer_employees", "user_id", "updated_at")
-    return latest_by(ee, ["user_id"], ["updated_at"], _key_cols(ee, ["id"]))
+def latest_employment(src: Sources, columns: list[str] | None = None) -> DataFrame:
+    """Latest employer_employees row per user by updated_at (ties: table key);
+    with `columns`, only those are read and carried (user_id comes first)."""
+    if columns is None:
+        ee = src.table("employer_employees", "user_id", "updated_at")
+        return latest_by(ee, ["user_id"], ["updated_at"], _key_cols(ee, ["id"]))
+    ee = src.table("employer_employees", "user_id", "updated_at", *columns)
+    tb = _key_cols(ee, ["id"])
+    narrow = ee.select(*dict.fromkeys(["user_id", *columns, "updated_at", *tb]))
+    return latest_by(narrow, ["user_id"], ["updated_at"], tb).select("user_id", *[c for c in columns if c != "user_id"])
 
 
 def latest_kyc_document(src: Sources) -> DataFrame:

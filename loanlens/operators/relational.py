@@ -1,9 +1,10 @@
 """Relational building blocks shared by the operators.
 
-Top-1 per key is an aggregation (`max`/`min` over a struct whose leading
-fields are the order keys), not a window: it combines map-side, so a key that
-holds a third of all rows still reaches the shuffle as one row per map task,
-and no single task ever holds a whole group.
+Top-1 per key is an aggregation (`max_by` of the other columns over the struct
+of order keys), not a window: it combines map-side, so a key that holds a third
+of all rows still reaches the shuffle as one row per map task, and no single
+task ever holds a whole group. Callers select the columns they need first;
+only those are carried.
 """
 
 from __future__ import annotations
@@ -34,12 +35,11 @@ def latest_by(
     nulls first). The tie-break makes the choice deterministic.
     """
     keys = list(keys)
-    sort_fields = [_col(c).alias(f"_o{i}") for i, c in enumerate(list(order) + list(tiebreak))]
-    payload = [c for c in df.columns if c not in keys]
-    packed = F.struct(*sort_fields, F.struct(*payload).alias("_row"))
-    best = F.min(packed) if earliest else F.max(packed)
-    out = df.groupBy(*keys).agg(best.alias("_best"))
-    return out.select(*keys, *[F.col(f"_best._row.{c}").alias(c) for c in payload]).select(*df.columns)
+    place = F.struct(*[_col(c).alias(f"o{i}") for i, c in enumerate([*order, *tiebreak])])
+    payload = F.struct(*[c for c in df.columns if c not in keys])
+    pick = F.min_by(payload, place) if earliest else F.max_by(payload, place)
+    out = df.groupBy(*keys).agg(pick.alias("_row"))
+    return out.select(*keys, "_row.*").select(*df.columns)
 
 
 def in_keys(df: DataFrame, keys_df: DataFrame, on: Sequence[str] | str) -> DataFrame:
