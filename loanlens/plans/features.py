@@ -8,10 +8,10 @@ Plan shape:
     by nature and broadcast when the planner's size check allows.
   loan side: loans LEFT JOIN disbursement channel (merchant order id) and
     per-loan default flags (loan id).
-  attach: user side INNER JOIN loan side on user id, UNION ALL users without
-    loans (anti join against the distinct loan user ids). An inner join lets
-    AQE split a user who holds a third of all loans; a plain left outer join
-    with the skew on its right side could not be split.
+  attach: the loan rows, plus one empty row per user without loans (an anti
+    join of user ids only), INNER JOIN the user side once. AQE can split a user
+    who holds a third of all loans; a plain left outer join with the skew on
+    its right side could not be split.
 The output grain is the reference's: user x loan x any duplicate rows of the
 non-unique left joins (income records, permissions, employer groups, ...).
 """
@@ -26,7 +26,7 @@ from loanlens.functions.exprs import contains_class, flag, loan_type, map_codes
 from loanlens.operators import delinquency as dq
 from loanlens.operators import profile as pf
 from loanlens.operators import scoring as sc
-from loanlens.sources.catalog import Sources
+from loanlens.sources.catalog import Sources, require
 
 USER_COLUMNS_V2 = [
     "ee_customer_id", "ee_email", "ee_phone_number", "ee_firstname", "ee_middlename", "ee_lastname",
@@ -71,8 +71,8 @@ def feature_columns(region: str = "v2") -> list[str]:
 
 
 def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
-    """Keep `keep`, renamed with `prefix` (one projection, one JVM call)."""
-    return df.selectExpr(*[f"`{c}` AS `{prefix}{c}`" for c in keep])
+    """Keep `keep` (checked to be there), renamed with `prefix` (one projection)."""
+    return require(df, keep).selectExpr(*[f"`{c}` AS `{prefix}{c}`" for c in keep])
 
 
 def _user_side(src: Sources, as_of, region: str, cl: DataFrame) -> DataFrame:
@@ -86,22 +86,22 @@ def _user_side(src: Sources, as_of, region: str, cl: DataFrame) -> DataFrame:
         "afternoon_time", "account_activated", "civil_status", "product_type", "employer_id",
     )
     ii = _prefixed(
-        src.table("income_info", "user_id"), "ii_",
+        src.table("income_info"), "ii_",
         ["user_id", "employee_status", "contract", "job_title", "employment_id", "nature_of_work",
          "verified_gross_income", "verified_net_income"],
     )
-    ee = _prefixed(pf.latest_employment(src), "ee_",
-                   ["user_id", "hired_date", "comment", "department", "recommended_ir", "user_deleted_at"])
+    work = ["hired_date", "comment", "department", "recommended_ir", "user_deleted_at"]
+    ee = _prefixed(pf.latest_employment(src, work), "ee_", ["user_id", *work])
     doc = _prefixed(pf.latest_kyc_document(src), "doc_", ["user_id", "name"])
-    idi = _prefixed(src.table("id_info", "user_id"), "id_",
+    idi = _prefixed(src.table("id_info"), "id_",
                     ["user_id", "postal_code", "landmark", "city_name", "residing_date", "is_citizen"])
     addr_cols = ["user_id", "region_name", "barangay_name", "address_line_1", "address_line_2", "landmark"]
     if region == "v1":
         addr_cols.append("region_name_v1")
     addr = _prefixed(pf.user_address(src, region), "ad_", addr_cols)
-    ut = _prefixed(src.table("user_timelines", "user_id"), "ut_", ["user_id", "first_account_activated_at"])
-    kyc = _prefixed(src.table("kyc_credit_info", "user_id"), "kc_", ["user_id", "monthly_utility_bills_amount"])
-    perm = _prefixed(src.table("model_has_permissions", "model_id"), "mp_", ["model_id", "permission_id", "model_type"])
+    ut = _prefixed(src.table("user_timelines"), "ut_", ["user_id", "first_account_activated_at"])
+    kyc = _prefixed(src.table("kyc_credit_info"), "kc_", ["user_id", "monthly_utility_bills_amount"])
+    perm = _prefixed(src.table("model_has_permissions"), "mp_", ["model_id", "permission_id", "model_type"])
     fraud = _prefixed(pf.fraud_status(src), "fr_", ["user_id", "customer_status"])
     freeze = _prefixed(pf.permanent_freeze(src), "fz_", ["user_id", "created_at"])
     rating = _prefixed(sc.credit_rating(sc.risk_inputs(src)), "rt_",
@@ -109,7 +109,7 @@ def _user_side(src: Sources, as_of, region: str, cl: DataFrame) -> DataFrame:
     cl = cl.withColumnRenamed("user_id", "cl_user_id")
 
     emp = _prefixed(
-        src.table("employers", "id"), "er_",
+        src.table("employers"), "er_",
         ["id", "name", "email_domain", "repayment_days", "custom_email", "payment_reminders", "address",
          "postal_code_id", "max_bir", "industry", "status", "activated_at", "deleted_at", "created_at",
          "updated_at", "max_credit_limit"],
@@ -251,23 +251,39 @@ def _loan_side(src: Sources, flags: DataFrame) -> DataFrame:
     )
 
 
+def _driving_loans(src: Sources, loans: DataFrame) -> DataFrame:
+    """One row per loan, and one without a loan per user that has none; the user
+    is `driving_id`. Only user ids pass through the anti join, so the wide user
+    side is joined (and planned) once, by an inner join that AQE can split."""
+    ids = src.table("users", "id").select(F.col("id").alias("driving_id")).distinct()
+    owners = src.table("payment_responses", K.LOAN_USER_ID).select(F.col(K.LOAN_USER_ID).alias("driving_id")).distinct()
+    without = ids.join(owners, "driving_id", "left_anti").select(
+        "driving_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in loans.schema.fields if f.name != "loan_user_id"])
+    return loans.withColumnRenamed("loan_user_id", "driving_id").unionByName(without)
+
+
 # left-joined tables that are not de-duplicated: (table, key) -> extra rows fan out
 FAN_OUT_TABLES = [
     ("income_info", "user_id"), ("id_info", "user_id"), ("user_timelines", "user_id"),
     ("kyc_credit_info", "user_id"), ("employer_group", "employer_id"), ("model_has_permissions", "model_id"),
-    ("xendit_payment_responses", "reference_id"),
+    ("xendit_payment_responses", "reference_id"), ("model_has_tp_events", "model_id"),
 ]
 
 
 def duplicated_keys(src: Sources) -> list[str]:
-    """Fan-out tables that hold a key more than once. One bounded job per
-    table: a grouped count that stops at the first duplicate found."""
-    found = []
+    """Fan-out tables that hold a non-null key more than once (null keys never
+    join). One job over the union of all tables' keys; it returns at most one
+    row per table."""
+    keys = None
     for table, key in FAN_OUT_TABLES:
-        dup = src.table(table, key).groupBy(key).count().where(F.col("count") > 1)
-        if dup.limit(1).count() > 0:
-            found.append(f"{table}.{key}")
-    return found
+        rows = src.table(table, key)
+        if table == "model_has_tp_events":  # only this event is joined
+            rows = rows.where(F.col("tp_event") == K.DEBT_INCOME_EVENT)
+        own = rows.where(F.col(key).isNotNull()).select(F.lit(f"{table}.{key}").alias("name"), F.col(key).cast("string").alias("key"))
+        keys = own if keys is None else keys.unionByName(own)
+    found = keys.groupBy("name", "key").count().where(F.col("count") > 1).select("name").distinct().collect()
+    names = {r["name"] for r in found}
+    return [f"{t}.{k}" for t, k in FAN_OUT_TABLES if f"{t}.{k}" in names]
 
 
 def loan_features(src: Sources, as_of, region: str = "v2", on_duplicate: str = "keep") -> DataFrame:
@@ -288,12 +304,7 @@ def loan_features(src: Sources, as_of, region: str = "v2", on_duplicate: str = "
     loan_flags, customer_flags = dq.default_flags(src, as_of)
     users = _user_side(src, as_of, region, customer_flags)
     loans = _loan_side(src, loan_flags)
-    with_loans = users.join(loans, F.col("ee_customer_id") == F.col("loan_user_id"), "inner")
-    loan_users = loans.select(F.col("loan_user_id").alias("ee_customer_id")).distinct()
-    without = users.join(loan_users, "ee_customer_id", "left_anti").select(
-        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in loans.schema.fields]
-    )
-    both = with_loans.unionByName(without)
+    both = _driving_loans(src, loans).join(users, F.col("driving_id") == F.col("ee_customer_id"), "inner").drop("driving_id")
     derived = dq.loan_flag_columns(both, as_of)
     loan_cols = {
         "ln_loan_id": F.col("ln_loan_id"),
