@@ -1,18 +1,24 @@
 """Per-column data-quality report (21 metrics per column).
 
 Plan shape, all distributed:
-  moments   one unpivot to (column, value, target) rows, then a grouped
-            aggregate per column (counts, min, max, mean, std, skewness,
-            kurtosis, correlation with the target), combined map-side
-  values    one unpivot + groupBy(column, value).count(): distinct counts and
-            the mode (min over struct(-count, value): map-side combining)
-  quantiles exact: the value counts are range-partitioned by (column, value);
+  moments   one aggregate over the frame as it is (no row per cell): counts,
+            min, max, mean, std, skewness, kurtosis and correlation with the
+            target for every column; one row, unpivoted afterwards, so an empty
+            frame still gives a row per column
+  values    exact: (column, value as text) counts, combined map-side before the
+            shuffle; the text is that of the value's own type, so large integers
+            and decimals keep their digits. Distinct counts are its rows, the
+            mode its greatest count (ties: the smallest value)
+  quantiles exact: the value counts of numeric columns are range-partitioned by
+            (column, value) and written with their partition number;
             per-partition totals give each partition's rank offset (a table of
             at most partitions x columns rows), a window inside each
             (partition, column) gives the running count, and the rows holding
             the needed ranks are picked by a join against at most 3 rows per
             column. No task ever holds a whole column.
-            approx=True: percentile_approx instead (fixed-size sketches).
+  approx    sketches only, in the aggregate of the moments: approx_count_distinct
+            (relative error `rsd`), percentile_approx (rank error 1 / `accuracy`)
+            and approx_top_k for the mode; no shuffle but of one row per task
 Quantiles use linear interpolation; skewness and kurtosis are the
 bias-corrected sample values (0 for a constant column); correlation is
 Pearson on rows where both values exist (null when undefined).
@@ -22,11 +28,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from loanlens.functions.exprs import nan_to_null
 from pyspark.sql.types import (
     BooleanType, ByteType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType,
 )
 
+from loanlens.functions.exprs import nan_to_null
+from loanlens.plans.stages import handoff
+
 _INTEGRAL = (ByteType, ShortType, IntegerType, LongType, BooleanType)
 _NUMERIC = _INTEGRAL + (FloatType, DoubleType, DecimalType)
 QUANTILES = (0.25, 0.5, 0.75)
@@ -56,55 +64,82 @@ def _lerp(a, b, t):
     return F.when(t >= 0.5, b - diff * (F.lit(1.0) - t)).otherwise(a + diff * t)
 
 
-def _long(df: DataFrame, names, numeric, target_col):
-    """Unpivot: one row per (input row, column) with the value as double
-    (numeric columns) or text (others) and the target value of the row."""
-    target = _value(df, target_col).cast("double") if target_col in numeric else F.lit(None).cast("double")
+def _alias(i: int, metric: str) -> str:
+    return f"c{i}_{metric}"
+
+
+def _moments(df: DataFrame, names, numeric, target_col, sketches: tuple[float, int] | None) -> DataFrame:
+    """One row per column (`ord`): n, nn, min, max, mean, std, population skewness
+    and kurtosis, correlation; with `sketches` also distinct, mode and pq."""
+    target = _value(df, target_col).cast("double") if target_col in numeric else None
+    aggs, cells = [F.count(F.lit(1)).alias("n")], []
+    null = F.lit(None)
+    for i, name in enumerate(names):
+        v, at = _value(df, name), {}
+        at["nn"] = (F.count(v), "bigint")
+        if name in numeric:
+            d = v.cast("double")
+            at |= {"min": (F.min(d), "double"), "max": (F.max(d), "double"), "mean": (F.avg(d), "double"), "std": (F.stddev_samp(d), "double"),
+                   "skew": (F.skewness(d), "double"), "kurt": (F.kurtosis(d), "double")}
+            if target is not None and name != target_col:
+                x, y = F.when(target.isNotNull(), d), F.when(d.isNotNull(), target)
+                at["corr"] = (F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)), "double")
+        if sketches:
+            rsd, accuracy = sketches
+            at["distinct"] = (F.approx_count_distinct(v, rsd), "bigint")
+            at["mode"] = (F.expr(f"approx_top_k({_sql_value(df, name)}, 2)"), None)
+            if name in numeric:
+                at["pq"] = (F.percentile_approx(v.cast("double"), list(QUANTILES), accuracy), "array<double>")
+        aggs += [c.alias(_alias(i, m)) for m, (c, _) in at.items()]
+        fields = {"nn": "bigint", "min": "double", "max": "double", "mean": "double", "std": "double", "skew": "double", "kurt": "double",
+                  "corr": "double"}
+        cell = [F.lit(i).alias("ord"), F.col("n")]
+        cell += [(F.col(_alias(i, m)) if m in at else null).cast(t).alias(m) for m, t in fields.items()]
+        if sketches:
+            top = F.get(F.filter(F.col(_alias(i, "mode")), lambda x: x["item"].isNotNull()), F.lit(0))  # nulls are counted as well
+            cell += [F.col(_alias(i, "distinct")).cast("bigint").alias("distinct"), top["item"].cast("string").alias("mode"),
+                     top["count"].cast("bigint").alias("mode_n"), (F.col(_alias(i, "pq")) if "pq" in at else null).cast("array<double>").alias("pq")]
+        cells.append(F.struct(*cell))
+    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def _sql_value(df: DataFrame, name: str) -> str:
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, BooleanType):
+        return f"cast(`{name}` as int)"
+    if isinstance(dtype, (FloatType, DoubleType)):
+        return f"nullif(`{name}`, double('NaN'))"
+    return f"`{name}`"
+
+
+def _value_counts(df: DataFrame, names) -> DataFrame:
+    """(ord, value, cnt): how often each value of each column occurs, the value
+    as the text of its own type."""
     cells = []
     for i, name in enumerate(names):
         v = _value(df, name)
-        num = name in numeric
-        cells.append(F.struct(
-            F.lit(i).alias("ord"),
-            (v.cast("double") if num else F.lit(None).cast("double")).alias("dval"),
-            (F.lit(None).cast("string") if num else v.cast("string")).alias("sval"),
-            (target if (num and name != target_col) else F.lit(None).cast("double")).alias("tval"),
-        ))
-    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-
-
-def _moments(long: DataFrame, approx: bool) -> DataFrame:
-    """Per column: row count, non-null count, min, max, mean, std, population
-    skewness/kurtosis and Pearson correlation with the target on complete pairs.
-    A grouped aggregate over (at most) a few hundred groups, combined map-side."""
-    d, t = F.col("dval"), F.col("tval")
-    x, y = F.when(t.isNotNull(), d), F.when(d.isNotNull(), t)
-    aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.coalesce(d.cast("string"), F.col("sval"))).alias("nn"),
-        F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"),
-        F.stddev_samp(d).alias("std"), F.skewness(d).alias("skew"), F.kurtosis(d).alias("kurt"),
-        F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias("corr"),
-    ]
-    moments = long.groupBy("ord").agg(*aggs)
-    if not approx:
-        return moments.withColumn("pq", F.lit(None).cast("array<double>"))
-    # sketches in their own aggregate: a typed (object) aggregate in the same
-    # groupBy would take the moments out of whole-stage codegen
-    sketches = long.where(d.isNotNull()).groupBy("ord").agg(F.percentile_approx(d, list(QUANTILES)).alias("pq"))
-    return moments.join(sketches, "ord", "left")
+        if isinstance(df.schema[name].dataType, (FloatType, DoubleType)):
+            v = v + F.lit(0.0)  # one zero
+        cells.append(F.struct(F.lit(i).alias("ord"), v.cast("string").alias("value")))
+    rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("value").isNotNull())
+    return rows.groupBy("ord", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _value_counts(long: DataFrame) -> DataFrame:
-    vals = long.where(F.col("dval").isNotNull() | F.col("sval").isNotNull())
-    return vals.groupBy("ord", "dval", "sval").agg(F.count(F.lit(1)).alias("cnt"))
+def _value_order(is_numeric):
+    """Smallest value first: numbers by size (digits decide where doubles tie)."""
+    number = F.when(is_numeric, F.col("value").cast("double"))
+    minus = number < 0
+    size = F.when(is_numeric, F.when(minus, -F.length("value")).otherwise(F.length("value")))
+    return F.struct(number.alias("number"), size.alias("size"),
+                    F.when(minus, F.translate("value", "0123456789", "9876543210")).otherwise(F.col("value")).alias("text"))
 
 
 def _exact_quantiles(vc: DataFrame, moments: DataFrame, numeric_ords) -> DataFrame:
     spark = vc.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    num = vc.where(F.col("ord").isin(numeric_ords)).select("ord", "dval", "cnt")
-    ranged = num.repartitionByRange(parts, "ord", "dval").withColumn("pid", F.spark_partition_id())
+    num = vc.where(F.col("ord").isin(numeric_ords)).select("ord", F.col("value").cast("double").alias("dval"), "cnt")
+    # written, so that both uses below see the same partition numbers
+    ranged = handoff(num.repartitionByRange(parts, "ord", "dval").withColumn("pid", F.spark_partition_id()))
     totals = ranged.groupBy("pid", "ord").agg(F.sum("cnt").alias("part_cnt"))
     before = Window.partitionBy("ord").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("pid", "ord", F.coalesce(F.sum("part_cnt").over(before), F.lit(0)).alias("offset"))
@@ -140,53 +175,44 @@ def _exact_quantiles(vc: DataFrame, moments: DataFrame, numeric_ords) -> DataFra
 
 
 def data_quality_report(df: DataFrame, target_col: str = "ln_fspd30_flag", approx: bool = False,
-                        decimals: int | None = None, materialize: bool = True) -> DataFrame:
+                        decimals: int | None = None, rsd: float = 0.02, accuracy: int = 10_000) -> DataFrame:
     """One row per column of `df` with missing/unique counts, numeric summary,
     mode, quantiles, shape and correlation with `target_col`.
 
     Numeric = integral, fractional, decimal and boolean (as 0/1) columns;
     others get counts and the mode only. `decimals` rounds the double metrics.
-    `materialize` writes the input and the value-count table once each to the
-    checkpoint folder (eagerly) instead of recomputing them for each use.
+    Exact: the input and its value counts are handed off as written tables.
+    `approx`: one pass of sketches; `rsd` is the relative standard error of
+    the distinct count, 1 / `accuracy` the rank error of the quantiles.
     """
     names = df.columns
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)}
-    integral = {f.name for f in df.schema.fields if isinstance(f.dataType, _INTEGRAL)}
     numeric_ords = [i for i, n in enumerate(names) if n in numeric]
-    if materialize:
-        # the input feeds the moments and the value counts; the value counts
-        # feed the distinct/mode summary and the quantile steps
-        from loanlens.plans.stages import handoff
-
-        df = handoff(df)
-    long = _long(df, names, numeric, target_col)
-    moments = _moments(long, approx)
-    vc = _value_counts(long)
-    if materialize:
-        vc = handoff(vc)
-    summary = vc.groupBy("ord").agg(
-        F.count(F.lit(1)).alias("distinct"),
-        F.min(F.struct((-F.col("cnt")).alias("neg"), "dval", "sval")).alias("mode"),
-    )
     meta = F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(df.schema[n].dataType.simpleString()).alias("dtype"),
-                 F.lit(n in integral).alias("integral"))
+                 F.lit(n in numeric).alias("numeric"))
         for i, n in enumerate(names)
     ])
     info = df.sparkSession.range(1).select(F.explode(meta).alias("x")).select("x.*")
-    out = moments.join(info, "ord").join(summary, "ord", "left")
     if approx:
+        out = _moments(df, names, numeric, target_col, (rsd, accuracy)).join(F.broadcast(info), "ord")  # a row per column
         out = out.select("*", *[F.col("pq")[k].alias(f"q{int(q * 100)}") for k, q in enumerate(QUANTILES)])
-    elif numeric_ords:
-        out = out.join(_exact_quantiles(vc, moments, numeric_ords), "ord", "left")
     else:
-        out = out.select("*", *[F.lit(None).cast("double").alias(f"q{int(q * 100)}") for q in QUANTILES])
+        df = handoff(df)
+        moments = handoff(_moments(df, names, numeric, target_col, None))
+        counts = handoff(_value_counts(df, names))
+        summary = counts.join(F.broadcast(info.select("ord", "numeric")), "ord").groupBy("ord").agg(
+            F.count(F.lit(1)).alias("distinct"),
+            F.min_by(F.struct("value", "cnt"), F.struct((-F.col("cnt")).alias("rare"), _value_order(F.col("numeric")).alias("place"))).alias("top"),
+        ).select("ord", "distinct", F.col("top.value").alias("mode"), F.col("top.cnt").alias("mode_n"))
+        out = moments.join(F.broadcast(info), "ord").join(summary, "ord", "left")
+        if numeric_ords:
+            out = out.join(_exact_quantiles(counts, moments, numeric_ords), "ord", "left")
+        else:
+            out = out.select("*", *[F.lit(None).cast("double").alias(f"q{int(q * 100)}") for q in QUANTILES])
 
     n, nn = F.col("n"), F.col("nn")
     missing = n - nn
-    mode_d, mode_s = F.col("mode.dval"), F.col("mode.sval")
-    mode_text = F.when(mode_d.isNull(), mode_s).when(F.col("integral"), mode_d.cast("bigint").cast("string")).otherwise(
-        mode_d.cast("string"))
     std, mean = F.col("std"), F.col("mean")
     skew = F.when(nn < 3, F.lit(None)).when(std == 0, F.lit(0.0)).otherwise(
         F.col("skew") * F.sqrt(nn * (nn - 1)) / (nn - 2))
@@ -210,8 +236,8 @@ def data_quality_report(df: DataFrame, target_col: str = "ln_fspd30_flag", appro
         r(F.col("max")).alias(cols[6]),
         r(mean).alias(cols[7]),
         r(F.col("q50")).alias(cols[8]),
-        mode_text.alias(cols[9]),
-        r(F.when(F.col("mode").isNotNull(), F.try_divide(-F.col("mode.neg"), n) * 100)).alias(cols[10]),
+        F.col("mode").alias(cols[9]),
+        r(F.try_divide(F.col("mode_n"), n) * 100).alias(cols[10]),
         r(std).alias(cols[11]),
         r(F.try_divide(nn, n) * 100).alias(cols[12]),
         r(F.col("q25")).alias(cols[13]),

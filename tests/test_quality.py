@@ -38,3 +38,26 @@ def test_nan_counts_as_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
     r = {row["Column"]: row for row in data_quality_report(df, target_col="t").collect()}["x"]
     assert r["Missing Values"] == 2 and r["Mean"] == 2.0 and r["Max"] == 3.0 and r["Unique Values"] == 2
+
+
+def test_large_integers_keep_their_digits(spark):
+    for approx in (False, True):
+        r = _report(spark, [2**60, 2**60 + 1, 2**60 + 2, 2**60 + 2], approx=approx)["x"]
+        assert (r["Unique Values"], r["Mode"], r["Mode Percentage"]) == (3, str(2**60 + 2), 50.0)
+    r = _report(spark, [-(2**60), -(2**60) - 1, -(2**60) - 2])["x"]  # ties: the smallest value
+    assert r["Mode"] == str(-(2**60) - 2)
+
+
+def test_empty_frame_has_a_row_per_column(spark):
+    df = spark.createDataFrame([], "x bigint, s string, t double")
+    for approx in (False, True):
+        rows = data_quality_report(df, target_col="t", approx=approx).collect()
+        assert [(r["Column"], r["Missing Values"], r["Missing Percentage"], r["Unique Values"]) for r in rows] == [
+            ("x", 0, None, 0), ("s", 0, None, 0), ("t", 0, None, 0)]
+
+
+def test_nulls_are_no_mode(spark):
+    df = spark.createDataFrame([(None,), (None,), (None,), (4,), (4,), (5,)], "x bigint")
+    for approx in (False, True):
+        r = data_quality_report(df, target_col="t", approx=approx).first()
+        assert (r["Mode"], r["Missing Values"]) == ("4", 3)
