@@ -8,7 +8,6 @@ builder conf a Spark user would set.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -40,11 +39,8 @@ def fast_planning(spark: SparkSession) -> None:
     `get_session` does). On a session built elsewhere it cannot change, and
     planning simply keeps capturing call sites (slower, same results).
     """
-    try:
-        if spark.conf.get(DEBUG_CONF, "true").lower() != "false":
-            spark.conf.set(DEBUG_CONF, "false")
-    except Exception:  # noqa: BLE001 - static conf on a running session
-        pass
+    if spark.conf.isModifiable(DEBUG_CONF) and spark.conf.get(DEBUG_CONF, "true").lower() != "false":
+        spark.conf.set(DEBUG_CONF, "false")
 
 
 def get_session(
@@ -68,9 +64,6 @@ def get_session(
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     builder = builder.config(DEBUG_CONF, "false")
-    # hand-offs write reliable checkpoints; remove their files once the
-    # DataFrame that reads them is garbage-collected
-    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in (extra_conf or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -80,16 +73,10 @@ def get_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster in `spark.checkpoint.dir`.
-
-    Only when the setting is absent (local tests) is a folder created here.
-    """
+    """The shared folder that the cluster names in `spark.checkpoint.dir` (or
+    that was set on the context); it must be set."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="loanlens-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path.rstrip("/")

@@ -58,17 +58,18 @@ def write_multi(df: DataFrame, root: str | None, path: str, name: str,
     for fmt in formats:
         _check_format(fmt)
     path = path.lstrip("/")
+    base = f"{root.rstrip('/')}/{path}/{name}"
     results: dict[str, str] = {}
-    cached = df.persist()
+    source = df
     try:
-        for fmt in formats:
-            location = f"{root.rstrip('/')}/{path}/{name}.{fmt}"
-            write_dataset(cached, location, fmt)
-            results[fmt] = location
+        # parquet first: the other formats are written from it, not computed again
+        for fmt in sorted(formats, key=lambda f: f != "parquet"):
+            write_dataset(source, f"{base}.{fmt}", fmt)
+            results[fmt] = f"{base}.{fmt}"
+            if fmt == "parquet":
+                source = df.sparkSession.read.schema(df.schema).parquet(results[fmt])
     except Exception as exc:  # noqa: BLE001 - reported in the manifest, as the source does
         results["error"] = str(exc)
-    finally:
-        cached.unpersist()
     return results
 
 

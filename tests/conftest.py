@@ -13,9 +13,8 @@ def spark():
 
     warehouse = tempfile.mkdtemp(prefix="loanlens-test-warehouse-")
     s = get_session("local[4]", shuffle_partitions=4, app_name="loanlens-tests",
-                    extra_conf={"spark.sql.warehouse.dir": warehouse})
-    if not s.sparkContext.getConf().get("spark.checkpoint.dir", None):
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loanlens-test-ckpt-"))
+                    extra_conf={"spark.sql.warehouse.dir": warehouse,
+                                "spark.checkpoint.dir": tempfile.mkdtemp(prefix="loanlens-test-ckpt-")})
     yield s
 
 
