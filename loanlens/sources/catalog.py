@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 
 class MissingColumns(ValueError):
@@ -31,8 +32,22 @@ def active(df: DataFrame, flag: str = "is_delete") -> DataFrame:
     return df.where(F.col(flag).isNull())
 
 
+# an instant as its UTC wall time, free of the session's time zone
+UTC_WALL = "timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(unix_micros(`{0}`) as decimal(20, 0)) / 1000000)"
+
+
+def utc_ntz(df: DataFrame) -> DataFrame:
+    """Columns of type timestamp (an instant) as their UTC wall time without
+    zone, whatever the session's zone is; other columns unchanged."""
+    zoned = {f.name for f in df.schema.fields if isinstance(f.dataType, TimestampType)}
+    if not zoned:
+        return df
+    return df.selectExpr(*[f"{UTC_WALL.format(c)} AS `{c}`" if c in zoned else f"`{c}`" for c in df.columns])
+
+
 class Sources(Mapping):
-    """Lazy mapping of source table names to DataFrames."""
+    """Lazy mapping of source table names to DataFrames; timestamps are UTC wall
+    times without zone, so no result depends on the session's time zone."""
 
     def __init__(
         self,
@@ -41,13 +56,16 @@ class Sources(Mapping):
     ) -> None:
         self._frames: dict[str, DataFrame] = dict(frames or {})
         self._loader = loader
+        self._utc: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
             if self._loader is None:
                 raise KeyError(f"no source table named {name!r}")
             self._frames[name] = self._loader(name)
-        return self._frames[name]
+        if name not in self._utc:
+            self._utc[name] = utc_ntz(self._frames[name])
+        return self._utc[name]
 
     def __iter__(self) -> Iterator[str]:
         return iter(self._frames)
@@ -68,13 +86,23 @@ class Sources(Mapping):
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str) -> "Sources":
         """Tables of a catalog database, e.g. a warehouse schema."""
-        return cls(loader=lambda name: spark.table(f"{database}.{name}"))
+        return cls(loader=lambda name: _declared(spark.table(f"{database}.{name}"), name))
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "Sources":
         """One parquet dataset per table under `root/<name>`."""
         root = root.rstrip("/")
-        return cls(loader=lambda name: spark.read.parquet(f"{root}/{name}"))
+        return cls(loader=lambda name: _declared(spark.read.parquet(f"{root}/{name}"), name))
+
+
+def _declared(df: DataFrame, name: str) -> DataFrame:
+    """`df` with the declared types on the columns it shares with the declared
+    schema of `name`; other columns and tables as they are."""
+    from loanlens.sources.schemas import SCHEMAS
+
+    df = utc_ntz(df)
+    types = {c.lower(): t for c, t in SCHEMAS.get(name, [])}
+    return df.select(*[F.col(f"`{c}`").cast(types[c.lower()]).alias(c) if c.lower() in types else F.col(f"`{c}`") for c in df.columns])
 
 
 def lit_date(value) -> Column:
