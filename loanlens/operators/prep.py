@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loanlens.functions import constants as K
-from loanlens.functions.exprs import add_months, as_ntz, null_tokens, try_date
+from loanlens.functions.exprs import add_months, as_ntz, null_tokens, parse_date, parse_number
+from loanlens.operators.relational import same_id, typed_time
 from loanlens.sources.catalog import require
 from loanlens.operators.repayments import (
     balances_of_split, next_vendor_of_split, split_by_day, with_next_vendor, with_principal,
@@ -25,8 +26,15 @@ def _clean_id(df: DataFrame, name: str):
 def _as_ts(df: DataFrame, name: str):
     """Dates/timestamps -> timestamp_ntz; text parsed as yyyy-MM-dd (bad -> null)."""
     if isinstance(df.schema[name].dataType, StringType):
-        return as_ntz(try_date(name)).alias(name)
-    return as_ntz(name).alias(name)
+        return as_ntz(parse_date(name)).alias(name)
+    return typed_time(df, name).alias(name)
+
+
+def _as_money(df: DataFrame, name: str):
+    """Numbers as they are; text that is no number -> null."""
+    if isinstance(df.schema[name].dataType, StringType):
+        return parse_number(name).cast("decimal(18,2)").alias(name)
+    return F.col(name)
 
 
 # the feature-table columns the prep stage reads
@@ -50,7 +58,7 @@ def employee_frame(features: DataFrame, with_employment_correct: bool = False) -
     cols = [
         _clean_id(f, "ee_customer_id"),
         _clean_id(f, "ln_loan_id"),
-        F.col("ln_original_principal"),
+        _as_money(f, "ln_original_principal"),
         _as_ts(f, "ee_onboarding_date"),
         _as_ts(f, "ee_employment_date"),
         _as_ts(f, "ee_resignation_date"),
@@ -87,7 +95,7 @@ def prepare_employees(features: DataFrame, repayments: DataFrame, moved: DataFra
     emp = employee_frame(features)
     moved = transition_resignation(repayments) if moved is None else moved
     moved = moved.withColumnRenamed("user_id", "_t_user")
-    joined = emp.join(moved, emp["ee_customer_id"] == moved["_t_user"], "left")
+    joined = emp.join(moved, same_id(emp, "ee_customer_id", moved, "_t_user"), "left")
     return joined.select(
         "ee_customer_id",
         F.coalesce("ee_resignation_date_correct", "resignation_date_fp_new").alias("ee_resignation_date_correct"),

@@ -13,6 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, TimestampType
+
+from loanlens.functions.exprs import as_ntz, parse_date
+from loanlens.sources.catalog import UTC_WALL
 
 ColumnOrName = Column | str
 
@@ -42,6 +46,25 @@ def latest_by(
     return out.select(*keys, "_row.*").select(*df.columns)
 
 
+def typed_time(df: DataFrame, name: str) -> Column:
+    """A date or timestamp column as UTC wall time; text is parsed as
+    yyyy-MM-dd and raises if it is none."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, StringType):
+        return as_ntz(parse_date(name, strict=True))
+    if isinstance(dtype, TimestampType):
+        return F.expr(UTC_WALL.format(name))
+    return as_ntz(name)
+
+
+def same_id(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> Column:
+    """Equality of two ids; as text if their types differ."""
+    a, b = left[left_key], right[right_key]
+    if left.schema[left_key].dataType == right.schema[right_key].dataType:
+        return a == b
+    return a.cast("string") == b.cast("string")
+
+
 def in_keys(df: DataFrame, keys_df: DataFrame, on: Sequence[str] | str) -> DataFrame:
     """Rows of `df` whose key appears in `keys_df` (semi join, no collect)."""
     on = [on] if isinstance(on, str) else list(on)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from loanlens.functions import constants as K
 from loanlens.operators.delinquency import dpd, paid_payments
+from loanlens.operators.relational import same_id
+from loanlens.plans.stages import handoff
 from loanlens.sources.catalog import Sources, active, lit_date, require
 
 FACT_COLUMNS = [
@@ -29,13 +31,15 @@ FACT_COLUMNS = [
 PAYMENT_TIEBREAK = ["outstanding_balance", "paid_amount", "paid_principal", "paid_interest", "vendor_id", "subfamily"]
 
 
-def repayment_fact(src: Sources, as_of, ordered: bool = False) -> DataFrame:
+def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None = None) -> DataFrame:
     """One row per live payment (paid before `as_of`) of employer users, with
     DENSE_RANK installment number, due and paid splits, vendor and DPD.
 
     Loans of any status; schedules without a payment are absent. `ordered`
     adds the source's final sort (user, loan, installment, repaid date); a
-    written table does not keep row order, so it is off by default.
+    written table does not keep row order, so it is off by default. The joined
+    payments feed the ranks and the rows; with `stage` they are written to that
+    folder once and both read it.
     """
     as_of_col = lit_date(as_of)
     users = active(src.table("users", "id", "product_type", "is_delete")).where(
@@ -72,25 +76,24 @@ def repayment_fact(src: Sources, as_of, ordered: bool = False) -> DataFrame:
         F.col("repaid_date").alias("pp_repaid_date"),
     )
     paid_rows = pay.join(crs, pay["txnid"] == crs["txn_id"])
-    # DENSE_RANK of the due date in a loan over the surviving payment rows ==
-    # the same rank over the schedules that have a surviving payment (same
-    # set of due dates). Ranking schedules keeps the window to one loan's
-    # schedules (bounded by its tenor); the payment rows, however many a loan
-    # has, only pass through joins, which AQE can split when a key is hot.
-    live = sched.join(paid_rows.select("sched_key").distinct(), "sched_key", "left_semi")
-    w = Window.partitionBy("loan_id").orderBy("due_date")
-    ranked = live.select("*", F.dense_rank().over(w).alias("installment_number"))
     rows = (
         paid_rows.join(paid, "sched_key")
-        .join(ranked, "sched_key")
+        .join(sched, "sched_key")
         .join(loans.join(users, "user_id"), "loan_id")
+        .select("user_id", "loan_id", "vendor_id", "subfamily", "repaid_date", "due_date", "due_principal", "due_interest", "due_amount",
+                "paid_principal", "paid_interest", "paid_amount", "outstanding_balance",
+                dpd(F.col("due_amount"), F.col("pp_amount"), F.col("pp_repaid_date"), F.col("due_date"), as_of_col).alias("dpd"))
     )
-    fact = rows.select(
-        "user_id", "loan_id", "installment_number",
-        "vendor_id", "subfamily", "repaid_date", "due_date", "due_principal", "due_interest", "due_amount",
-        "paid_principal", "paid_interest", "paid_amount", "outstanding_balance",
-        dpd(F.col("due_amount"), F.col("pp_amount"), F.col("pp_repaid_date"), F.col("due_date"), as_of_col).alias("dpd"),
-    )
+    if stage:
+        rows = handoff(rows, stage)
+    # DENSE_RANK over a loan's distinct due dates with a surviving payment: one
+    # row per (loan, due date), so the window holds a loan's schedules, not its
+    # payments (bounded by its tenor, an input contract); the payments only pass
+    # through a join, which AQE can split when a loan is hot
+    w = Window.partitionBy("loan_id").orderBy("due_date")
+    ranks = rows.select("loan_id", "due_date").distinct().select("*", F.row_number().over(w).alias("installment_number"))
+    ranks = ranks.select(F.col("loan_id").alias("_loan"), F.col("due_date").alias("_due"), "installment_number")
+    fact = rows.join(ranks, (rows["loan_id"] == ranks["_loan"]) & rows["due_date"].eqNullSafe(ranks["_due"])).select(*FACT_COLUMNS)
     if ordered:
         fact = fact.orderBy("user_id", "loan_id", "installment_number", "repaid_date")
     return fact
@@ -185,7 +188,8 @@ def with_principal(fact: DataFrame, employees: DataFrame) -> DataFrame:
     principal = employees.select(
         F.col("ln_loan_id").alias("loan_id"), F.col("ln_original_principal")
     ).distinct()
-    return fact.join(principal, "loan_id", "left")
+    principal = principal.withColumnRenamed("loan_id", "_loan")
+    return fact.join(principal, same_id(fact, "loan_id", principal, "_loan"), "left").drop("_loan")
 
 
 def balances_of_split(rows: DataFrame, fact_columns: list[str]) -> DataFrame:

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import constants as K
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, StringType
 
-from loanlens.functions.exprs import add_months, as_ntz, flag, is_other_vendor, month_floor_prev, nan_to_null
-from loanlens.operators.relational import not_in_keys, slice_window
+from loanlens.functions.exprs import add_months, flag, is_other_vendor, month_floor_prev, nan_to_null, parse_number
+from loanlens.operators.relational import in_keys, not_in_keys, same_id, slice_window, typed_time
+from loanlens.plans.stages import handoff
 from loanlens.sources.catalog import require
 
 TARGET_COLUMNS = [
@@ -39,18 +40,22 @@ def _ts_lit(value):
 
 
 def attach_resignation(repayments: DataFrame, employees: DataFrame) -> DataFrame:
-    """Repayment rows (dates as timestamps) with the user's resignation date."""
+    """Repayment rows (dates as timestamps) with the user's resignation date: the
+    latest one where a user has several employee rows."""
     dim = employees.groupBy("ee_customer_id").agg(
-        F.max("ee_resignation_date_correct").alias("ee_resignation_date_correct")
+        F.max(typed_time(employees, "ee_resignation_date_correct")).alias("ee_resignation_date_correct")
     )
     bal = F.col("osbal_after")
-    if isinstance(repayments.schema["osbal_after"].dataType, (FloatType, DoubleType)):
+    if isinstance(repayments.schema["osbal_after"].dataType, StringType):
+        bal = nan_to_null(parse_number(bal))
+    elif isinstance(repayments.schema["osbal_after"].dataType, (FloatType, DoubleType)):
         bal = nan_to_null(bal)  # NaN balance = missing, as pandas compares it
     rep = repayments.select(
         "user_id", "loan_id", "installment_number", "vendor_id",
-        as_ntz("repaid_date").alias("repaid_date"), as_ntz("due_date").alias("due_date"), bal.alias("osbal_after"),
+        typed_time(repayments, "repaid_date").alias("repaid_date"), typed_time(repayments, "due_date").alias("due_date"),
+        bal.alias("osbal_after"),
     )
-    return rep.join(dim, rep["user_id"] == dim["ee_customer_id"], "left").drop("ee_customer_id")
+    return rep.join(dim, same_id(rep, "user_id", dim, "ee_customer_id"), "left").drop("ee_customer_id")
 
 
 def tpsd_anchor(rep: DataFrame, balance_threshold: float, obs_window: int, current_date) -> DataFrame:
@@ -153,15 +158,17 @@ def user_targets(
     obs_window: int = K.DEFAULT_OBS_WINDOW_MONTHS,
     current_date=K.DEFAULT_CURRENT_DATE,
     balance_threshold: float = K.DEFAULT_BALANCE_THRESHOLD,
-    cut_lineage: bool = True,
+    stage: str | None = None,
     ordered: bool = False,
 ) -> DataFrame:
     """One row per labelled user: tpfp or leave target, windows, maturity,
     observation-incomplete flag and the model-development maturity flag.
 
-    The anchored base feeds both branches and the metadata; with
-    `cut_lineage` it is written once to the checkpoint folder (eagerly) so
-    the branches read it instead of recomputing it. `ordered` adds the
+    The anchored base feeds both branches and the metadata; with `stage` it is
+    written to that folder once and the branches read it instead of
+    recomputing it. Dates may be text (`yyyy-MM-dd`, anything else raises) and
+    balances too (not a number: missing); ids are compared as text where the two
+    inputs have them in different types. `ordered` adds the
     source's final sort (user id as text, target type, target); a written
     table does not keep row order, so it is off by default.
     """
@@ -171,10 +178,8 @@ def user_targets(
     rep = attach_resignation(repayments, employees)
     anchor = tpsd_anchor(rep, balance_threshold, obs_window, current_date)
     base = target_base(rep, anchor)
-    if cut_lineage:
-        from loanlens.plans.stages import handoff
-
-        base = handoff(base)
+    if stage:
+        base = handoff(base, stage)
     # user-level values, so distinct keeps one row per user
     meta = base.select("user_id", "future_flag", "ee_resignation_date_correct", "obs_end").distinct()
     tpfp_users = tpfp_in_observation(base)

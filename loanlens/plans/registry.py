@@ -7,9 +7,12 @@ values appear in the oracle SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from loanlens.operators import apps as ap
 from loanlens.functions import constants as K
@@ -22,11 +25,12 @@ from loanlens.operators import targets as tg
 from loanlens.operators import scoring as sc
 from loanlens.operators.relational import latest_by
 from loanlens.plans.features import loan_features
-from loanlens.plans.oracle_sql import APP_CUTOFF, AS_OF, OBS_MONTHS, REPORT_DECIMALS, REPORT_TARGET, THRESHOLD
+from loanlens.plans.oracle_sql import APP_CUTOFF, AS_OF, FEATURE_TARGET, OBS_MONTHS, REPORT_DECIMALS, REPORT_TARGET, THRESHOLD
 from loanlens.plans.output import edge
 from loanlens.plans.stages import handoff
 from loanlens.session import checkpoint_dir, fast_planning
 from loanlens.sources import io as lio
+from loanlens.sources.catalog import active
 from loanlens.sources.testdata import adapter_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,11 +71,17 @@ def _raw(fn) -> Query:
 
 def _inputs(s):
     """Feature table (the columns prep reads) and repayment fact handed to
-    prep as written tables, as in the source pipeline; labelling hands off
-    its own shared base."""
+    prep as written tables, as in the source pipeline."""
     features = handoff(loan_features(s, AS_OF).select(*pr.FEATURE_INPUT_COLUMNS))
-    fact = handoff(rp.repayment_fact(s, AS_OF))
-    return pr.prepare_target_inputs(features, fact)
+    return pr.prepare_target_inputs(features, handoff(_fact(s)))
+
+
+def _stage(s) -> str:
+    return f"{checkpoint_dir(s.table('users').sparkSession)}/stages/{uuid.uuid4().hex}"
+
+
+def _fact(s, **kwargs):
+    return rp.repayment_fact(s, AS_OF, stage=_stage(s), **kwargs)
 
 
 def _anchor(s):
@@ -80,23 +90,90 @@ def _anchor(s):
     return rep, tg.tpsd_anchor(rep, THRESHOLD, OBS_MONTHS, AS_OF)
 
 
-def _targets(s):
+def _targets(s, **kwargs):
     employees, repayments = _inputs(s)
     return tg.user_targets(repayments, employees, obs_window=OBS_MONTHS, current_date=AS_OF,
-                           balance_threshold=THRESHOLD)
+                           balance_threshold=THRESHOLD, stage=_stage(s), **kwargs)
 
 
-def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loan flags written as CSV and parquet under the shared checkpoint
-    folder, then read back from parquet."""
-    import uuid
+def _as_text(df, *typed):
+    """A frame as a text file would hold it: ids, money and dates as strings,
+    missing values as null tokens; `typed` columns stay."""
+    return df.select(*[F.col(c) if c in typed else F.coalesce(F.col(c).cast("string"), F.lit("<NA>")).alias(c) for c in df.columns])
+
+
+def _text_inputs(s):
+    """Employee frame of a feature table read as text (null tokens, lenient dates, numbers)."""
+    features = loan_features(s, AS_OF).select(*pr.FEATURE_INPUT_COLUMNS)
+    dated = features.withColumns({c: F.col(c).cast("date") for c in pr.FEATURE_INPUT_COLUMNS[4:]})
+    frame = pr.employee_frame(_as_text(dated, "ee_product_type"))
+    return frame.select("ee_customer_id", "ln_loan_id", "ln_original_principal", "ee_resignation_date_correct")
 
+
+def _text_targets(s):
+    """Targets from text inputs: strict dates, coerced balances, ids as text."""
+    employees, repayments = (handoff(x) for x in _inputs(s))
+    day = {c: F.col(c).cast("date").cast("string") for c in ("repaid_date", "due_date")}
+    reps = repayments.withColumns({**day, "user_id": F.col("user_id").cast("string"), "osbal_after": F.col("osbal_after").cast("string")})
+    out = tg.user_targets(reps, employees, obs_window=OBS_MONTHS, current_date=AS_OF, balance_threshold=THRESHOLD)
+    return out.withColumn("user_id", F.col("user_id").cast("bigint"))
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
+    """Loan flags written as parquet and CSV under the shared checkpoint folder."""
     flags = QUERIES["payment_default_flags"](spark, sf_dir)
-    root = checkpoint_dir(spark).rstrip("/") + "/roundtrip"
-    manifest = lio.write_multi(flags, root, f"/{uuid.uuid4().hex}", "payment_default_flags")
+    manifest = lio.write_multi(flags, f"{checkpoint_dir(spark)}/roundtrip", f"/{uuid.uuid4().hex}", "payment_default_flags")
     if "error" in manifest:
         raise RuntimeError(manifest["error"])
-    return lio.read_dataset(spark, manifest["parquet"], "parquet")
+    return flags, manifest
+
+
+def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lio.read_dataset(spark, _exported(spark, sf_dir)[1]["parquet"], "parquet")
+
+
+def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags, manifest = _exported(spark, sf_dir)
+    return lio.read_dataset(spark, manifest["csv"], "csv", schema=flags.schema)
+
+
+def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loan flags as a date-suffixed table, replaced by a second write."""
+    flags = handoff(QUERIES["payment_default_flags"](spark, sf_dir))
+    lio.replace_table(flags.limit(1), "default", "loan_flags", AS_OF)  # replaced by the next line
+    return spark.table(lio.replace_table(flags, "default", "loan_flags", AS_OF))
+
+
+def _report_features(s):
+    return ql.data_quality_report(loan_features(s, AS_OF), target_col=FEATURE_TARGET, decimals=REPORT_DECIMALS)
+
+
+def _approx_error(s):
+    """Whether the sketches of the approximate report keep their stated errors,
+    as 0/1 per column: distinct count within 4 standard errors, quartiles within
+    the rank error, the mode among the most frequent values."""
+    frame = handoff(dq.delinquency(s, AS_OF))
+    rsd, accuracy = 0.02, 10_000
+    cols = ql.report_columns(REPORT_TARGET)
+    rough = handoff(ql.data_quality_report(frame, REPORT_TARGET, approx=True, rsd=rsd, accuracy=accuracy))
+    exact = ql.data_quality_report(frame, REPORT_TARGET).select(
+        F.col("Column").alias("name"), F.col(cols[4]).alias("n"), F.col(cols[10]).alias("top"))
+    numbers = [f.name for f in frame.schema.fields if isinstance(f.dataType, NumericType)]
+    asked = rough.where(F.col("Column").isin(numbers)).select(
+        F.col("Column").alias("name"), F.array(*[F.col(c) for c in cols[13:16]]).alias("q"))
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in numbers])
+    ranks = frame.select(F.explode(cells).alias("c")).select("c.*").where("v is not null").join(F.broadcast(asked), "name").groupBy("name").agg(
+        *[F.avg((F.col("v") < F.col("q")[k]).cast("double")).alias(f"lo{k}") for k in range(3)],
+        *[F.avg((F.col("v") <= F.col("q")[k]).cast("double")).alias(f"hi{k}") for k in range(3)])
+    within = F.lit(True)
+    for k, p in enumerate(ql.QUANTILES):
+        within = within & (F.col(f"lo{k}") <= p + 1 / accuracy) & (F.col(f"hi{k}") >= p - 1 / accuracy)
+    joined = rough.join(exact, F.col("Column") == F.col("name")).drop("name").join(ranks, F.col("Column") == F.col("name"), "left")
+    return joined.select(
+        F.col("Column"), F.col("Missing Values"),
+        (F.abs(F.col(cols[4]) - F.col("n")) <= F.greatest(4 * rsd * F.col("n"), F.lit(1))).cast("int").alias("distinct_within"),
+        F.coalesce(within, F.lit(True)).cast("int").alias("quartiles_within"),
+        (F.abs(F.col(cols[10]) - F.col("top")) <= 1.0).cast("int").alias("mode_within"))
 
 
 QUERIES: dict[str, Query] = {
@@ -121,12 +198,12 @@ QUERIES: dict[str, Query] = {
     "credit_rating": _q(lambda s: sc.credit_rating(sc.risk_inputs(s))),
     "loan_features": _q(lambda s: loan_features(s, AS_OF)),
     "loan_features_v1": _q(lambda s: loan_features(s, AS_OF, region="v1")),
-    "repayment_fact": _q(lambda s: rp.repayment_fact(s, AS_OF)),
-    "with_balance_before": _q(lambda s: rp.with_balance_before(rp.repayment_fact(s, AS_OF))),
-    "transition_resignation": _q(lambda s: pr.transition_resignation(rp.repayment_fact(s, AS_OF))),
+    "repayment_fact": _q(lambda s: _fact(s)),
+    "with_balance_before": _q(lambda s: rp.with_balance_before(_fact(s))),
+    "transition_resignation": _q(lambda s: pr.transition_resignation(_fact(s))),
     "prepare_employees": _q(lambda s: _inputs(s)[0]),
     "with_outstanding_balance": _q(lambda s: rp.with_outstanding_balance(
-        rp.repayment_fact(s, AS_OF), pr.employee_frame(loan_features(s, AS_OF)))),
+        _fact(s), pr.employee_frame(loan_features(s, AS_OF)))),
     "prepare_target_inputs": _q(lambda s: _inputs(s)[1]),
     "tpsd_anchor": _q(lambda s: _anchor(s)[1].drop("ee_resignation_date_correct")),
     "target_base": _q(lambda s: tg.target_base(*_anchor(s))),
@@ -143,7 +220,20 @@ QUERIES: dict[str, Query] = {
         lambda s: ap.user_app_packages(s, ap.customer_onboarding(s), APP_CUTOFF, "lenient")),
     "data_quality_report": _raw(lambda s: ql.data_quality_report(
         dq.delinquency(s, AS_OF), target_col=REPORT_TARGET, decimals=REPORT_DECIMALS)),
+    "data_quality_report_features": _raw(_report_features),
+    "approx_report_error": _raw(_approx_error),
     "write_read_roundtrip": _roundtrip,
+    "csv_roundtrip": _csv_roundtrip,
+    "replace_table": _replaced,
+    "active_users": _q(lambda s: active(s.table("users", "id", "product_type", "is_delete")).select("id", "product_type")),
+    "repayment_fact_ordered": _q(lambda s: _fact(s, ordered=True)),
+    "user_targets_ordered": _q(lambda s: _targets(s, ordered=True)),
+    "user_targets_from_text": _q(_text_targets),
+    "employee_frame_from_text": _q(_text_inputs),
+    "employment_date_corrected": _q(lambda s: pr.employee_frame(loan_features(s, AS_OF), with_employment_correct=True).select(
+        "ee_customer_id", "ln_loan_id", "ee_employment_date_correct")),
+    "user_app_packages_of_features": _q(lambda s: ap.user_app_packages(
+        s, handoff(loan_features(s, AS_OF).select("ee_customer_id", "ee_onboarding_date")), APP_CUTOFF)),
     "data_quality_report_approx": _raw(lambda s: ql.data_quality_report(
         dq.delinquency(s, AS_OF), target_col=REPORT_TARGET, approx=True, decimals=REPORT_DECIMALS)),
 }

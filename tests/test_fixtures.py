@@ -137,7 +137,7 @@ def test_perf_window_follows_code(spark):
 def test_all_tpfp_loans_repaid_gives_no_label(spark):
     rep = _tpfp_rep(spark, ("100", "5"))
     out = tg.user_targets(rep.drop("ee_resignation_date_correct"), _employees(spark, T(2025, 2, 15)),
-                          current_date="2025-12-31", cut_lineage=False)
+                          current_date="2025-12-31")
     assert out.count() == 0
 
 
@@ -151,12 +151,12 @@ def _leave_rep(spark, res, extra=()):
 
 def test_leave_bounds_and_window(spark):
     inside = tg.user_targets(_leave_rep(spark, T(2025, 5, 1)).drop("ee_resignation_date_correct"),
-                             _employees(spark, T(2025, 5, 1)), current_date="2025-12-31", cut_lineage=False)
+                             _employees(spark, T(2025, 5, 1)), current_date="2025-12-31")
     r = inside.first()
     assert (r.target_type, r.target, r.perf_start_date, r.perf_end_date) == ("leave", 0, T(2025, 6, 15),
                                                                             T(2025, 8, 15))
     outside = tg.user_targets(_leave_rep(spark, T(2025, 4, 30)).drop("ee_resignation_date_correct"),
-                              _employees(spark, T(2025, 4, 30)), current_date="2025-12-31", cut_lineage=False)
+                              _employees(spark, T(2025, 4, 30)), current_date="2025-12-31")
     assert outside.count() == 0
 
 
@@ -164,7 +164,7 @@ def test_leave_null_vendor_is_positive_and_dev_flag(spark):
     res = T(2025, 5, 1)
     rep = _leave_rep(spark, res, [(1, 10, 2, None, T(2025, 7, 1), T(2025, 7, 10), Decimal("400"), res)])
     r = tg.user_targets(rep.drop("ee_resignation_date_correct"), _employees(spark, res),
-                        current_date="2025-09-01", cut_lineage=False).first()
+                        current_date="2025-09-01").first()
     assert r.target == 1 and r.obs_incomplete_flag == 1 and r.target_maturity_flag == 1
     assert r.target_maturity_flag_for_dev == 0
 
