@@ -44,7 +44,27 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": _over_documents(sharding.shard_documents),
 }
 
+# distinct five-word shingles (as text) of a table's `text`, by its id
+_SHINGLES = """
+select {id}, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) as s
+from (select {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') as w from {table}) where len(w) > 0"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": "with recursive d as (" + _SHINGLES.format(id="doc_id", table="documents") + """),
+t as (select doc_id, len(s) as n, unnest(s) as x from d),
+links as (select a.doc_id as a, b.doc_id as b from t a join t b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)
+select o.doc_id, coalesce((select len(s) from d where d.doc_id = o.doc_id), 0) as n_shingles,
+  least(o.doc_id, coalesce((select min(b) from reach where reach.a = o.doc_id), o.doc_id)) as component_id
+from documents o""",
+    "op8_decontamination": "with d as (" + _SHINGLES.format(id="doc_id", table="documents") + "), b as ("
+    + _SHINGLES.format(id="item_id", table="benchmark") + """),
+dx as (select doc_id, len(s) as n, unnest(s) as x from d), bx as (select item_id, len(s) as n, unnest(s) as x from b)
+select dx.doc_id, bx.item_id, cast(bx.n as int) as item_shingles, cast(count(*) as int) as shared, count(*) / bx.n as containment,
+  cast(dx.n as int) as doc_shingles
+from dx join bx using (x) group by dx.doc_id, bx.item_id, bx.n, dx.n having 4 * count(*) >= 3 * bx.n""",
     "op7_topk_search": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) as v
