@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 # Bytes of text handled at a time inside a task; one longer text is a block of its own.
 BLOCK_BYTES = 1 << 19
+# A text longer than this is split into words piece by piece, which bounds the arrays in memory.
+PIECE_BYTES = 1 << 22
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -49,7 +51,32 @@ def staged(df: DataFrame) -> DataFrame:
     recompute it nor depend on one executor."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by `staged`; only once everything made from them
+    has been written as well."""
+    for table in tables:
+        path = getattr(table, "_staged_at", None)
+        if path:
+            sc = table.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def in_parts(df: DataFrame, rows: int, per_part: int = 100_000) -> DataFrame:
+    """`df` in about rows / per_part tasks (8 at least), for steps over small
+    tables on sessions with many shuffle partitions."""
+    return df.coalesce(max(8, -(-rows // per_part)))
+
+
+def occurring_again(df: DataFrame, by: str, least: int = 2) -> DataFrame:
+    """The values of column `by` with `least` rows or more, written down: a join
+    with them then reads two plain shuffles, so a hot value can be split."""
+    return staged(df.groupBy(by).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= least).select(by))
 
 
 def text_key(text: str | Column = "text") -> Column:
@@ -72,6 +99,8 @@ def same_document(a: DataFrame, b: DataFrame) -> Column:
 def blocks(batch: pa.RecordBatch, column: str = "body") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of about BLOCK_BYTES."""
     array = batch.column(batch.schema.get_field_index(column))
+    if pa.types.is_large_binary(array.type):
+        array = array.cast(pa.binary())
     offsets = np.frombuffer(array.buffers()[1], dtype=np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     data = np.frombuffer(array.buffers()[2] or b"", dtype=np.uint8)
     start = 0
@@ -130,6 +159,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     hash, and its document's number within the block (ascending)."""
     if not len(data):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    if len(offsets) == 2 and len(data) > PIECE_BYTES:  # one very long text: in pieces that end between words
+        found, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + PIECE_BYTES)
+            gap = _SPACE[data[end:]]
+            end = end + int(np.argmax(gap)) if gap.any() else len(data)
+            found.append(_words(data[at:end], np.array([0, end - at]))[0])
+            at = end
+        value = np.concatenate(found)
+        return value, np.zeros(len(value), dtype=np.int64)
+    return _words(data, offsets)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = _LOWER[data]
     inside = ~_SPACE[low]
     first = inside.copy()
