@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import Windows, blocks, documents, staged
+from loanlens.llm.common import Windows, blocks, documents, occurring_again, staged
 
 LENGTH = 400
 # Starts of one text looked at together; longer texts are cut, each part with the bytes its windows need.
@@ -234,13 +234,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = 20_0
         raise ValueError("length and group_rows must be at least 2")
     body = documents(docs)
     rows = staged(body.where(F.octet_length("body") >= length).mapInArrow(_anchor(length), ROWS))
-    again = rows.groupBy("rank").agg(F.count("*").alias("rows")).where("rows > 1").select("rank")
-    candidates = staged(rows.join(again, "rank", "left_semi"))
+    candidates = staged(rows.join(occurring_again(rows, "rank"), "rank", "left_semi"))
     hulls = staged(candidates.groupBy("rank", "hull_a", "hull_b").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "n", "lead")).alias("kept")))
-    whole = candidates.join(hulls.where("copies > 1").select("rank", "hull_a", "hull_b"), ["rank", "hull_a", "hull_b"], "left_semi")
-    several = hulls.groupBy("rank").agg(F.count("*").alias("hulls")).where("hulls > 1").select("rank")
-    kept = hulls.join(several, "rank", "left_semi").select("kept.*", "rank", (F.col("copies") > 1).alias("done"))
+    copied = staged(hulls.where("copies > 1").select("rank", "hull_a", "hull_b"))
+    whole = candidates.join(copied, ["rank", "hull_a", "hull_b"], "left_semi")
+    kept = hulls.join(occurring_again(hulls, "rank"), "rank", "left_semi").select("kept.*", "rank", (F.col("copies") > 1).alias("done"))
     wanted = _by_document(kept, "rows", ["rank", "start", "n", "lead", "done"])
     cut = body.join(wanted, body["doc_id"].eqNullSafe(wanted["_id"]) & (body["text_key"] == wanted["_key"]))
     # equal rows of the table give the same hulls: one of them stands for all
