@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from loanlens.llm.common import documents, staged, text_key
+from loanlens.llm.common import documents, occurring_again, staged, text_key
 
 MIN_WORDS = 50
 
@@ -78,19 +78,13 @@ def _lines(min_words: int):
     return run
 
 
-def _repeated(df: DataFrame, by: str) -> DataFrame:
-    """The rows whose `by` occurs in two rows or more."""
-    again = df.groupBy(by).agg(F.count("*").alias("_rows")).where("_rows > 1").select(by)
-    return df.join(again, by, "left_semi")
-
-
 def copied_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc (struct of doc_id, text_key), line, lines: windows that are copies of
     an earlier one; `line` counts non-blank lines."""
     if min_words < 1:
         raise ValueError("min_words must be positive")
     lines = staged(documents(docs).mapInArrow(_lines(min_words), LINES)).withColumn("doc", F.struct("doc_id", "text_key"))
-    live = staged(_repeated(lines, "rank").dropDuplicates(["doc", "line"]).select("doc", "line", "rank", "ahead", "back"))
+    live = staged(lines.join(occurring_again(lines, "rank"), "rank", "left_semi").dropDuplicates(["doc", "line"]).select("doc", "line", "rank", "ahead", "back"))
     windows = live.where("ahead > 0").select("doc", "line", F.col("ahead").alias("lines")).unionByName(
         live.where("back > 0").select("doc", (F.col("line") - F.col("back") + 1).alias("line"), F.col("back").alias("lines"))
     )
@@ -109,14 +103,14 @@ def copied_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             .select("doc", "line", "lines", F.md5(F.concat("rank", "tail", F.col("lines").cast("string").cast("binary"))).alias("name"))
         )
         named = staged(named)
-        firsts = named.groupBy("name").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        firsts = staged(named.groupBy("name").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
         copies = named.join(firsts, "name").where(F.struct("doc", "line") != F.col("first")).select("doc", "line", "lines")
         found = copies if found is None else found.unionByName(copies)
         if 2 * h <= longest:
             after = ranks.select("doc", (F.col("line") - h).alias("line"), F.col("rank").alias("next"))
-            pairs = ranks.join(after, ["doc", "line"]).select(
-                "doc", "line", F.unhex(F.md5(F.concat("rank", "next"))).alias("rank"))
-            ranks = staged(_repeated(staged(pairs), "rank"))
+            pairs = staged(ranks.join(after, ["doc", "line"]).select(
+                "doc", "line", F.unhex(F.md5(F.concat("rank", "next"))).alias("rank")))
+            ranks = staged(pairs.join(occurring_again(pairs, "rank"), "rank", "left_semi"))
         h *= 2
     return found if found is not None else windows
 
