@@ -55,7 +55,7 @@ DISCOUNT = 0.75
 END_HASH = np.uint64(0)
 # Bytes of text per slice of the model's levels, and tokens counted together.
 SLICE_BYTES = 32 << 20
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 UNKNOWN = np.uint32(0xFFFFFFFF)
 
 PARTS = "slice int, n long, deltas binary, counts binary"
