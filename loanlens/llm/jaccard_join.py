@@ -12,10 +12,12 @@ are used, each on what the one before has left:
    once per batch; a slice finds the shingles of two or more batches and
    answers with counts per document. The number of slices follows the input's
    bytes, so a slice's size doesn't. A very common shingle costs one entry
-   per batch of documents.
+   per batch of documents. The documents left are picked in a second scan by
+   a fixed-size bit table of their keys; texts are never shuffled.
 2. By document frequency among the remaining distinct sets, rarest first,
-   c = 1. Shingles of one set are dropped, sets with fewer than ceil(0.75 n)
-   shared shingles too; the rest are posting lists of (shingle, set).
+   c = 1. Sets with fewer than ceil(0.75 n) shingles that other sets have are
+   dropped first (counted as in 1, over whole sets), then shingles of one set;
+   the rest are posting lists of (shingle, set).
 3. By hash from the other end, c = 1, checked per candidate pair together with
    the first order, before the exact intersection.
 
@@ -44,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import blocks, distinct_pairs, documents, shingle_hashes, staged, text_key, words
+from loanlens.llm.common import blocks, discard, distinct_pairs, documents, in_parts, occurring_again, shingle_hashes, staged, text_key, words
 from loanlens.llm.components import components
 
 SHINGLE = 5
@@ -52,6 +54,8 @@ SHINGLE = 5
 PERCENT = 75
 # Bytes of text per hash slice of the first filter.
 SLICE_BYTES = 32 << 20
+# Size of the bit table that picks the documents left by the first filter.
+KEY_BITS = 1 << 24
 _SEVERAL = 0xFFFF  # entry of a shingle that several documents of the batch have
 _DOCS_PER_BATCH = 60_000
 
@@ -77,8 +81,10 @@ def sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return distinct_pairs(*shingle_hashes(*words(data, offsets), SHINGLE))
 
 
-def _sieve(slices: int):
-    entry = np.dtype([("shingle", "<u4"), ("high", "u1"), ("number", "<u2")])
+_ENTRY = np.dtype([("shingle", "<u4"), ("high", "u1"), ("number", "<u2")])
+
+
+def _sieve(slices: int, read):
 
     def emit(batch: int, ids, keys, n: np.ndarray, value: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(value, kind="stable")
@@ -91,7 +97,7 @@ def _sieve(slices: int):
         yield pa.RecordBatch.from_arrays([
             pa.array(np.full(len(n), batch)), pa.array(np.arange(len(n), dtype=np.int32)), ids, keys, pa.array(n.astype(np.int32)),
             pa.array(own.astype(np.int32)), none, pa.nulls(len(n), pa.binary())], schema=_SIEVE)
-        entries = np.zeros(len(at), dtype=entry)
+        entries = np.zeros(len(at), dtype=_ENTRY)
         entries["shingle"] = value[at] & np.uint64(0xFFFFFFFF)
         entries["high"] = (value[at] >> np.uint64(32)) & np.uint64(0xFF)
         entries["number"] = np.where(several, _SEVERAL, owner[at])
@@ -109,72 +115,115 @@ def _sieve(slices: int):
         for whole in batches:
             for at in range(0, max(1, whole.num_rows), _DOCS_PER_BATCH):
                 batch = whole.slice(at, _DOCS_PER_BATCH)
-                n = np.zeros(batch.num_rows, dtype=np.int64)
-                values, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for start, end, data, offsets in blocks(batch):
-                    value, owner = sets(data, offsets)
-                    size = np.bincount(owner, minlength=end - start)
-                    n[start:end] = size
-                    place = np.arange(len(value)) - (np.cumsum(size) - size)[owner]
-                    keep = place < (size - at_least(size) + common(size))[owner]
-                    values.append(value[keep])
-                    owners.append(owner[keep] + start)
-                yield from emit(number, batch.column(0), batch.column(1), n, np.concatenate(values), np.concatenate(owners))
+                yield from emit(number, batch.column(0), batch.column(1), *read(batch))
                 number += 1
 
-    return run, entry
-
+    return run
 
-def _credits(entry: np.dtype):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(e, dtype=entry) for e in group["entries"]]
-        whole = np.concatenate(parts)
-        batch = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        value = whole["shingle"].astype(np.uint64) | (whole["high"].astype(np.uint64) << np.uint64(32))
-        order = np.argsort(value, kind="stable")
-        value = value[order]
-        same = value[1:] == value[:-1]
-        shared = np.zeros(len(value), dtype=bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        hit = order[shared]
-        hit = hit[whole["number"][hit] != _SEVERAL]
-        key, credit = np.unique(batch[hit].astype(np.int64) << 16 | whole["number"][hit], return_counts=True)
-        return pd.DataFrame({"batch": group["batch"].to_numpy()[key >> 16], "number": (key & 0xFFFF).astype(np.int32),
-                             "credit": credit.astype(np.int32)})
 
-    return run
+def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes of a batch of texts, and the shingles (with owners) of their
+    prefixes by hash."""
+    n = np.zeros(batch.num_rows, dtype=np.int64)
+    values, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for start, end, data, offsets in blocks(batch):
+        value, owner = sets(data, offsets)
+        size = np.bincount(owner, minlength=end - start)
+        n[start:end] = size
+        place = np.arange(len(value)) - (np.cumsum(size) - size)[owner]
+        keep = place < (size - at_least(size) + common(size))[owner]
+        values.append(value[keep])
+        owners.append(owner[keep] + start)
+    return n, np.concatenate(values), np.concatenate(owners)
+
+
+def _whole_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of a batch of sets, all shingles."""
+    column = batch.column(2)
+    n = np.diff(np.asarray(column.offsets)).astype(np.int64)
+    return n, np.asarray(column.flatten()).view(np.uint64), np.repeat(np.arange(len(n)), n)
+
+
+def _credits(group: pd.DataFrame) -> pd.DataFrame:
+    """How many shingles of a slice each document shares with other batches."""
+    parts = [np.frombuffer(e, dtype=_ENTRY) for e in group["entries"]]
+    whole = np.concatenate(parts)
+    batch = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    value = whole["shingle"].astype(np.uint64) | (whole["high"].astype(np.uint64) << np.uint64(32))
+    order = np.argsort(value, kind="stable")
+    value = value[order]
+    same = value[1:] == value[:-1]
+    shared = np.zeros(len(value), dtype=bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    hit = order[shared]
+    hit = hit[whole["number"][hit] != _SEVERAL]
+    key, credit = np.unique(batch[hit].astype(np.int64) << 16 | whole["number"][hit], return_counts=True)
+    return pd.DataFrame({"batch": group["batch"].to_numpy()[key >> 16], "number": (key & 0xFFFF).astype(np.int32),
+                         "credit": credit.astype(np.int32)})
+
+
+def _shared(rows: DataFrame, read, size: int) -> DataFrame:
+    """Per row (doc_id, text_key): n, its set's size, and how many of the
+    shingles read are in another row as well."""
+    table = staged(rows.mapInArrow(_sieve(max(8, -(-size // SLICE_BYTES)), read), SIEVE))
+    members = table.where("number is not null").select("batch", "number", "doc_id", "text_key", "n", "own")
+    found = (
+        table.where("slice is not null").select("slice", "batch", "entries").groupBy("slice").applyInPandas(_credits, CREDITS)
+        .groupBy("batch", "number").agg(F.sum("credit").alias("credit"))
+    )
+    out = staged(members.join(found, ["batch", "number"], "left").select(
+        "doc_id", "text_key", "n", (F.col("own") + F.coalesce("credit", F.lit(0))).alias("shared")))
+    discard(table)
+    return out
 
 
 def sieve(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, n of every document; doc_id, text_key of those that
     share enough prefix shingles to have a similar document)."""
-    body = documents(docs)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    run, entry = _sieve(max(8, -(-size // SLICE_BYTES)))
-    table = staged(body.mapInArrow(run, SIEVE))
-    members = table.where("number is not null").select("batch", "number", "doc_id", "text_key", "n", "own")
-    found = (
-        table.where("slice is not null").select("slice", "batch", "entries").groupBy("slice").applyInPandas(_credits(entry), CREDITS)
-        .groupBy("batch", "number").agg(F.sum("credit").alias("credit"))
-    )
+    every = _shared(documents(docs), _prefixes, size)
     needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / 8))
-    shared = F.col("own") + F.coalesce("credit", F.lit(0))
-    left = members.join(found, ["batch", "number"], "left").where((F.col("n") > 0) & (shared >= needed)).select("doc_id", "text_key").distinct()
-    return members.select("doc_id", "text_key", "n"), left
+    left = every.where((F.col("n") > 0) & (F.col("shared") >= needed)).select("doc_id", "text_key").distinct()
+    return every.select("doc_id", "text_key", "n"), left
 
 
-def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start, end, data, offsets in blocks(batch):
-            value, owner = sets(data, offsets)
-            cuts = np.searchsorted(owner, np.arange(end - start + 1)).astype(np.int32)
-            raw = memoryview(value).cast("B") if len(value) else memoryview(b"")
-            name = [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) - (1 << 63) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0)[start:end], batch.column(1)[start:end], pa.array(np.diff(cuts)), pa.array(name, type=pa.int64()),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array(value.view(np.int64))),
-            ], schema=_SETS)
+def _key_bits(keys: DataFrame) -> bytes:
+    """A fixed-size bit table of text keys, two bits a key: at most 512 rows of
+    4 KB come to the driver, however many keys there are."""
+    places = F.array(F.col("text_key").bitwiseAND(KEY_BITS - 1), F.shiftrightunsigned("text_key", 32).bitwiseAND(KEY_BITS - 1))
+    place = F.col("place")
+    rows = keys.select(F.explode(places).alias("place")).groupBy(F.shiftright(place, 15).alias("bucket")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("bits"))
+    out = bytearray(KEY_BITS // 8)
+    for r in rows.collect():
+        out[4096 * r.bucket : 4096 * (r.bucket + 1)] = r.bits
+    return bytes(out)
+
+
+def _as_sets(sent):
+    """Sets of the documents whose key the bit table has; the few others that it
+    lets through do no harm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, dtype=np.uint8)
+        for whole in batches:
+            key = whole.column(1).to_numpy().view(np.uint64)
+            known = np.ones(len(key), dtype=bool)
+            for place in (key & np.uint64(KEY_BITS - 1), (key >> np.uint64(32)) & np.uint64(KEY_BITS - 1)):
+                known &= (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            batch = whole.filter(pa.array(known))
+            for start, end, data, offsets in blocks(batch):
+                value, owner = sets(data, offsets)
+                cuts = np.searchsorted(owner, np.arange(end - start + 1)).astype(np.int32)
+                raw = memoryview(value).cast("B") if len(value) else memoryview(b"")
+                name = [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) - (1 << 63) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0)[start:end], batch.column(1)[start:end], pa.array(np.diff(cuts)), pa.array(name, type=pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(value.view(np.int64))),
+                ], schema=_SETS)
+
+    return run
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -200,7 +249,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _posting_lists(unique: DataFrame) -> DataFrame:
     """shingle, set, n, place (1, 2, ... within the list): the prefixes of sets by
     document frequency, lists of two or more."""
-    rows = unique.select("set", "n", F.explode("shingles").alias("shingle"))
+    size = 8 * (unique.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
+    shared = _shared(unique.select(F.col("set").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), "shingles"), _whole_sets, size)
+    enough = staged(shared.where(F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)).select(F.col("doc_id").alias("set")))
+    rows = unique.join(enough, "set", "left_semi").select("set", "n", F.explode("shingles").alias("shingle"))
     df = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     shared = rows.join(df, "shingle")
     by_set = shared.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shingles"))
@@ -209,58 +261,62 @@ def _posting_lists(unique: DataFrame) -> DataFrame:
     kept = by_set.where(F.size("shingles") >= F.ceil(F.col("n") * PERCENT / 100)).select(
         "set", "n", F.explode(F.slice("shingles", F.lit(1), prefix.cast("int"))).alias("s"))
     lists = staged(kept.select("set", "n", F.col("s.shingle").alias("shingle")))
-    several = lists.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle")
     place = F.row_number().over(Window.partitionBy("shingle").orderBy("set"))
-    return staged(lists.join(several, "shingle", "left_semi").withColumn("place", place))
+    return staged(lists.join(occurring_again(lists, "shingle"), "shingle", "left_semi").withColumn("place", place))
 
 
 def _links(lists: DataFrame, unique: DataFrame) -> DataFrame:
     """set, root: components of sets linked by similarity (roots left out)."""
     spark = lists.sparkSession
-    spans = unique.select("set", "shingles")
+    spans = staged(unique.select("set", "shingles").join(lists.select("set").distinct(), "set", "left_semi"))
     labels = spark.createDataFrame([], "set long, label long")
-    links = spark.createDataFrame([], "a long, b long")
     lists = lists.withColumn("label", F.col("set"))
+    rows = lists.count()
+    written = None
     first, width = 1, 1
     while True:
         mixed = lists.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("place").alias("last")).where(
             (F.col("x") < F.col("y")) & (F.col("last") > first)).select("shingle")
-        lists = staged(lists.where(F.col("place") >= first).join(mixed, "shingle", "left_semi"))
-        if lists.isEmpty():
+        before, lists = written, staged(in_parts(lists.where(F.col("place") >= first).join(mixed, "shingle", "left_semi"), rows))
+        discard(before)
+        written = lists
+        rows = lists.count()
+        if not rows:
             return labels
         heads = lists.where(F.col("place") < first + width).select(
             "shingle", F.col("set").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
-        pairs = staged(
+        pairs = (
             lists.select("shingle", F.col("set").alias("b"), "n", "place", "label").join(heads, "shingle")
             .where((F.col("place") > F.col("pa")) & (F.col("label") != F.col("la"))
                    & (F.least("n", "na") * 100 >= F.greatest("n", "na") * PERCENT))
-            .select("a", "b").distinct())
+            .select("a", "b")
+        )
+        pairs = staged(in_parts(pairs.distinct(), rows))
         sided = pairs.join(spans.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
         checked = sided.join(spans.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-        links = staged(links.unionByName(checked.mapInArrow(_verify, "a long, b long")))
+        found = staged(checked.mapInArrow(_verify, "a long, b long"))
+        discard(pairs)
+        first, width = first + width, 4 * width
+        if found.isEmpty():
+            continue
+        # the components so far stand for the links they were made of
+        links = found.unionByName(labels.select(F.col("set").alias("a"), F.col("label").alias("b")))
         labels = components(links).select(F.col("node").alias("set"), F.col("root").alias("label"))
         renamed = labels.withColumnRenamed("label", "root")
-        lists = lists.join(renamed, "set", "left").withColumn("label", F.coalesce("root", "set")).drop("root")
-        first, width = first + width, 4 * width
+        lists = in_parts(lists.join(renamed, "set", "left"), rows).withColumn("label", F.coalesce("root", "set")).drop("root")
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, component (a name of the
     document's component that is set even where its ids are null) per document."""
     every, left = sieve(docs)
-    left = staged(left).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    body = documents(docs)
-    left_docs = body.join(left, body["doc_id"].eqNullSafe(left["_id"]) & (body["text_key"] == left["_key"]), "left_semi")
-    with_sets = staged(left_docs.mapInArrow(_as_sets, SETS))
-    kept = with_sets.groupBy("set").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"), F.count("*").alias("copies"))
-    kept = staged(kept)
-    chosen = kept.select(F.col("set").alias("_set"), "kept")
-    unique = staged(
-        with_sets.join(chosen, (with_sets["set"] == chosen["_set"]) & F.struct("doc_id", "text_key").eqNullSafe(F.col("kept")))
-        .select("set", "n", "shingles").dropDuplicates(["set"]))
+    sent = docs.sparkSession.sparkContext.broadcast(_key_bits(left))  # KEY_BITS / 8 bytes
+    with_sets = staged(documents(docs).mapInArrow(_as_sets(sent), SETS).where("n > 0"))
+    unique = staged(with_sets.groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("shingles").alias("shingles")))
     labels = _links(_posting_lists(unique), unique)
     members = with_sets.select("doc_id", "text_key", "set").join(labels, "set", "left").withColumn("component", F.coalesce("label", "set"))
     members = staged(members.select("doc_id", "text_key", "component"))
+    discard(with_sets, unique)
     ids = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = members.distinct().join(ids, "component").select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "component", "component_id")
