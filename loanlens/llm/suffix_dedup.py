@@ -30,7 +30,8 @@ partial aggregation: a passage in a third of all documents is one row per task.
 Texts are their UTF-8 bytes. Defined results: a null text is empty; texts
 shorter than `length` lose nothing; equal rows are documents of their own, so
 copies of a long enough text lose everything; a null or repeated doc_id is
-carried; an empty table gives an empty result.
+carried; an empty table gives an empty result. Rows equal in doc_id and text
+share one list of distinct spans, however many they are.
 """
 
 from __future__ import annotations
@@ -228,8 +229,8 @@ def _windows_in_hot_groups(hulls: DataFrame, length: int, group_rows: int) -> li
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = 20_000) -> DataFrame:
     """doc_id, text_key, start, n: the starts start..start+n-1 of windows of
-    `length` bytes that also start elsewhere. One document's rows may overlap
-    or repeat."""
+    `length` bytes that also start elsewhere. Rows are distinct, so N equal rows
+    of the table have the spans of one; one document's rows may overlap."""
     if length < 2 or group_rows < 2:
         raise ValueError("length and group_rows must be at least 2")
     body = documents(docs)
@@ -248,7 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_rows: int = 20_0
     spans = whole.select("doc_id", "text_key", "start", "n")
     for found in _windows_in_hot_groups(cut, length, group_rows):
         spans = spans.unionByName(found)
-    return spans
+    return spans.dropDuplicates(["doc_id", "text_key", "start", "n"])
 
 
 def merged_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:

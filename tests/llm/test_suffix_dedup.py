@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from loanlens.llm.suffix_dedup import remove_repeats
+from loanlens.llm.suffix_dedup import remove_repeats, repeated_spans
 
 
 def brute(rows, length):
@@ -61,3 +61,13 @@ def test_long_text_is_cut_into_parts(corpus, monkeypatch):
     body = "".join(rng.choice("abcd") for _ in range(3000))
     rows = [(1, body + "#" + body[500:900]), (2, "x" + body[2000:2200])]
     assert got(remove_repeats(corpus(rows), 50)) == brute(rows, 50)
+
+
+def test_thousands_of_equal_rows_have_the_spans_of_one(corpus):
+    rng = random.Random(6)
+    body = "".join(rng.choice("abcdefgh") for _ in range(1500))
+    rows = [(None, body)] * 3000 + [(1, "x" * 5 + body[200:300] + "y"), (2, "nothing here is twice")]
+    spans = repeated_spans(corpus(rows), 40).collect()
+    assert len(spans) == len(set(spans)) <= len(body)
+    out = got(remove_repeats(corpus(rows), 40))
+    assert Counter(out) == Counter(brute(rows[-4:], 40)) + Counter({x: 2998 for x in out if x[0] is None})
