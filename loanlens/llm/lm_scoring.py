@@ -50,12 +50,14 @@ from loanlens.llm.common import blocks, documents, shared_dir, staged, words
 from loanlens.llm.quality_classifier import held_out
 
 ORDER = 3
-MIN_COUNT = 2
+MIN_COUNT = 1  # every n-gram is stored
 DISCOUNT = 0.75
 END_HASH = np.uint64(0)
 # Bytes of text per slice of the model's levels, and tokens counted together.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 BATCH_TOKENS = 1_000_000
+# Nodes whose shorter n-grams are looked up together.
+NODE_ROWS = 500_000
 UNKNOWN = np.uint32(0xFFFFFFFF)
 
 PARTS = "slice int, n long, deltas binary, counts binary"
@@ -235,7 +237,7 @@ def _write_tokens(root: str):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         number = key[0].as_py()
         hashes, count = _merged(group)
-        elias_fano.write({**elias_fano.encode(hashes), "count": count.astype(np.uint64)}, f"{root}/1/{number}")
+        elias_fano.write({**elias_fano.encode(hashes), "count": _counts(count)}, f"{root}/1/{number}")
         return _slice_row(number, len(hashes), int(count.sum()))
 
     return run
@@ -328,7 +330,12 @@ def _count_nodes(root: str, bases: tuple, total: int, level: int):
     return run
 
 
-def _write_nodes(root: str, bases: tuple, total: int, level: int, min_count: int, discount: float):
+def _counts(count: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds them all."""
+    return count.astype(np.min_scalar_type(int(count.max()) if len(count) else 0))
+
+
+def _write_nodes(root: str, bases: tuple, total: int, level: int, order: int, min_count: int, discount: float):
     def run(group_key: tuple, group: pa.Table) -> pa.Table:
         number = group_key[0].as_py()
         model = _opened(root, bases, total)
@@ -344,20 +351,26 @@ def _write_nodes(root: str, bases: tuple, total: int, level: int, min_count: int
         if level == 2:
             shorter = 10 ** each(token, lambda t: model.unigram(model.counts(t)), 0.0)
         else:  # the node without its first token: (all but the first of the parent, token)
-            shorter = 10 ** _shorter(model, level, number, parent, token)
+            shorter = np.empty(len(key))
+            paths = model._get(level - 1, number, "keys").keys()
+            for at in range(0, len(key), NODE_ROWS):
+                rows = slice(at, at + NODE_ROWS)
+                shorter[rows] = 10 ** _shorter(model, level, paths[parent[rows]], token[rows])
+            del paths
         logp = np.log10(share + back[parent] * shorter)
         code, book = quantised(logp)
         back_code, back_book = quantised(np.log10(back))
-        elias_fano.write({**elias_fano.encode(key), "count": count.astype(np.uint64), "logp": code, "logp_book": book}, f"{root}/{level}/{number}")
+        kept = {"count": _counts(count)} if level < order else {}  # only the next level reads them
+        elias_fano.write({**elias_fano.encode(key), **kept, "logp": code, "logp_book": book}, f"{root}/{level}/{number}")
         elias_fano.write({"back": back_code, "back_book": back_book}, f"{root}/{level - 1}/{number}")
         return _slice_row(number, len(key), int(count.sum()))
 
     return run
 
 
-def _shorter(model: Model, level: int, number: int, parent: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """log10 p of the nodes' last token after all but the first of the context."""
-    path = model._get(level - 1, number, "keys").keys()[parent]
+def _shorter(model: Model, level: int, path: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """log10 p of the nodes' last token after all but the first of the context;
+    `path` has the keys of their contexts."""
     size = np.uint64(model.vocabulary)
     middle = [(path % size).astype(np.int64)]  # the context's tokens from the second on, last first
     up, k = path // size, level - 1
@@ -457,7 +470,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, min_count: int = MIN_CO
     coded = staged(body.mapInArrow(_code(root, bases, total), CODED))
     for level in range(2, order + 1):
         parts = coded.where("not held_out").select("tokens").mapInArrow(_count_nodes(root, bases, total, level), PARTS)
-        rows = parts.groupBy("slice").applyInArrow(_write_nodes(root, bases, total, level, min_count, discount), SLICES)
+        rows = parts.groupBy("slice").applyInArrow(_write_nodes(root, bases, total, level, order, min_count, discount), SLICES)
         base, _ = _bases(rows, slices, root, level, bases[-1])
         if base[-1] * max(1, first[-1]) >= 1 << 64:
             raise ValueError("more nodes than 64-bit keys hold")

@@ -99,6 +99,17 @@ def test_equals_plain_model(corpus, order, min_count):
         assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_default_stores_ngrams_seen_once(corpus):
+    once = " ".join(f"once{k}" for k in range(25))
+    trained, asked = next(i for i in range(600, 700) if not held(i)), next(i for i in range(600, 700) if held(i))
+    rows = [*rows_of(8, 60), (trained, once), (asked, once)]
+    plain = Plain(rows, 3, 1, 0.75)
+    got = {r.doc_id: r.score for r in score_documents(corpus(rows)).collect()}
+    for i, t in rows:
+        assert abs(got[i] - plain.score(t)) <= 0.03 * len(tokens(t))
+    assert got[asked] > Plain(rows, 3, 2, 0.75).score(once) + 0.5 * len(tokens(once))
+
+
 def test_probabilities_sum_to_one():
     plain = Plain(rows_of(9), 3, 2, 0.75)
     for context in [(), ("w1",), ("w1", "w3"), (None,), (None, "w2")]:
