@@ -22,9 +22,9 @@ the codes' rounding). The end token also stands before the first token.
 Counting. All training documents are counted. Tasks send sorted distinct keys
 with counts per slice, as deltas; a slice's task merges them, writes its file,
 and returns one row. A level asks only for n-grams whose two shorter n-grams
-are stored (with a count of at least `min_count` they must be). A context's
-children meet in one task; their number is bounded by V, not by the rows, as
-each batch sends a distinct n-gram once.
+are stored (with a count of at least `min_count` they must be). All n-grams
+that begin with one token meet in one task, each once per batch that has it:
+for a very common first word that is not bounded, and grows with the rows.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end.
 Training documents are those whose crc32(doc_id as text) mod 5 is not 1; the
