@@ -18,6 +18,9 @@ COLUMNS = {
     "op8_decontamination": "doc_id item_id item_shingles shared containment doc_shingles",
     "op9_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept js_chars js_words",
+    "op12_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op13_conversation_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
 }
 
 
@@ -33,8 +36,9 @@ def test_columns_and_extra_columns(spark, key, tmp_path):
     """The contract's columns; columns with clashing names in the tables do no harm."""
     from pyspark.sql import functions as F
 
-    clash = ["text_key", "body", "rank", "set", "shingle", "n", "label", "cell", "part", "start", "score", "held_out", "_doc", "shard"]
-    for t in ("documents", "labels", "benchmark", "embeddings"):
+    clash = ["text_key", "body", "rank", "set", "shingle", "n", "label", "cell", "part", "start", "score", "held_out", "_doc", "shard",
+             "words", "kept", "conv", "depth", "vector", "aid"]
+    for t in ("documents", "labels", "benchmark", "embeddings", "conversations"):
         df = spark.read.parquet(f"{SF}/{t}.parquet")
         df.withColumns({c: F.lit("x") for c in clash if c not in df.columns}).write.parquet(f"{tmp_path}/{t}.parquet")
     want = QUERIES[key](spark, SF)
