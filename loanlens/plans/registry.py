@@ -137,6 +137,18 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lio.read_dataset(spark, manifest["csv"], "csv", schema=flags.schema)
 
 
+def _csv_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as CSV and back: texts with quotes, line breaks, blanks
+    around them, empty and null ones."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    kind = F.col("doc_id") % 7
+    texts = docs.select(
+        "doc_id", "text", F.concat(F.lit('say "'), "source", F.lit('", "ok"\n')).alias("quoted"),
+        F.when(kind == 0, F.lit("")).when(kind != 1, F.concat(F.lit(" "), "lang", F.lit("\r\n "))).alias("padded"), F.col("n_chars").alias("chars"))
+    path = lio.write_dataset(texts, f"{checkpoint_dir(spark)}/roundtrip/{uuid.uuid4().hex}", "csv")
+    return lio.read_dataset(spark, path, "csv", schema=texts.schema)
+
+
 def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loan flags as a date-suffixed table, replaced by a second write."""
     flags = handoff(QUERIES["payment_default_flags"](spark, sf_dir))
@@ -224,6 +236,7 @@ QUERIES: dict[str, Query] = {
     "approx_report_error": _raw(_approx_error),
     "write_read_roundtrip": _roundtrip,
     "csv_roundtrip": _csv_roundtrip,
+    "csv_text_roundtrip": _csv_text_roundtrip,
     "replace_table": _replaced,
     "active_users": _q(lambda s: active(s.table("users", "id", "product_type", "is_delete")).select("id", "product_type")),
     "repayment_fact_ordered": _q(lambda s: _fact(s, ordered=True)),

@@ -10,6 +10,9 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loanlens.sources.csv_records import WRITE_OPTIONS, read_csv
 
 FORMATS = ("csv", "parquet")
 
@@ -20,27 +23,27 @@ def _check_format(fmt: str) -> str:
     return fmt
 
 
-def read_dataset(spark: SparkSession, path: str, fmt: str = "csv", schema=None) -> DataFrame:
-    """Read a CSV (header, types inferred from all rows unless `schema`) or
-    parquet dataset; any other format raises ValueError."""
+def read_dataset(spark: SparkSession, path: str, fmt: str = "csv", schema=None, malformed: str | None = None) -> DataFrame:
+    """Read a CSV (header, read by record, types inferred from all rows unless
+    `schema`) or parquet dataset; any other format raises ValueError.
+    `malformed` names a column for CSV records that do not fit the schema."""
     _check_format(fmt)
-    reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
-        if schema is None:
-            reader = reader.option("inferSchema", True)
-    return reader.load(path)
+        return read_csv(spark, path, schema, malformed)
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path)
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "csv") -> str:
     """Write `df` as one CSV (with header, no index) or parquet dataset,
-    replacing what is there; any other format raises ValueError."""
+    replacing what is there; any other format raises ValueError. CSV keeps every
+    text as it is: quotes, line breaks and blanks, and empty apart from null."""
     _check_format(fmt)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        if len(df.columns) == 1 and not df.where(F.col(f"`{df.columns[0]}`").isNull()).isEmpty():
+            raise ValueError("a CSV of one column cannot hold nulls: their lines would be blank and are not written")
+        writer = writer.options(**WRITE_OPTIONS)
     writer.save(path)
     return path
 
