@@ -1,24 +1,25 @@
 """Per-column data-quality report (21 metrics per column).
 
-Plan shape, all distributed:
-  moments   one aggregate over the frame as it is (no row per cell): counts,
-            min, max, mean, std, skewness, kurtosis and correlation with the
-            target for every column; one row, unpivoted afterwards, so an empty
-            frame still gives a row per column
-  values    exact: (column, value as text) counts, combined map-side before the
-            shuffle; the text is that of the value's own type, so large integers
-            and decimals keep their digits. Distinct counts are its rows, the
-            mode its greatest count (ties: the smallest value)
-  quantiles exact: the value counts of numeric columns are range-partitioned by
-            (column, value) and written with their partition number;
-            per-partition totals give each partition's rank offset (a table of
-            at most partitions x columns rows), a window inside each
-            (partition, column) gives the running count, and the rows holding
-            the needed ranks are picked by a join against at most 3 rows per
-            column. No task ever holds a whole column.
-  approx    sketches only, in the aggregate of the moments: approx_count_distinct
-            (relative error `rsd`), percentile_approx (rank error 1 / `accuracy`)
-            and approx_top_k for the mode; no shuffle but of one row per task
+All figures start from one pass of sketches (`sketches.sketch_columns`): counts,
+moments, correlation, and mergeable sketches of quantiles, distinct counts and
+frequent values. Approximate: the report is read from them; sketches of parts,
+such as days, can be kept and merged, and `report_of_sketches` reads the merged
+ones. Exact: the sketches say where to look, and no row per cell is ever made.
+
+  quantiles  by selection: the quantile sketch bounds each wanted rank from both
+             sides; one pass counts the values below and at the bounds and keeps
+             those strictly between (a share of about four rank errors), which are
+             counted and ranked alone. Bounds that miss their rank are widened and
+             tried again, so the result does not rest on the sketch.
+  distinct   a column of integers that fill their range: bitmaps of 32,768 values
+             each (`bitmap_construct_agg`), a row per bitmap; all others: the
+             column alone, grouped by value in its own type, combined before the
+             shuffle
+  mode       of a grouped column its greatest count (ties: the smallest value); of
+             a bitmap column the exact counts of the sketch's frequent values, as
+             long as one of them is frequent enough that no value outside the
+             sketch can match it; if no value occurs twice, the smallest; else the
+             column is grouped after all
 Quantiles use linear interpolation; skewness and kurtosis are the
 bias-corrected sample values (0 for a constant column); correlation is
 Pearson on rows where both values exist (null when undefined).
@@ -26,18 +27,20 @@ Pearson on rows where both values exist (null when undefined).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    BooleanType, ByteType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType,
-)
+from pyspark.sql.types import BooleanType
 
-from loanlens.functions.exprs import nan_to_null
+from loanlens.operators import sketches as sk
 from loanlens.plans.stages import handoff
 
-_INTEGRAL = (ByteType, ShortType, IntegerType, LongType, BooleanType)
-_NUMERIC = _INTEGRAL + (FloatType, DoubleType, DecimalType)
 QUANTILES = (0.25, 0.5, 0.75)
+# a column with fewer distinct values is grouped whatever its type: its groups combine to next to nothing
+FEW = 10_000
+# values per bitmap
+BITMAP = 32_768
 
 
 def report_columns(target_col: str) -> list[str]:
@@ -48,84 +51,13 @@ def report_columns(target_col: str) -> list[str]:
     ]
 
 
-def _value(df: DataFrame, name: str):
-    c = F.col(f"`{name}`")
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, BooleanType):
-        return c.cast("int")
-    if isinstance(dtype, (FloatType, DoubleType)):
-        return nan_to_null(c)  # NaN counts as missing, as in pandas
-    return c
-
-
 def _lerp(a, b, t):
     """Linear interpolation as numpy computes it (stable for t >= 0.5)."""
     diff = b - a
     return F.when(t >= 0.5, b - diff * (F.lit(1.0) - t)).otherwise(a + diff * t)
 
 
-def _alias(i: int, metric: str) -> str:
-    return f"c{i}_{metric}"
-
-
-def _moments(df: DataFrame, names, numeric, target_col, sketches: tuple[float, int] | None) -> DataFrame:
-    """One row per column (`ord`): n, nn, min, max, mean, std, population skewness
-    and kurtosis, correlation; with `sketches` also distinct, mode and pq."""
-    target = _value(df, target_col).cast("double") if target_col in numeric else None
-    aggs, cells = [F.count(F.lit(1)).alias("n")], []
-    null = F.lit(None)
-    for i, name in enumerate(names):
-        v, at = _value(df, name), {}
-        at["nn"] = (F.count(v), "bigint")
-        if name in numeric:
-            d = v.cast("double")
-            at |= {"min": (F.min(d), "double"), "max": (F.max(d), "double"), "mean": (F.avg(d), "double"), "std": (F.stddev_samp(d), "double"),
-                   "skew": (F.skewness(d), "double"), "kurt": (F.kurtosis(d), "double")}
-            if target is not None and name != target_col:
-                x, y = F.when(target.isNotNull(), d), F.when(d.isNotNull(), target)
-                at["corr"] = (F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)), "double")
-        if sketches:
-            rsd, accuracy = sketches
-            at["distinct"] = (F.approx_count_distinct(v, rsd), "bigint")
-            at["mode"] = (F.expr(f"approx_top_k({_sql_value(df, name)}, 2)"), None)
-            if name in numeric:
-                at["pq"] = (F.percentile_approx(v.cast("double"), list(QUANTILES), accuracy), "array<double>")
-        aggs += [c.alias(_alias(i, m)) for m, (c, _) in at.items()]
-        fields = {"nn": "bigint", "min": "double", "max": "double", "mean": "double", "std": "double", "skew": "double", "kurt": "double",
-                  "corr": "double"}
-        cell = [F.lit(i).alias("ord"), F.col("n")]
-        cell += [(F.col(_alias(i, m)) if m in at else null).cast(t).alias(m) for m, t in fields.items()]
-        if sketches:
-            top = F.get(F.filter(F.col(_alias(i, "mode")), lambda x: x["item"].isNotNull()), F.lit(0))  # nulls are counted as well
-            cell += [F.col(_alias(i, "distinct")).cast("bigint").alias("distinct"), top["item"].cast("string").alias("mode"),
-                     top["count"].cast("bigint").alias("mode_n"), (F.col(_alias(i, "pq")) if "pq" in at else null).cast("array<double>").alias("pq")]
-        cells.append(F.struct(*cell))
-    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-
-
-def _sql_value(df: DataFrame, name: str) -> str:
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, BooleanType):
-        return f"cast(`{name}` as int)"
-    if isinstance(dtype, (FloatType, DoubleType)):
-        return f"nullif(`{name}`, double('NaN'))"
-    return f"`{name}`"
-
-
-def _value_counts(df: DataFrame, names) -> DataFrame:
-    """(ord, value, cnt): how often each value of each column occurs, the value
-    as the text of its own type."""
-    cells = []
-    for i, name in enumerate(names):
-        v = _value(df, name)
-        if isinstance(df.schema[name].dataType, (FloatType, DoubleType)):
-            v = v + F.lit(0.0)  # one zero
-        cells.append(F.struct(F.lit(i).alias("ord"), v.cast("string").alias("value")))
-    rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("value").isNotNull())
-    return rows.groupBy("ord", "value").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def _value_order(is_numeric):
+def _value_order(is_numeric) -> Column:
     """Smallest value first: numbers by size (digits decide where doubles tie)."""
     number = F.when(is_numeric, F.col("value").cast("double"))
     minus = number < 0
@@ -134,83 +66,185 @@ def _value_order(is_numeric):
                     F.when(minus, F.translate("value", "0123456789", "9876543210")).otherwise(F.col("value")).alias("text"))
 
 
-def _exact_quantiles(vc: DataFrame, moments: DataFrame, numeric_ords) -> DataFrame:
-    spark = vc.sparkSession
+def _counted(df: DataFrame, ords: list[int], names: list[str]) -> DataFrame:
+    """(ord, value as the text of its own type, cnt), each column grouped alone."""
+    parts = []
+    for i in ords:
+        own = df.select(sk.value_of(df, names[i]).alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
+        parts.append(own.select(F.lit(i).alias("ord"), F.col("v").cast("string").alias("value"), "cnt"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _grouped(df: DataFrame, ords: list[int], names: list[str], info: DataFrame) -> DataFrame:
+    """ord, distinct, mode, mode_n of the columns `ords`."""
+    counts = _counted(df, ords, names).join(F.broadcast(info.select("ord", "numeric")), "ord")  # a row per column
+    place = F.struct((-F.col("cnt")).alias("rare"), _value_order(F.col("numeric")).alias("place"))
+    return counts.groupBy("ord").agg(F.count(F.lit(1)).alias("distinct"), F.min_by(F.struct("value", "cnt"), place).alias("top")).select(
+        "ord", "distinct", F.col("top.value").alias("mode"), F.col("top.cnt").alias("mode_n"))
+
+
+def _filled(row: Row) -> bool:
+    """Whether integers fill their range well enough for bitmaps to be smaller than their values."""
+    return row.integral and row.distinct > FEW and row.max - row.min < 16 * row.distinct and max(-row.min, row.max) < 2**53
+
+
+def _by_bitmap(df: DataFrame, rows: list[Row], names: list[str], info: DataFrame, items: int) -> tuple[DataFrame | None, list[int]]:
+    """(ord, distinct, mode, mode_n) of integer columns by bitmaps and frequent
+    values, and the columns whose mode these cannot give."""
+    maps, heavy = [], []
+    for r in rows:
+        v = sk.value_of(df, names[r.ord]).cast("bigint")
+        own = df.select(v.alias("v")).where(F.col("v").isNotNull())
+        bits = own.groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+        maps.append(bits.select(F.lit(r.ord).alias("ord"), F.bitmap_count("bits").alias("n")))
+        wanted = [int(x["item"]) for x in r.frequent]
+        if wanted:
+            heavy.append(own.where(F.col("v").isin(wanted)).groupBy("v").agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(r.ord).alias("ord"), "v", "cnt"))
+    distinct = {r.ord: r.n for r in reduce(DataFrame.unionAll, maps).groupBy("ord").agg(F.sum("n").alias("n")).collect()}
+    top: dict[int, tuple[int, int]] = {}
+    if heavy:
+        best = reduce(DataFrame.unionAll, heavy).groupBy("ord").agg(F.min(F.struct((-F.col("cnt")).alias("rare"), "v")).alias("t"))
+        top = {r.ord: (r.t.v, -r.t.rare) for r in best.collect()}
+    done, open_ = [], []
+    for r in rows:
+        value, count = top.get(r.ord, (None, 0))
+        # a value that the sketch does not name occurs no more often than this
+        missed = max(sk.unnamed_share(items) * r.n, r.frequent[-1]["count"] if len(r.frequent) >= sk.SHOWN_ITEMS - 1 else 0)
+        if distinct[r.ord] == r.nn:
+            done.append((r.ord, distinct[r.ord], str(int(r.min)), 1))
+        elif count > missed:
+            done.append((r.ord, distinct[r.ord], str(value), count))
+        else:
+            open_.append(r.ord)
+    found = df.sparkSession.createDataFrame(done, "ord int, distinct bigint, mode string, mode_n bigint") if done else None
+    return found, open_
+
+
+def _selected(df: DataFrame, rows: list[Row], names: list[str], k: int) -> list[tuple]:
+    """(ord, q25, q50, q75) of the numeric columns in `rows`, exactly."""
+    spark = df.sparkSession
+    asked = {}  # (ord, quantile) -> the two ranks (from 0) it lies between
+    for r in rows:
+        for q in QUANTILES:
+            pos = q * (r.nn - 1)
+            asked[r.ord, q] = (int(pos), min(int(pos) + (pos > int(pos)), r.nn - 1), pos - int(pos))
+    least = {r.ord: (r.min, r.max) for r in rows}
+    bounds = {(r.ord, q): tuple(r.bounds[2 * j:2 * j + 2]) for r in rows for j, q in enumerate(QUANTILES)}
+    found: dict[tuple[int, float], tuple[float, float]] = {}
+    while len(found) < len(asked):
+        todo = {key: bounds[key] for key in asked if key not in found}
+        value = {i: sk.value_of(df, names[i]).cast("double") for i, _ in todo}
+        counts = df.agg(*[F.sum(test.cast("bigint")).alias(f"{j}_{what}") for j, ((i, _), (a, b)) in enumerate(todo.items())
+                          for what, test in (("below", value[i] < a), ("at_a", value[i] == a), ("at_b", value[i] == b))]).first()
+        spans = {}  # of each column, the values strictly inside any of its bounds
+        for (i, _), (a, b) in todo.items():
+            if a < b:
+                spans[i] = spans.get(i, F.lit(False)) | ((value[i] > a) & (value[i] < b))
+        inside = None
+        if spans:
+            cells = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(i).alias("ord"), value[i].alias("v"))) for i, test in spans.items()]))
+            kept = df.select(F.explode(cells).alias("c")).groupBy("c.ord", "c.v").agg(F.count(F.lit(1)).alias("cnt"))
+            limits = spark.createDataFrame([(i, q, float(a), float(b)) for (i, q), (a, b) in todo.items()], "ord int, q double, a double, b double")
+            inside = handoff(kept.join(F.broadcast(limits), "ord").where("v > a and v < b").select("ord", "q", "v", "cnt"))  # 3 rows per column
+            sums = {(r.ord, r.q): r.n for r in inside.groupBy("ord", "q").agg(F.sum("cnt").alias("n")).collect()}
+        else:
+            sums = {}
+        picks = []
+        for j, ((i, q), (a, b)) in enumerate(todo.items()):
+            below, at_a, at_b = (counts[f"{j}_{w}"] for w in ("below", "at_a", "at_b"))
+            if a == b:
+                at_b = 0
+            lo, hi, _ = asked[i, q]
+            whole = sums.get((i, q), 0)
+            if lo < below or hi >= below + at_a + whole + at_b:
+                bounds[i, q] = least[i]  # missed: all values of the column
+                continue
+            ends = [a if r < below + at_a else b if r >= below + at_a + whole else None for r in (lo, hi)]
+            found[i, q] = tuple(ends)
+            picks += [(i, q, r - below - at_a, e) for e, r in enumerate((lo, hi)) if ends[e] is None]
+        if picks:
+            for i, q, e, v in _ranked(inside, picks):
+                found[i, q] = tuple(v if j == e else x for j, x in enumerate(found[i, q]))
+    out = []
+    for r in rows:
+        pair = [(*found[r.ord, q], asked[r.ord, q][2]) for q in QUANTILES]
+        out.append((r.ord, *[float(b - (b - a) * (1 - t)) if t >= 0.5 else float(a + (b - a) * t) for a, b, t in pair]))
+    return out
+
+
+def _ranked(values: DataFrame, picks: list[tuple]) -> list[tuple]:
+    """The values at given ranks among the counted `values` of each (ord, q):
+    range-partitioned and written with their partition number, an offset per
+    partition, and running counts inside each."""
+    spark = values.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    num = vc.where(F.col("ord").isin(numeric_ords)).select("ord", F.col("value").cast("double").alias("dval"), "cnt")
-    # written, so that both uses below see the same partition numbers
-    ranged = handoff(num.repartitionByRange(parts, "ord", "dval").withColumn("pid", F.spark_partition_id()))
-    totals = ranged.groupBy("pid", "ord").agg(F.sum("cnt").alias("part_cnt"))
-    before = Window.partitionBy("ord").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("pid", "ord", F.coalesce(F.sum("part_cnt").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("pid", "ord").orderBy("dval").rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("local_end", F.sum("cnt").over(inside))
-    # offsets: at most partitions x columns rows
-    placed = local.join(F.broadcast(offsets), ["pid", "ord"]).select(
-        "ord", "dval", (F.col("offset") + F.col("local_end")).alias("cum_end"),
-        (F.col("offset") + F.col("local_end") - F.col("cnt")).alias("cum_start"),
-    )
-    wanted = moments.where(F.col("ord").isin(numeric_ords) & (F.col("nn") > 0)).select(
-        "ord", F.explode(F.array(*[F.lit(q) for q in QUANTILES])).alias("q"), "nn"
-    ).select(
-        "ord", "q", (F.col("q") * (F.col("nn") - 1)).alias("pos"),
-    ).select("ord", "q", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))
-    # wanted: at most 3 rows per column
-    hit = placed.join(F.broadcast(wanted), "ord").where(
-        ((F.col("lo") >= F.col("cum_start")) & (F.col("lo") < F.col("cum_end")))
-        | ((F.col("hi") >= F.col("cum_start")) & (F.col("hi") < F.col("cum_end")))
-    )
-    in_lo = (F.col("lo") >= F.col("cum_start")) & (F.col("lo") < F.col("cum_end"))
-    in_hi = (F.col("hi") >= F.col("cum_start")) & (F.col("hi") < F.col("cum_end"))
-    per_q = hit.groupBy("ord", "q").agg(
-        F.max(F.when(in_lo, F.col("dval"))).alias("a"),
-        F.max(F.when(in_hi, F.col("dval"))).alias("b"),
-        F.first("pos").alias("pos"),
-        F.first("lo").alias("lo"),
-    )
-    value = _lerp(F.col("a"), F.col("b"), F.col("pos") - F.col("lo"))
-    return per_q.groupBy("ord").agg(
-        *[F.max(F.when(F.col("q") == q, value)).alias(f"q{int(q * 100)}") for q in QUANTILES]
-    )
+    ranged = handoff(values.repartitionByRange(parts, "ord", "q", "v").withColumn("pid", F.spark_partition_id()))
+    before = Window.partitionBy("ord", "q").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("pid", "ord", "q").agg(F.sum("cnt").alias("n")).select(
+        "pid", "ord", "q", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("pid", "ord", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("end", F.sum("cnt").over(inside)).join(F.broadcast(offsets), ["pid", "ord", "q"])  # partitions x 3 columns
+    wanted = spark.createDataFrame(picks, "ord int, q double, rank bigint, e int")
+    end = F.col("offset") + F.col("end")
+    hit = placed.join(F.broadcast(wanted), ["ord", "q"]).where((F.col("rank") >= end - F.col("cnt")) & (F.col("rank") < end))
+    return [(r.ord, r.q, r.e, r.v) for r in hit.select("ord", "q", "e", "v").collect()]  # 6 rows per column
+
+
+def _info(df: DataFrame, names: list[str]) -> DataFrame:
+    meta = F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(df.schema[n].dataType.simpleString()).alias("dtype"),
+                 F.lit(isinstance(df.schema[n].dataType, sk.NUMERIC)).alias("numeric"))
+        for i, n in enumerate(names)
+    ])
+    return df.sparkSession.range(1).select(F.explode(meta).alias("x")).select("x.*")
+
+
+def report_of_sketches(sketches: DataFrame, df: DataFrame, target_col: str, by=(), decimals: int | None = None) -> DataFrame:
+    """The report read from the rows of `sketch_columns` (or merged ones) of the
+    columns of `df`, of which only names and types are used."""
+    info = _info(df, [c for c in df.columns if c not in by])
+    out = sk.read_out(sketches).withColumn("t", F.get(sk.frequent(), F.lit(0))).select(
+        "*", F.col("t.item").alias("mode"), F.col("t.count").alias("mode_n"), *[sk.quantile(q).alias(f"q{int(q * 100)}") for q in QUANTILES])
+    return _laid_out(out.join(F.broadcast(info), "ord"), target_col, decimals)  # a row per column
 
 
 def data_quality_report(df: DataFrame, target_col: str = "ln_fspd30_flag", approx: bool = False,
-                        decimals: int | None = None, rsd: float = 0.02, accuracy: int = 10_000) -> DataFrame:
+                        decimals: int | None = None, rsd: float = 0.02, accuracy: int = 790, items: int = sk.ITEMS) -> DataFrame:
     """One row per column of `df` with missing/unique counts, numeric summary,
     mode, quantiles, shape and correlation with `target_col`.
 
     Numeric = integral, fractional, decimal and boolean (as 0/1) columns;
-    others get counts and the mode only. `decimals` rounds the double metrics.
-    Exact: the input and its value counts are handed off as written tables.
-    `approx`: one pass of sketches; `rsd` is the relative standard error of
-    the distinct count, 1 / `accuracy` the rank error of the quantiles.
+    others get counts and the mode only. With `approx` a column in which no value
+    is frequent has no mode. `decimals` rounds the double metrics.
+    `rsd` is the relative standard error of the distinct sketch, 1 / `accuracy`
+    the rank error of the quantile sketch: of the results with `approx`, else
+    only of where the exact passes look. The input is handed off as a written
+    table, read column by column.
     """
-    names = df.columns
-    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)}
-    numeric_ords = [i for i, n in enumerate(names) if n in numeric]
-    meta = F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(df.schema[n].dataType.simpleString()).alias("dtype"),
-                 F.lit(n in numeric).alias("numeric"))
-        for i, n in enumerate(names)
-    ])
-    info = df.sparkSession.range(1).select(F.explode(meta).alias("x")).select("x.*")
+    k, lg = sk.k_for(1 / accuracy), sk.lg_for(rsd)
+    df = handoff(df)
     if approx:
-        out = _moments(df, names, numeric, target_col, (rsd, accuracy)).join(F.broadcast(info), "ord")  # a row per column
-        out = out.select("*", *[F.col("pq")[k].alias(f"q{int(q * 100)}") for k, q in enumerate(QUANTILES)])
-    else:
-        df = handoff(df)
-        moments = handoff(_moments(df, names, numeric, target_col, None))
-        counts = handoff(_value_counts(df, names))
-        summary = counts.join(F.broadcast(info.select("ord", "numeric")), "ord").groupBy("ord").agg(
-            F.count(F.lit(1)).alias("distinct"),
-            F.min_by(F.struct("value", "cnt"), F.struct((-F.col("cnt")).alias("rare"), _value_order(F.col("numeric")).alias("place"))).alias("top"),
-        ).select("ord", "distinct", F.col("top.value").alias("mode"), F.col("top.cnt").alias("mode_n"))
-        out = moments.join(F.broadcast(info), "ord").join(summary, "ord", "left")
-        if numeric_ords:
-            out = out.join(_exact_quantiles(counts, moments, numeric_ords), "ord", "left")
-        else:
-            out = out.select("*", *[F.lit(None).cast("double").alias(f"q{int(q * 100)}") for q in QUANTILES])
+        return report_of_sketches(sk.sketch_columns(df, target_col, k=k, lg=lg, items=items), df, target_col, decimals=decimals)
+    names = df.columns
+    info = _info(df, names)
+    figures = handoff(sk.read_out(sk.sketch_columns(df, target_col, k=k, lg=lg, items=items)))
+    slack = 2 * sk.rank_error(k)
+    ends = [sk.quantile(e) if 0 < e < 1 else F.col("min" if e <= 0 else "max") for q in QUANTILES for e in (q - slack, q + slack)]
+    rows = figures.select("ord", "n", "nn", "min", "max", "distinct", F.array(*ends).alias("bounds"), sk.frequent().alias("frequent"),
+                          F.col("ord").isin([i for i, c in enumerate(names) if isinstance(df.schema[c].dataType, sk.INTEGRAL)
+                                             and not isinstance(df.schema[c].dataType, BooleanType)]).alias("integral")).collect()  # a row per column
+    found, left = _by_bitmap(df, [r for r in rows if _filled(r)], names, info, items) if any(map(_filled, rows)) else (None, [])
+    group = [r.ord for r in rows if not _filled(r)] + left
+    if group:
+        grouped = _grouped(df, group, names, info)
+        found = grouped if found is None else found.unionByName(grouped)
+    numbers = [r for r in rows if r.min is not None]
+    quantiles = df.sparkSession.createDataFrame(_selected(df, numbers, names, k) if numbers else [], "ord int, q25 double, q50 double, q75 double")
+    out = figures.drop("distinct").join(F.broadcast(info), "ord").join(found, "ord", "left").join(F.broadcast(quantiles), "ord", "left")
+    return _laid_out(out, target_col, decimals)
+
 
+def _laid_out(out: DataFrame, target_col: str, decimals: int | None) -> DataFrame:
     n, nn = F.col("n"), F.col("nn")
     missing = n - nn
     std, mean = F.col("std"), F.col("mean")

@@ -23,9 +23,10 @@ from loanlens.operators import quality as ql
 from loanlens.operators import repayments as rp
 from loanlens.operators import targets as tg
 from loanlens.operators import scoring as sc
+from loanlens.operators import sketches as sk
 from loanlens.operators.relational import latest_by
 from loanlens.plans.features import loan_features
-from loanlens.plans.oracle_sql import APP_CUTOFF, AS_OF, FEATURE_TARGET, OBS_MONTHS, REPORT_DECIMALS, REPORT_TARGET, THRESHOLD
+from loanlens.plans.oracle_sql import APP_CUTOFF, AS_OF, FEATURE_TARGET, MERGED_DECIMALS, MERGED_EXACT, OBS_MONTHS, REPORT_DECIMALS, REPORT_TARGET, THRESHOLD
 from loanlens.plans.output import edge
 from loanlens.plans.stages import handoff
 from loanlens.session import checkpoint_dir, fast_planning
@@ -160,14 +161,14 @@ def _report_features(s):
     return ql.data_quality_report(loan_features(s, AS_OF), target_col=FEATURE_TARGET, decimals=REPORT_DECIMALS)
 
 
-def _approx_error(s):
-    """Whether the sketches of the approximate report keep their stated errors,
-    as 0/1 per column: distinct count within 4 standard errors, quartiles within
-    the rank error, the mode among the most frequent values."""
-    frame = handoff(dq.delinquency(s, AS_OF))
-    rsd, accuracy = 0.02, 10_000
+def _errors_within(frame, rough):
+    """Whether an approximate report keeps its stated errors, as 0/1 per column:
+    distinct count within 4 standard errors, quartiles within the rank error,
+    the mode among the most frequent values, or none named where none is
+    frequent. A quantile of n values stands for
+    a whole rank, and p * n is rounded to one: one row more."""
+    rsd, error = 0.02, sk.rank_error()
     cols = ql.report_columns(REPORT_TARGET)
-    rough = handoff(ql.data_quality_report(frame, REPORT_TARGET, approx=True, rsd=rsd, accuracy=accuracy))
     exact = ql.data_quality_report(frame, REPORT_TARGET).select(
         F.col("Column").alias("name"), F.col(cols[4]).alias("n"), F.col(cols[10]).alias("top"))
     numbers = [f.name for f in frame.schema.fields if isinstance(f.dataType, NumericType)]
@@ -175,17 +176,44 @@ def _approx_error(s):
         F.col("Column").alias("name"), F.array(*[F.col(c) for c in cols[13:16]]).alias("q"))
     cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in numbers])
     ranks = frame.select(F.explode(cells).alias("c")).select("c.*").where("v is not null").join(F.broadcast(asked), "name").groupBy("name").agg(
-        *[F.avg((F.col("v") < F.col("q")[k]).cast("double")).alias(f"lo{k}") for k in range(3)],
-        *[F.avg((F.col("v") <= F.col("q")[k]).cast("double")).alias(f"hi{k}") for k in range(3)])
+        F.count("*").alias("all"),
+        *[F.sum((F.col("v") < F.col("q")[k]).cast("bigint")).alias(f"lo{k}") for k in range(3)],
+        *[F.sum((F.col("v") <= F.col("q")[k]).cast("bigint")).alias(f"hi{k}") for k in range(3)])
     within = F.lit(True)
     for k, p in enumerate(ql.QUANTILES):
-        within = within & (F.col(f"lo{k}") <= p + 1 / accuracy) & (F.col(f"hi{k}") >= p - 1 / accuracy)
+        off = F.col("all") * error + 1
+        within = within & (F.col(f"lo{k}") <= F.col("all") * p + off) & (F.col(f"hi{k}") >= F.col("all") * p - off)
     joined = rough.join(exact, F.col("Column") == F.col("name")).drop("name").join(ranks, F.col("Column") == F.col("name"), "left")
     return joined.select(
         F.col("Column"), F.col("Missing Values"),
         (F.abs(F.col(cols[4]) - F.col("n")) <= F.greatest(4 * rsd * F.col("n"), F.lit(1))).cast("int").alias("distinct_within"),
         F.coalesce(within, F.lit(True)).cast("int").alias("quartiles_within"),
-        (F.abs(F.col(cols[10]) - F.col("top")) <= 1.0).cast("int").alias("mode_within"))
+        F.coalesce(F.abs(F.col(cols[10]) - F.col("top")) <= 1.0, F.col("top") <= 100 * sk.unnamed_share()).cast("int").alias("mode_within"))
+
+
+def _approx_error(s):
+    frame = handoff(dq.delinquency(s, AS_OF))
+    return _errors_within(frame, handoff(ql.data_quality_report(frame, REPORT_TARGET, approx=True)))
+
+
+def _merged(s) -> tuple[DataFrame, DataFrame]:
+    """The delinquency table and its sketches per due month, written, then merged."""
+    frame = handoff(dq.delinquency(s, AS_OF))
+    monthly = frame.withColumn("_month", F.date_trunc("month", "due_date"))
+    return frame, handoff(sk.merge_sketches(handoff(sk.sketch_columns(monthly, REPORT_TARGET, by=["_month"]))))
+
+
+def _merged_error(s):
+    frame, merged = _merged(s)
+    return _errors_within(frame, handoff(ql.report_of_sketches(merged, frame, REPORT_TARGET)))
+
+
+def _merged_moments(s):
+    """The figures of the merged report that are exact: counts, extremes, moments, correlation."""
+    frame, merged = _merged(s)
+    report = ql.report_of_sketches(merged, frame, REPORT_TARGET, decimals=MERGED_DECIMALS)
+    cols = ql.report_columns(REPORT_TARGET)
+    return report.select(*[F.col(f"`{cols[i]}`") for i in MERGED_EXACT])
 
 
 QUERIES: dict[str, Query] = {
@@ -234,6 +262,8 @@ QUERIES: dict[str, Query] = {
         dq.delinquency(s, AS_OF), target_col=REPORT_TARGET, decimals=REPORT_DECIMALS)),
     "data_quality_report_features": _raw(_report_features),
     "approx_report_error": _raw(_approx_error),
+    "merged_report_error": _raw(_merged_error),
+    "merged_report_moments": _raw(_merged_moments),
     "write_read_roundtrip": _roundtrip,
     "csv_roundtrip": _csv_roundtrip,
     "csv_text_roundtrip": _csv_text_roundtrip,

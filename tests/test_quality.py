@@ -61,3 +61,83 @@ def test_nulls_are_no_mode(spark):
     for approx in (False, True):
         r = data_quality_report(df, target_col="t", approx=approx).first()
         assert (r["Mode"], r["Missing Values"]) == ("4", 3)
+
+
+def _brute(values):
+    """Distinct count, mode and quartiles of one column."""
+    import numpy as np
+    from collections import Counter
+
+    seen = [v for v in values if v is not None]
+    counts = Counter(seen)
+    mode = min((v for v in counts if counts[v] == max(counts.values())), default=None)
+    return len(counts), mode, counts[mode] if seen else 0, [float(np.quantile(np.array(seen, dtype=float), q)) for q in (0.25, 0.5, 0.75)]
+
+
+def test_exact_report_by_bitmaps_and_selection(spark):
+    """Columns of every kind: filled and sparse integers, a heavy hitter, ties,
+    few values, fractions; small sketches, so that bounds miss and values are cut."""
+    import random
+
+    from loanlens.operators import quality as ql
+
+    rng = random.Random(7)
+    n = 30_000
+    data = {
+        "ids": list(range(5, n + 5)), "filled": [rng.randrange(-20_000, 20_000) for _ in range(n)],
+        "heavy": [77 if rng.random() < 0.3 else rng.randrange(40_000) for _ in range(n)], "sparse": [rng.randrange(10**12) for _ in range(n)],
+        "few": [rng.choice([1, 2, 2, 3]) for _ in range(n)], "frac": [rng.gauss(0, 1) for _ in range(n)],
+        "gaps": [None if rng.random() < 0.4 else rng.randrange(3 * n) for _ in range(n)], "none": [None] * n,
+    }
+    kinds = ", ".join(f"{c} {'double' if c == 'frac' else 'bigint'}" for c in data)
+    df = spark.createDataFrame(list(zip(*data.values())), kinds).repartition(4)
+    for accuracy, items in ((20, 2000),):
+        got = {r["Column"]: r for r in data_quality_report(df, target_col="few", accuracy=accuracy, items=items).collect()}
+        for name, values in data.items():
+            distinct, mode, count, quartiles = _brute(values) if name != "none" else (0, None, 0, [None] * 3)
+            r = got[name]
+            assert (r["Unique Values"], r["Mode"]) == (distinct, None if mode is None else str(mode)), name
+            assert [r["25% Quantile"], r["Median"], r["75% Quantile"]] == quartiles or \
+                all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip([r["25% Quantile"], r["Median"], r["75% Quantile"]], quartiles)), name
+            if count:
+                assert math.isclose(r["Mode Percentage"], 100 * count / n)
+
+
+def test_merged_sketches_equal_one_pass(spark):
+    """Sketches per group, written and merged, against one over all rows."""
+    import random
+
+    import pytest
+    from loanlens.operators import quality as ql
+    from loanlens.operators import sketches as sk
+    from loanlens.plans.stages import handoff
+
+    rng = random.Random(3)
+    rows = [(d, rng.gauss(1000 + d, 3), rng.choice(["a", "a", "b", None]), rng.random() < 0.3 if d else None) for d in range(12) for _ in range(500)]
+    df = spark.createDataFrame(rows, "day int, x double, s string, t boolean")
+    parts = handoff(sk.sketch_columns(df, "t", by=["day"]))
+    assert parts.count() == 36
+    merged = {r["Column"]: r for r in ql.report_of_sketches(sk.merge_sketches(parts), df, "t", by=["day"]).collect()}
+    whole = {r["Column"]: r for r in data_quality_report(df.drop("day"), target_col="t").collect()}
+    for name in ("x", "s", "t"):
+        for c in ("Missing Values", "Min", "Max", "Mean", "Std Dev", "Skewness", "Kurtosis", "Correlation with t", "Mode"):
+            a, b = merged[name][c], whole[name][c]
+            assert a == b or a == pytest.approx(b, rel=1e-7, abs=1e-9), (name, c)
+    xs = sorted(r[1] for r in rows)
+    for q in (25, 50, 75):
+        rank = sum(v <= merged["x"][f"{q}% Quantile"] for v in xs)
+        assert abs(rank - q / 100 * len(xs)) <= sk.rank_error() * len(xs) + 1
+    assert abs(merged["x"]["Unique Values"] - whole["x"]["Unique Values"]) <= 0.08 * whole["x"]["Unique Values"]
+    weeks = sk.merge_sketches(parts.withColumn("week", (parts.day / 7).cast("int")), by=["week"])
+    assert weeks.count() == 6
+
+
+def test_no_row_per_cell(spark):
+    """The exact report makes far fewer rows than cells beyond its scans."""
+    from loanlens.operators import quality as ql
+
+    df = spark.range(20_000).selectExpr("id", "id % 3 as a", "id % 7 as b", "cast(id % 5 as double) as c")
+    counted = ql._counted(df, [1, 2], df.columns)
+    text = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text and "Expand" not in text
+    assert counted.count() == 10
