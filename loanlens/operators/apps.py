@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.exprs import clean_reference, strip_device_prefix, to_manila
-from loanlens.operators.relational import latest_by, unnest
+from loanlens.operators.relational import asof_tagged, heavy_join, latest_by, unnest
+from loanlens.plans.stages import handoff
 from loanlens.sources.catalog import Sources, lit_date, require
 
 REFERENCE_COLUMNS = ["ee_customer_id", "id", "user_id", "reference_number", "cleaned_rn", "deleted_at", "created_at",
@@ -30,21 +31,28 @@ def cleaned_references(src: Sources, mode: str = "strict") -> DataFrame:
                        clean_reference("reference_number", mode).alias("cleaned_rn"))
 
 
-def user_reference(src: Sources, customers: DataFrame, cutoff, mode: str = "strict") -> DataFrame:
+def user_reference(src: Sources, customers: DataFrame, cutoff, mode: str = "strict", spread: bool = False) -> DataFrame:
     """Per user: the latest reference created on or before the onboarding day
     (by day; ties by time then id), kept only if created on or before
     `cutoff` (a user whose latest is later is dropped, not rolled back).
 
     `customers` needs ee_customer_id and ee_onboarding_date (the feature
-    table, or any frame with one onboarding value per customer).
+    table, or any frame with one onboarding value per customer). `spread`
+    chooses by a tagged union of both sides in one sorted run instead of joining
+    all references of a user with its onboarding row.
     """
     refs = src.table("credo_lab_reference_numbers", "id", "user_id", "reference_number", "deleted_at",
                      "created_at", "updated_at")
     require(customers, ["ee_customer_id", "ee_onboarding_date"], "customers")
     onboard = customers.select("ee_customer_id", "ee_onboarding_date").distinct()
-    joined = refs.join(onboard, refs["user_id"] == onboard["ee_customer_id"]).where(
-        F.col("created_at").cast("date") <= F.col("ee_onboarding_date").cast("date")
-    ).select(
+    if spread:
+        asks = onboard.select(F.col("ee_customer_id").alias("_user"), F.col("ee_onboarding_date").cast("date").alias("_asked"), "ee_customer_id")
+        days = refs.withColumns({"_user": F.col("user_id"), "_day": F.col("created_at").cast("date")})
+        near = asof_tagged(asks, days, "_user", "_asked", "_day", ["created_at", "id"])
+    else:
+        near = refs.join(onboard, refs["user_id"] == onboard["ee_customer_id"]).where(
+            F.col("created_at").cast("date") <= F.col("ee_onboarding_date").cast("date"))
+    joined = near.select(
         "ee_customer_id", "id", "user_id", "reference_number",
         clean_reference("reference_number", mode).alias("cleaned_rn"),
         "deleted_at", "created_at", "updated_at",
@@ -65,13 +73,20 @@ def device_apps(src: Sources) -> DataFrame:
     return unnest(apps, "Application")
 
 
-def user_app_packages(src: Sources, customers: DataFrame, cutoff, mode: str = "strict") -> DataFrame:
-    """Apps of each user's device, matched on the cleaned reference number."""
-    rn = user_reference(src, customers, cutoff, mode).where(F.col("cleaned_rn").isNotNull())
+def user_app_packages(src: Sources, customers: DataFrame, cutoff, mode: str = "strict", spread: bool = False) -> DataFrame:
+    """Apps of each user's device, matched on the cleaned reference number.
+
+    Lenient cleaning maps many references and devices to one text (the empty
+    one); `spread` counts keys on both sides and deals the matches of the heavy
+    ones over many tasks."""
+    rn = user_reference(src, customers, cutoff, mode, spread).where(F.col("cleaned_rn").isNotNull())
     apps = _apps_table(src).select(
         strip_device_prefix("deviceId").alias("device_key"), "run_date", "Application"
     )
-    joined = rn.join(apps, rn["cleaned_rn"] == apps["device_key"])
+    if spread:
+        joined = heavy_join(handoff(rn), apps, "cleaned_rn", "device_key")
+    else:
+        joined = rn.join(apps, rn["cleaned_rn"] == apps["device_key"])
     flat = unnest(joined, "Application")
     return flat.select(
         "ee_customer_id", "id", "user_id", F.col("cleaned_rn").alias("reference_number"), "deleted_at",

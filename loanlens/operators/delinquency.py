@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from loanlens.functions import constants as K
 from loanlens.functions.exprs import days_between, flag, max_if, min_if, month_label
+from loanlens.operators.ordering import ranked_in
 from loanlens.operators.relational import join_as_string
+from loanlens.plans.stages import handoff
 from loanlens.sources.catalog import Sources, lit_date
 
 
@@ -44,7 +46,7 @@ def dpd(annuity, paid_amount, repaid_date, due_date, as_of_col):
     )
 
 
-def _delinquency_frame(src: Sources, as_of) -> DataFrame:
+def _delinquency_frame(src: Sources, as_of, spread: bool = False) -> DataFrame:
     as_of_col = lit_date(as_of)
     loans = src.table(
         "payment_responses", "id", K.LOAN_USER_ID, "principal", "fee", "bir",
@@ -79,10 +81,14 @@ def _delinquency_frame(src: Sources, as_of) -> DataFrame:
         F.col("created_at").cast("date").alias("loan_created_date"),
     )
     d = sched_paid.join(loan_users, "loan_id")
-    w = Window.partitionBy("loan_id").orderBy("due_date")
+    if spread:
+        d = ranked_in(handoff(d), ["loan_id"], ["due_date"], "installment_number", None)
+    else:
+        w = Window.partitionBy("loan_id").orderBy("due_date")
+        d = d.withColumn("installment_number", F.rank().over(w))
     return d.select(
         "user_id", "product_type", "loan_id", "principal", "fee", "bir", "term", "mth", "due_date",
-        F.rank().over(w).alias("installment_number"),
+        "installment_number",
         "annuity", "pp_amount", "repaid_date", "outstanding_balance",
         flag(F.col("annuity") - F.col("pp_amount") > 0).alias("flag_part_payment"),
         dpd(F.col("annuity"), F.col("pp_amount"), F.col("repaid_date"), F.col("due_date"), as_of_col).alias("dpd"),
@@ -97,10 +103,14 @@ DELINQUENCY_COLUMNS = [
 ]
 
 
-def delinquency(src: Sources, as_of) -> DataFrame:
+def delinquency(src: Sources, as_of, spread: bool = False) -> DataFrame:
     """One row per schedule of every successful disbursed loan, with RANK
-    installment number, part-payment flag and DPD at `as_of`."""
-    return _delinquency_frame(src, as_of).select(*DELINQUENCY_COLUMNS)
+    installment number, part-payment flag and DPD at `as_of`.
+
+    The rank is a window over a loan's schedules, which its tenor bounds; where
+    nothing bounds them (one loan id with a large share of all rows), `spread`
+    ranks by range partitions and offsets instead."""
+    return _delinquency_frame(src, as_of, spread).select(*DELINQUENCY_COLUMNS)
 
 
 def _level_name(level: int) -> str:

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, TimestampType
 
 from loanlens.functions.exprs import as_ntz, parse_date
+from loanlens.plans.stages import handoff
 from loanlens.sources.catalog import UTC_WALL
 
 ColumnOrName = Column | str
@@ -122,3 +123,88 @@ def slice_window(df: DataFrame, windows: DataFrame, key: str, t: str, lo: str, h
     included); `windows` has one row per key."""
     joined = df.join(windows, on=key, how="inner")
     return joined.where((F.col(t) >= F.col(lo)) & (F.col(t) <= F.col(hi)))
+
+
+def asof_tagged(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    left_time: str,
+    right_time: str,
+    tiebreak: Sequence[str] = (),
+    parts: int | None = None,
+) -> DataFrame:
+    """Per row of `left`, the right row of its `key` with the latest
+    `right_time <= left_time` (ties: the greatest `tiebreak`); rows without one
+    are left out. `left` may have any number of rows per key.
+
+    Both sides go into one run, sorted by (key, time) and range-partitioned, so a
+    key with any share of the rows lies in many partitions and is never joined
+    row by row. Inside a partition a window carries the last right row forward;
+    across partition borders a table of one row per partition carries it, for the
+    key that goes on there. Null keys and times match nothing.
+    """
+    parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ties = [F.col(c) for c in tiebreak]
+    payload = F.struct(*[F.col(c) for c in right.columns if c != key])
+    rows = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*ties, F.lit(0)).alias("_tie"),
+                        payload.alias("_right"))
+    asks = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
+                       F.struct(*[c for c in left.columns if c != key]).alias("_left"))
+    run = rows.unionByName(asks, allowMissingColumns=True).where(F.col("_k").isNotNull() & F.col("_t").isNotNull())
+    order = ["_k", "_t", "_side", F.col("_tie").asc_nulls_last(), "_salt"]
+    run = run.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))  # spreads rows that are equal in all this
+    run = handoff(run.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn(
+        "_part", F.shiftright("_at", 33))
+    inside = Window.partitionBy("_part", "_k").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = run.withColumn("_near", F.last("_right", ignorenulls=True).over(inside))
+    # the last right row of each partition, of the key it ends with, and what arrives at each border
+    edge = run.groupBy("_part").agg(
+        F.max_by("_k", "_at").alias("_end"),
+        F.max_by(F.when(F.col("_side") == 0, F.struct("_k", "_right")), F.when(F.col("_side") == 0, F.col("_at"))).alias("_last"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    border = edge.select("_part", F.last("_last", ignorenulls=True).over(before).alias("_arrives"))
+    found = carried.where("_side = 1").join(F.broadcast(border), "_part")  # at most `parts` rows
+    match = F.coalesce("_near", F.when(F.col("_arrives._k") == F.col("_k"), F.col("_arrives._right")))
+    taken = [c for c in right.columns if c != key]
+    out = found.withColumn("_hit", match).where(F.col("_hit").isNotNull()).select(F.col("_k").alias(key), "_left.*", *[
+        F.col(f"_hit.`{c}`").alias(c) for c in taken])
+    return out
+
+
+def slice_buckets(df: DataFrame, windows: DataFrame, key: str, t: str, lo: str, hi: str, days: int = 31) -> DataFrame:
+    """As `slice_window`, for keys with any share of the rows: windows are cut
+    into time buckets of `days`, and rows meet them on (key, bucket), so a hot
+    key's rows are dealt by their time; the exact bounds are checked after. A
+    window reaches as many join rows as it has buckets."""
+    def bucket(c: str) -> Column:
+        return F.floor(F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) / days)
+
+    cut = windows.where(F.col(lo) <= F.col(hi)).withColumn("_bucket", F.explode(F.sequence(bucket(lo), bucket(hi))))
+    joined = df.withColumn("_bucket", bucket(t)).join(cut, on=[key, "_bucket"], how="inner")
+    return joined.where((F.col(t) >= F.col(lo)) & (F.col(t) <= F.col(hi))).drop("_bucket")
+
+
+def heavy_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, heavy: int = 100_000, salts: int = 32) -> DataFrame:
+    """Inner equi-join in which a key may hold any share of both sides.
+
+    Keys are counted on both sides, combined map-side. Those with more than
+    `heavy` matches (left count x right count) are joined apart: their left rows
+    get a random salt, their right rows one copy per salt, so each key's matches
+    are dealt over `salts` tasks; how many salts a key needs follows from its
+    counts, up to all of them. The rest is one plain join on the key. Null keys
+    match nothing.
+    """
+    a = left.groupBy(F.col(left_key).alias("_key")).agg(F.count(F.lit(1)).alias("_a"))
+    b = right.groupBy(F.col(right_key).alias("_key")).agg(F.count(F.lit(1)).alias("_b"))
+    # one row per heavy key; written, so that both sides see the same keys
+    keys = handoff(a.join(b, "_key").where(F.col("_a") * F.col("_b") > heavy).select(
+        "_key", F.least(F.ceil(F.col("_a") * F.col("_b") / heavy), F.lit(salts)).cast("int").alias("_salts")))
+    hot_left = left.join(keys, left[left_key] == keys["_key"]).drop("_key").withColumn(
+        "_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_salts")).cast("int")).drop("_salts")
+    hot_right = right.join(keys, right[right_key] == keys["_key"]).drop("_key").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    apart = hot_left.join(hot_right, (hot_left[left_key] == hot_right[right_key]) & (hot_left["_salt"] == hot_right["_copy"])).drop("_salt", "_copy")
+    light_left = left.join(keys, left[left_key] == keys["_key"], "left_anti")
+    light_right = right.join(keys, right[right_key] == keys["_key"], "left_anti")
+    return light_left.join(light_right, light_left[left_key] == light_right[right_key]).unionByName(apart)

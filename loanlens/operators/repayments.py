@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loanlens.functions import constants as K
 from loanlens.operators.delinquency import dpd, paid_payments
+from loanlens.operators.ordering import position_in
 from loanlens.operators.relational import same_id
 from loanlens.plans.stages import handoff
 from loanlens.sources.catalog import Sources, active, lit_date, require
@@ -31,7 +32,7 @@ FACT_COLUMNS = [
 PAYMENT_TIEBREAK = ["outstanding_balance", "paid_amount", "paid_principal", "paid_interest", "vendor_id", "subfamily"]
 
 
-def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None = None) -> DataFrame:
+def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None = None, spread: bool = False) -> DataFrame:
     """One row per live payment (paid before `as_of`) of employer users, with
     DENSE_RANK installment number, due and paid splits, vendor and DPD.
 
@@ -39,7 +40,8 @@ def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None
     adds the source's final sort (user, loan, installment, repaid date); a
     written table does not keep row order, so it is off by default. The joined
     payments feed the ranks and the rows; with `stage` they are written to that
-    folder once and both read it.
+    folder once and both read it. `spread` ranks the due dates of a loan by range
+    partitions and offsets, for loans whose due dates nothing bounds.
     """
     as_of_col = lit_date(as_of)
     users = active(src.table("users", "id", "product_type", "is_delete")).where(
@@ -90,8 +92,12 @@ def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None
     # row per (loan, due date), so the window holds a loan's schedules, not its
     # payments (bounded by its tenor, an input contract); the payments only pass
     # through a join, which AQE can split when a loan is hot
-    w = Window.partitionBy("loan_id").orderBy("due_date")
-    ranks = rows.select("loan_id", "due_date").distinct().select("*", F.row_number().over(w).alias("installment_number"))
+    dates = rows.select("loan_id", "due_date").distinct()
+    if spread:
+        ranks = position_in(dates, ["loan_id"], ["due_date"], "_at").select("loan_id", "due_date", (F.col("_at") + 1).cast("int").alias("installment_number"))
+    else:
+        w = Window.partitionBy("loan_id").orderBy("due_date")
+        ranks = dates.select("*", F.row_number().over(w).alias("installment_number"))
     ranks = ranks.select(F.col("loan_id").alias("_loan"), F.col("due_date").alias("_due"), "installment_number")
     fact = rows.join(ranks, (rows["loan_id"] == ranks["_loan"]) & rows["due_date"].eqNullSafe(ranks["_due"])).select(*FACT_COLUMNS)
     if ordered:

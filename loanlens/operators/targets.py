@@ -21,7 +21,7 @@ from loanlens.functions import constants as K
 from pyspark.sql.types import DoubleType, FloatType, StringType
 
 from loanlens.functions.exprs import add_months, flag, is_other_vendor, month_floor_prev, nan_to_null, parse_number
-from loanlens.operators.relational import in_keys, not_in_keys, same_id, slice_window, typed_time
+from loanlens.operators.relational import in_keys, not_in_keys, same_id, slice_buckets, slice_window, typed_time
 from loanlens.plans.stages import handoff
 from loanlens.sources.catalog import require
 
@@ -104,10 +104,11 @@ def _label(rows: DataFrame, current_date) -> DataFrame:
 
 
 def tpfp_labels(base: DataFrame, balance_threshold: float, current_date,
-                perf_months: int = K.DEFAULT_PERF_WINDOW_MONTHS) -> DataFrame:
+                perf_months: int = K.DEFAULT_PERF_WINDOW_MONTHS, spread: bool = False) -> DataFrame:
     """Users with TPFP in observation and a non-repaid TPFP loan (min balance >
     threshold). Window: least(min repaid, max due) .. greatest(...) + 2 months
-    over the TPFP rows of those loans; target = any other vendor inside."""
+    over the TPFP rows of those loans; target = any other vendor inside.
+    `spread` deals a user's payments by time bucket to meet its window."""
     tp = base.where(F.col("vendor_id") == K.VENDOR_AFTER_LEAVE)
     per_loan = tp.groupBy("user_id", "loan_id").agg(
         F.min("osbal_after").alias("min_osbal"),
@@ -127,7 +128,8 @@ def tpfp_labels(base: DataFrame, balance_threshold: float, current_date,
         F.least("r", "d").alias("perf_start_date"),
         add_months(F.greatest("r", "d"), perf_months).alias("perf_end_date"),
     )
-    span = slice_window(base, perf, "user_id", "repaid_date", "perf_start_date", "perf_end_date")
+    cut = slice_buckets if spread else slice_window
+    span = cut(base, perf, "user_id", "repaid_date", "perf_start_date", "perf_end_date")
     rows = span.select("user_id", "last_tpsd_date", "perf_start_date", "perf_end_date",
                        flag(is_other_vendor("vendor_id")).alias("row_target"))
     return _label(rows, current_date)

@@ -103,6 +103,14 @@ def _as_text(df, *typed):
     return df.select(*[F.col(c) if c in typed else F.coalesce(F.col(c).cast("string"), F.lit("<NA>")).alias(c) for c in df.columns])
 
 
+def _positions(df, order):
+    """`df` written in its source's final order with positions, and read back;
+    the remaining columns break ties."""
+    path = f"{checkpoint_dir(df.sparkSession)}/ordered/{uuid.uuid4().hex}"
+    named = {c for c in order if isinstance(c, str)}
+    return df.sparkSession.read.parquet(lio.write_ordered(df, [*order, *[c for c in df.columns if c not in named]], path))
+
+
 def _text_inputs(s):
     """Employee frame of a feature table read as text (null tokens, lenient dates, numbers)."""
     features = loan_features(s, AS_OF).select(*pr.FEATURE_INPUT_COLUMNS)
@@ -275,6 +283,14 @@ QUERIES: dict[str, Query] = {
     "employee_frame_from_text": _q(_text_inputs),
     "employment_date_corrected": _q(lambda s: pr.employee_frame(loan_features(s, AS_OF), with_employment_correct=True).select(
         "ee_customer_id", "ln_loan_id", "ee_employment_date_correct")),
+    "delinquency_spread": _q(lambda s: dq.delinquency(s, AS_OF, spread=True)),
+    "repayment_fact_spread": _q(lambda s: _fact(s, spread=True)),
+    "user_reference_spread": _q(lambda s: ap.user_reference(s, ap.customer_onboarding(s), APP_CUTOFF, spread=True)),
+    "user_app_packages_lenient_spread": _q(
+        lambda s: ap.user_app_packages(s, ap.customer_onboarding(s), APP_CUTOFF, "lenient", spread=True)),
+    "tpfp_labels_spread": _q(lambda s: tg.tpfp_labels(tg.target_base(*_anchor(s)), THRESHOLD, AS_OF, spread=True)),
+    "repayment_fact_positions": _q(lambda s: _positions(_fact(s), ["user_id", "loan_id", "installment_number", "repaid_date"])),
+    "user_targets_positions": _q(lambda s: _positions(_targets(s), [F.col("user_id").cast("string"), "target_type", "target"])),
     "user_app_packages_of_features": _q(lambda s: ap.user_app_packages(
         s, handoff(loan_features(s, AS_OF).select("ee_customer_id", "ee_onboarding_date")), APP_CUTOFF)),
     "data_quality_report_approx": _raw(lambda s: ql.data_quality_report(

@@ -8,10 +8,12 @@ file-system connectors do the transfer, in parallel, from the executors.
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanlens.operators.ordering import with_position
 from loanlens.sources.csv_records import WRITE_OPTIONS, read_csv
 
 FORMATS = ("csv", "parquet")
@@ -85,8 +87,50 @@ def table_name(schema: str, base: str, run_date: _dt.date | str | None = None) -
     return f"{schema}.{base}_{run_date.strftime('%Y%m%d')}"
 
 
-def replace_table(df: DataFrame, schema: str, base: str, run_date=None) -> str:
-    """Create or replace the date-suffixed table from `df`; returns its name."""
-    name = table_name(schema, base, run_date)
-    df.write.mode("overwrite").saveAsTable(name)
+def replace_table(df: DataFrame, schema: str, base: str, run_date=None, keep: int = 2) -> str:
+    """Create or replace the date-suffixed table from `df`; returns its name.
+
+    The rows are written as a new version, `<name>__v<number>`, which nobody
+    reads yet; then the view `<name>` is pointed at it, one change of the catalog.
+    So a write that fails leaves the old rows in place, readers never find the
+    table absent or half written, and queries that began on an old version go on
+    reading it. Of the versions, the newest `keep` stay.
+    """
+    if keep < 1:
+        raise ValueError("at least the version just written must be kept")
+    spark, name = df.sparkSession, table_name(schema, base, run_date)
+    old = versions(spark, name)
+    number = old[-1] + 1 if old else 1
+    version = f"{name}__v{number:06d}"
+    spark.sql(f"DROP TABLE IF EXISTS {version}")
+    try:
+        df.write.saveAsTable(version)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {version}")
+        raise
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        # written by an earlier release as a plain table: it becomes a version of its own, once
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}__v000000")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    for gone in versions(spark, name)[:-keep]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}__v{gone:06d}")
     return name
+
+
+def versions(spark: SparkSession, name: str) -> list[int]:
+    """Numbers of the versions that are kept of a table, oldest first."""
+    schema, _, base = name.rpartition(".")
+    found = spark.sql(f"SHOW TABLES IN {schema} LIKE '{base}__v*'").collect()
+    numbers = [r.tableName.rpartition("__v")[2] for r in found if r.tableName.lower().startswith(f"{base.lower()}__v")]
+    return sorted(int(n) for n in numbers if n.isdigit())
+
+
+def write_ordered(df: DataFrame, order: Sequence[Column | str], path: str, name: str = "position", parts: int | None = None) -> str:
+    """Write `df` as parquet in the total order `order`, every row with its
+    0-based place `name`; returns the path. The files are ranges of the order,
+    sorted inside, and the place says it whatever reads them: a reader that needs
+    rows n..m filters on it and skips the other files by their statistics."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = with_position(df, order, name, parts)
+    placed.repartitionByRange(parts, name).sortWithinPartitions(name).write.mode("overwrite").parquet(path)
+    return path

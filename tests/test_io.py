@@ -42,6 +42,46 @@ def test_replace_table(spark):
     assert spark.table(name).count() == 5
 
 
+def test_replace_is_atomic(spark):
+    """A failing write leaves the old rows; a reader of the old version goes on
+    reading it; the table is never absent; old versions go."""
+    from pyspark.sql import functions as F
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS loanlens_test")
+    name = lio.replace_table(spark.range(3), "loanlens_test", "atomic", "2025-09-15")
+    reader = spark.table(name)
+    broken = spark.range(4).select(F.when(F.col("id") == 2, F.raise_error(F.lit("bad row")).cast("bigint")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="bad row"):
+        lio.replace_table(broken, "loanlens_test", "atomic", "2025-09-15")
+    assert spark.table(name).count() == 3 and lio.versions(spark, name) == [1]
+    lio.replace_table(spark.range(5).withColumn("extra", F.lit("x")), "loanlens_test", "atomic", "2025-09-15")
+    assert spark.table(name).columns == ["id", "extra"] and spark.table(name).count() == 5
+    assert reader.count() == 3  # planned before the swap
+    lio.replace_table(spark.table(name).limit(2), "loanlens_test", "atomic", "2025-09-15")  # from itself
+    assert spark.table(name).count() == 2 and lio.versions(spark, name) == [2, 3]
+
+
+def test_replace_takes_over_a_plain_table(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS loanlens_test")
+    spark.range(7).write.mode("overwrite").saveAsTable("loanlens_test.plain_20250915")
+    name = lio.replace_table(spark.range(2), "loanlens_test", "plain", "2025-09-15")
+    assert spark.table(name).count() == 2 and lio.versions(spark, name) == [0, 1]
+
+
+def test_written_order_is_kept(spark):
+    from pyspark.sql import functions as F
+
+    root = tempfile.mkdtemp(prefix="loanlens-io-")
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("a"), (F.col("id") % 3).alias("b")).repartition(5)
+    path = lio.write_ordered(df, [F.col("b").desc(), "a"], f"{root}/ordered", parts=6)
+    back = spark.read.parquet(path)
+    rows = sorted(back.collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(1000))
+    assert [(-r.b, r.a) for r in rows] == sorted((-r.b, r.a) for r in rows)
+    assert back.withColumn("f", F.input_file_name()).groupBy("f").agg(F.min("position").alias("lo"), F.max("position").alias("hi"), F.count("*").alias("n")).where(
+        "hi - lo + 1 <> n").count() == 0  # each file is one range
+
+
 def test_missing_columns_are_named(spark):
     from loanlens.operators import targets as tg
     from loanlens.sources import MissingColumns, Sources
