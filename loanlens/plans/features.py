@@ -70,6 +70,111 @@ def feature_columns(region: str = "v2") -> list[str]:
     return users + EMPLOYER_COLUMNS + CREDIT_COLUMNS + LOAN_COLUMNS
 
 
+# column -> Spark type of the feature table, before the output edge
+FEATURE_TYPES = {
+    "ee_customer_id": "bigint",
+    "ee_email": "string",
+    "ee_phone_number": "string",
+    "ee_firstname": "string",
+    "ee_middlename": "string",
+    "ee_lastname": "string",
+    "ee_birthdate": "date",
+    "ee_gender": "string",
+    "ee_email_verified_flag": "int",
+    "ee_telephone_verified_flag": "int",
+    "ee_id_verified_flag": "int",
+    "ee_income_verified_flag": "int",
+    "ee_morning_time_contact_time": "string",
+    "ee_afternoon_time_contact_time": "string",
+    "ee_account_activated_flag": "int",
+    "ee_region_name": "string",
+    "ee_city_name": "string",
+    "ee_barangay": "string",
+    "ee_address_line_1": "string",
+    "ee_address_line_2": "string",
+    "ee_postal_code": "string",
+    "ee_landmark": "string",
+    "ee_residing_date": "date",
+    "ee_employment_status": "string",
+    "ee_civil_status": "string",
+    "ee_kyc_doc_name": "string",
+    "ee_is_citizen_flag": "int",
+    "ee_onboarding_date": "timestamp_ntz",
+    "ee_employment_date": "date",
+    "ee_fraud_status": "string",
+    "ee_job_type": "string",
+    "ee_comment": "string",
+    "ee_department": "string",
+    "ee_recommended_ir": "string",
+    "ee_job_title": "string",
+    "ee_employment_type": "string",
+    "ee_nature_of_work": "string",
+    "ee_permanent_freeze_date": "timestamp_ntz",
+    "ee_resignation_date": "date",
+    "ee_product_type": "string",
+    "ee_frozen_status": "string",
+    "cust_risk_employer_time_score_v1": "int",
+    "cust_risk_gender_score_v1": "int",
+    "cust_risk_declared_income_score_v1": "int",
+    "cust_risk_civil_status_score_v1": "int",
+    "cust_risk_combined_score_v1": "int",
+    "cust_risk_cat_v1": "string",
+    "er_employer_id": "bigint",
+    "er_employer_group_id": "bigint",
+    "er_employer_name": "string",
+    "er_email_domain": "string",
+    "er_repayment_days_month": "string",
+    "er_custom_email": "string",
+    "er_payment_reminders": "string",
+    "er_address": "string",
+    "er_postal_code_id": "bigint",
+    "er_max_base_interest_rate": "decimal(18,2)",
+    "er_employer_industry": "string",
+    "er_employer_status": "string",
+    "er_activated_at": "timestamp_ntz",
+    "er_deleted_at": "timestamp_ntz",
+    "er_created_at": "timestamp_ntz",
+    "er_updated_at": "timestamp_ntz",
+    "cl_monthly_utility_bills_amount": "decimal(18,2)",
+    "cl_monthly_income_gross": "decimal(18,2)",
+    "cl_monthly_income_net": "decimal(18,2)",
+    "cl_multiple_purchases_enabled_flag": "int",
+    "cl_max_credit_limit_multiplier": "decimal(18,2)",
+    "cl_max_debt_income_ratio": "string",
+    "cl_matured_fpd30_flag": "int",
+    "cl_matured_fspd30_flag": "int",
+    "cl_matured_fstpd30_flag": "int",
+    "cl_matured_fstfpd30_flag": "int",
+    "cl_fpd30_flag": "int",
+    "cl_fspd30_flag": "int",
+    "cl_fstpd30_flag": "int",
+    "cl_fstfpd30_flag": "int",
+    "ln_loan_id": "bigint",
+    "ln_loan_type": "string",
+    "ln_loan_status": "string",
+    "ln_disbursement_channel": "string",
+    "ln_original_principal": "decimal(18,2)",
+    "ln_orig_interest_fees": "decimal(18,2)",
+    "ln_orig_tenor": "int",
+    "ln_loan_application_datetime": "timestamp_ntz",
+    "ln_repaid_full_flag": "int",
+    "ln_fully_repaid_date": "date",
+    "ln_fpd30_flag": "int",
+    "ln_fspd30_flag": "int",
+    "ln_fstpd30_flag": "int",
+    "ln_fstfpd30_flag": "int",
+    "ln_min_loan_due_date": "date",
+    "ln_os_principal_at_fpd30": "decimal(18,2)",
+    "ln_os_principal_at_fspd30": "decimal(18,2)",
+    "ln_os_principal_at_fstpd30": "decimal(18,2)",
+    "ln_os_principal_at_fstfpd30": "decimal(18,2)",
+    "ln_matured_fpd30_flag": "int",
+    "ln_matured_fspd30_flag": "int",
+    "ln_matured_fstpd30_flag": "int",
+    "ln_matured_fstfpd30_flag": "int",
+}
+
+
 def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     """Keep `keep` (checked to be there), renamed with `prefix` (one projection)."""
     return require(df, keep).selectExpr(*[f"`{c}` AS `{prefix}{c}`" for c in keep])
