@@ -180,7 +180,17 @@ def _prefixed(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return require(df, keep).selectExpr(*[f"`{c}` AS `{prefix}{c}`" for c in keep])
 
 
-def _user_side(src: Sources, as_of, region: str, cl: DataFrame) -> DataFrame:
+# user-keyed inputs of the feature table, in join order, and their user id
+USER_KEYS = {
+    "users": "uid", "income": "ii_user_id", "employment": "ee_user_id", "kyc_document": "doc_user_id", "identity": "id_user_id",
+    "address": "ad_user_id", "timeline": "ut_user_id", "credit_info": "kc_user_id", "permission": "mp_model_id", "fraud": "fr_user_id",
+    "freeze": "fz_user_id", "rating": "rt_user_id", "customer_flags": "cl_user_id",
+}
+
+
+def _user_inputs(src: Sources, region: str, cl: DataFrame) -> dict[str, tuple[str, DataFrame]]:
+    """The frames that the user side joins on the user id, in join order: name
+    -> (its key, the frame)."""
     users = src.table(
         "users", "id", "email", "phone", "firstname", "middlename", "lastname", "birthdate", "gender",
         "email_verified", "telephone_verified", "id_verified", "income_verified", "morning_time",
@@ -213,6 +223,12 @@ def _user_side(src: Sources, as_of, region: str, cl: DataFrame) -> DataFrame:
                        ["user_id", "frozen_status"] + list(sc.DEFAULT_CARDS) + ["credit_rating"])
     cl = cl.withColumnRenamed("user_id", "cl_user_id")
 
+    frames = {"users": users, "income": ii, "employment": ee, "kyc_document": doc, "identity": idi, "address": addr, "timeline": ut, "credit_info": kyc,
+              "permission": perm, "fraud": fraud, "freeze": freeze, "rating": rating, "customer_flags": cl}
+    return {name: (key, frames[name]) for name, key in USER_KEYS.items()}
+
+
+def _user_side(src: Sources, inputs: dict[str, tuple[str, DataFrame]], region: str) -> DataFrame:
     emp = _prefixed(
         src.table("employers"), "er_",
         ["id", "name", "email_domain", "repayment_days", "custom_email", "payment_reminders", "address",
@@ -225,20 +241,11 @@ def _user_side(src: Sources, as_of, region: str, cl: DataFrame) -> DataFrame:
         F.col("model_id").alias("tp_model_id"), F.col("max_debt_income_ratio").alias("tp_ratio")
     )
 
-    u = F.col("uid")
+    (_, side), *others = inputs.values()
+    for key, frame in others:
+        side = side.join(frame, F.col("uid") == F.col(key), "left")
     side = (
-        users.join(ii, u == F.col("ii_user_id"), "left")
-        .join(ee, u == F.col("ee_user_id"), "left")
-        .join(doc, u == F.col("doc_user_id"), "left")
-        .join(idi, u == F.col("id_user_id"), "left")
-        .join(addr, u == F.col("ad_user_id"), "left")
-        .join(ut, u == F.col("ut_user_id"), "left")
-        .join(kyc, u == F.col("kc_user_id"), "left")
-        .join(perm, u == F.col("mp_model_id"), "left")
-        .join(fraud, u == F.col("fr_user_id"), "left")
-        .join(freeze, u == F.col("fz_user_id"), "left")
-        .join(rating, u == F.col("rt_user_id"), "left")
-        .join(cl, u == F.col("cl_user_id"), "left")
+        side
         .join(emp, F.col("er_id").cast("string") == F.col("employer_id"), "left")
         .join(grp, F.col("eg_employer_id") == F.col("er_id"), "left")
         .join(etype, F.col("et_id") == F.col("ii_employment_id"), "left")
@@ -391,9 +398,27 @@ def duplicated_keys(src: Sources) -> list[str]:
     return [f"{t}.{k}" for t, k in FAN_OUT_TABLES if f"{t}.{k}" in names]
 
 
-def loan_features(src: Sources, as_of, region: str = "v2", on_duplicate: str = "keep") -> DataFrame:
+def bucket_inputs(src: Sources, as_of, schema: str, buckets: int, region: str = "v2") -> str:
+    """Write all user-keyed inputs of the feature table into the tables
+    `<schema>.feature_<name>`, each bucketed and sorted by the user id into the
+    same `buckets`; returns `schema`. `loan_features(bucketed=schema)` then joins
+    them bucket by bucket without a shuffle, as often as it is run. Each input is
+    shuffled once, here."""
+    loan_flags, customer_flags = dq.default_flags(src, as_of)
+    frames = _user_inputs(src, region, customer_flags)
+    frames["loans"] = ("driving_id", _driving_loans(src, _loan_side(src, loan_flags)))
+    for name, (key, frame) in frames.items():
+        # one file per bucket
+        frame.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{schema}.feature_{name}")
+    return schema
+
+
+def loan_features(src: Sources, as_of, region: str = "v2", on_duplicate: str = "keep", bucketed: str | None = None) -> DataFrame:
     """The wide customer x loan feature table (100 columns; 101 with region="v1").
 
+    `bucketed` names the schema that `bucket_inputs` wrote with the same `as_of`
+    and `region`: the chain of user-keyed joins and the loans then need no shuffle.
+
     on_duplicate="keep" keeps the source semantics: a key repeated in a
     left-joined table repeats the user's rows. "error" checks those tables
     first and raises, naming them, if any key repeats.
@@ -406,10 +431,16 @@ def loan_features(src: Sources, as_of, region: str = "v2", on_duplicate: str = "
         dups = duplicated_keys(src)
         if dups:
             raise ValueError(f"duplicate keys in left-joined tables: {', '.join(dups)}")
-    loan_flags, customer_flags = dq.default_flags(src, as_of)
-    users = _user_side(src, as_of, region, customer_flags)
-    loans = _loan_side(src, loan_flags)
-    both = _driving_loans(src, loans).join(users, F.col("driving_id") == F.col("ee_customer_id"), "inner").drop("driving_id")
+    if bucketed:
+        spark = src.table("users").sparkSession
+        inputs = {name: (key, spark.table(f"{bucketed}.feature_{name}")) for name, key in USER_KEYS.items()}
+        driving = spark.table(f"{bucketed}.feature_loans")
+    else:
+        loan_flags, customer_flags = dq.default_flags(src, as_of)
+        inputs = _user_inputs(src, region, customer_flags)
+        driving = _driving_loans(src, _loan_side(src, loan_flags))
+    users = _user_side(src, inputs, region)
+    both = driving.join(users, F.col("driving_id") == F.col("ee_customer_id"), "inner").drop("driving_id")
     derived = dq.loan_flag_columns(both, as_of)
     loan_cols = {
         "ln_loan_id": F.col("ln_loan_id"),

@@ -25,7 +25,7 @@ from loanlens.operators import targets as tg
 from loanlens.operators import scoring as sc
 from loanlens.operators import sketches as sk
 from loanlens.operators.relational import latest_by
-from loanlens.plans.features import loan_features
+from loanlens.plans.features import bucket_inputs, loan_features
 from loanlens.plans.oracle_sql import APP_CUTOFF, AS_OF, FEATURE_TARGET, MERGED_DECIMALS, MERGED_EXACT, OBS_MONTHS, REPORT_DECIMALS, REPORT_TARGET, THRESHOLD
 from loanlens.plans.output import edge
 from loanlens.plans.stages import handoff
@@ -165,6 +165,14 @@ def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(lio.replace_table(flags, "default", "loan_flags", AS_OF))
 
 
+def _bucketed_features(s):
+    """The feature table from user-keyed inputs written in buckets."""
+    spark = s.table("users").sparkSession
+    schema = f"features_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE SCHEMA {schema}")
+    return loan_features(s, AS_OF, bucketed=bucket_inputs(s, AS_OF, schema, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _report_features(s):
     return ql.data_quality_report(loan_features(s, AS_OF), target_col=FEATURE_TARGET, decimals=REPORT_DECIMALS)
 
@@ -245,6 +253,7 @@ QUERIES: dict[str, Query] = {
         "user_id", *list(sc.DEFAULT_CARDS))),
     "credit_rating": _q(lambda s: sc.credit_rating(sc.risk_inputs(s))),
     "loan_features": _q(lambda s: loan_features(s, AS_OF)),
+    "loan_features_bucketed": _q(_bucketed_features),
     "loan_features_v1": _q(lambda s: loan_features(s, AS_OF, region="v1")),
     "repayment_fact": _q(lambda s: _fact(s)),
     "with_balance_before": _q(lambda s: rp.with_balance_before(_fact(s))),

@@ -8,6 +8,7 @@ file-system connectors do the transfer, in parallel, from the executors.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,8 +91,8 @@ def table_name(schema: str, base: str, run_date: _dt.date | str | None = None) -
 def replace_table(df: DataFrame, schema: str, base: str, run_date=None, keep: int = 2) -> str:
     """Create or replace the date-suffixed table from `df`; returns its name.
 
-    The rows are written as a new version, `<name>__v<number>`, which nobody
-    reads yet; then the view `<name>` is pointed at it, one change of the catalog.
+    The rows are written as a new version, `<name>__v<number>_<id>`, which nobody
+    reads yet (the id keeps it apart from what a failed write may have left); then the view `<name>` is pointed at it, one change of the catalog.
     So a write that fails leaves the old rows in place, readers never find the
     table absent or half written, and queries that began on an old version go on
     reading it. Of the versions, the newest `keep` stay.
@@ -100,9 +101,7 @@ def replace_table(df: DataFrame, schema: str, base: str, run_date=None, keep: in
         raise ValueError("at least the version just written must be kept")
     spark, name = df.sparkSession, table_name(schema, base, run_date)
     old = versions(spark, name)
-    number = old[-1] + 1 if old else 1
-    version = f"{name}__v{number:06d}"
-    spark.sql(f"DROP TABLE IF EXISTS {version}")
+    version = f"{name}__v{old[-1][0] + 1 if old else 1:06d}_{uuid.uuid4().hex[:8]}"
     try:
         df.write.saveAsTable(version)
     except BaseException:
@@ -110,19 +109,19 @@ def replace_table(df: DataFrame, schema: str, base: str, run_date=None, keep: in
         raise
     if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
         # written by an earlier release as a plain table: it becomes a version of its own, once
-        spark.sql(f"ALTER TABLE {name} RENAME TO {name}__v000000")
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}__v000000_plain")
     spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
-    for gone in versions(spark, name)[:-keep]:
-        spark.sql(f"DROP TABLE IF EXISTS {name}__v{gone:06d}")
+    for _, gone in versions(spark, name)[:-keep]:
+        spark.sql(f"DROP TABLE IF EXISTS {gone}")
     return name
 
 
-def versions(spark: SparkSession, name: str) -> list[int]:
-    """Numbers of the versions that are kept of a table, oldest first."""
+def versions(spark: SparkSession, name: str) -> list[tuple[int, str]]:
+    """(number, table) of the versions that are kept of a table, oldest first."""
     schema, _, base = name.rpartition(".")
-    found = spark.sql(f"SHOW TABLES IN {schema} LIKE '{base}__v*'").collect()
-    numbers = [r.tableName.rpartition("__v")[2] for r in found if r.tableName.lower().startswith(f"{base.lower()}__v")]
-    return sorted(int(n) for n in numbers if n.isdigit())
+    found = [r.tableName for r in spark.sql(f"SHOW TABLES IN {schema} LIKE '{base}__v*'").collect()]
+    marked = [(t[len(base) + 3:].partition("_")[0], t) for t in found]
+    return sorted((int(n), f"{schema}.{t}") for n, t in marked if n.isdigit())
 
 
 def write_ordered(df: DataFrame, order: Sequence[Column | str], path: str, name: str = "position", parts: int | None = None) -> str:
