@@ -21,12 +21,17 @@ are used, each on what the one before has left:
 3. By hash from the other end, c = 1, checked per candidate pair together with
    the first order, before the exact intersection.
 
-Hot lists. A posting list never yields all its pairs: its first set is compared
-with all others, links become components, and only pairs of sets that are still
-in different components go on, with 4, 16, 64, ... further first sets per round
-until every set of a list was first. So a group of thousands of near copies
-costs about as many comparisons as it has members, and no pair of unlinked
-sets is skipped. Sets equal as a whole are one set from step 2 on.
+Hot lists. A posting list never yields all its pairs. First every set is compared
+with one other only, the least of its lists' first sets; links become components,
+and only pairs of sets that are still in different components go on, with about
+1, 4, 16, ... further first sets per list and round until every set of a list was
+first. Sets are named by hash, so a set's name gives its place in a list and no
+list is sorted or gathered. So a group of thousands of near copies costs about
+as many comparisons as it has members, and no pair of unlinked sets is skipped.
+A shingle common to two sets counts only where it can be their first common one:
+behind it both must hold enough shingles for a link. Sets equal as a whole are
+one set from step 2 on. Components are kept as names (set, label); each round
+joins labels, not the sets linked before.
 
 Defined results: null or empty texts and texts without words have no shingles
 and link with nothing; a text of fewer than five words is one shingle; equal
@@ -43,10 +48,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import blocks, discard, distinct_pairs, documents, in_parts, occurring_again, shingle_hashes, staged, text_key, words
+from loanlens.llm.common import blocks, discard, distinct_pairs, documents, in_parts, shingle_hashes, staged, text_key, words
 from loanlens.llm.components import components
 
 SHINGLE = 5
@@ -243,12 +248,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column(2), batch.column(3)
         keep = [similar(np.asarray(x[i].values).view(np.uint64), np.asarray(y[i].values).view(np.uint64)) for i in range(batch.num_rows)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+        yield batch.select(["la", "lb"]).filter(pa.array(keep, type=pa.bool_()))
 
 
 def _posting_lists(unique: DataFrame) -> DataFrame:
-    """shingle, set, n, place (1, 2, ... within the list): the prefixes of sets by
-    document frequency, lists of two or more."""
+    """shingle, set, n, at (the shingle's place in the set), size (of the list): the
+    prefixes of sets by document frequency, lists of two or more."""
     size = 8 * (unique.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
     shared = _shared(unique.select(F.col("set").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), "shingles"), _whole_sets, size)
     enough = staged(shared.where(F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)).select(F.col("doc_id").alias("set")))
@@ -257,53 +262,73 @@ def _posting_lists(unique: DataFrame) -> DataFrame:
     shared = rows.join(df, "shingle")
     by_set = shared.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shingles"))
     # dropped shingles are the rarest: they come first, so they shorten the prefix
-    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("shingles"))
+    dropped = F.col("n") - F.size("shingles")
+    prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - dropped
     kept = by_set.where(F.size("shingles") >= F.ceil(F.col("n") * PERCENT / 100)).select(
-        "set", "n", F.explode(F.slice("shingles", F.lit(1), prefix.cast("int"))).alias("s"))
-    lists = staged(kept.select("set", "n", F.col("s.shingle").alias("shingle")))
-    place = F.row_number().over(Window.partitionBy("shingle").orderBy("set"))
-    return staged(lists.join(occurring_again(lists, "shingle"), "shingle", "left_semi").withColumn("place", place))
+        "set", "n", dropped.alias("dropped"), F.posexplode(F.slice("shingles", F.lit(1), prefix.cast("int"))).alias("at", "s"))
+    lists = staged(kept.select("set", "n", F.col("s.shingle").alias("shingle"), (F.col("dropped") + F.col("at")).cast("int").alias("at")))
+    sizes = staged(lists.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1"))
+    return staged(lists.join(sizes, "shingle"))
+
+
+def _may_link(n: str, at: str, other_n: str, other_at: str) -> Column:
+    """Whether sets with a first common shingle at these places can link: sizes
+    near enough, and shingles enough from there on in both."""
+    n, at, other_n, other_at = (F.col(c) for c in (n, at, other_n, other_at))
+    return (F.least(n, other_n) * 100 >= F.greatest(n, other_n) * PERCENT) & (
+        F.least(n - at, other_n - other_at) * (100 + PERCENT) >= (n + other_n) * PERCENT)
 
 
 def _links(lists: DataFrame, unique: DataFrame) -> DataFrame:
-    """set, root: components of sets linked by similarity (roots left out)."""
+    """set, label: components of sets linked by similarity (roots left out)."""
     spark = lists.sparkSession
     spans = staged(unique.select("set", "shingles").join(lists.select("set").distinct(), "set", "left_semi"))
     labels = spark.createDataFrame([], "set long, label long")
-    lists = lists.withColumn("label", F.col("set"))
+    # about how many sets of the list come before: names are hashes, hence evenly spread
+    place = (F.col("set") / 2.0**64 + 0.5) * F.col("size")
+    lists = lists.select("shingle", "set", "n", "at", F.col("set").alias("label"), place.alias("place"))
     rows = lists.count()
     written = None
-    first, width = 1, 1
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Labels of the pairs (a, la, b, lb) that link."""
+        pairs = staged(in_parts(pairs, rows))
+        sided = pairs.join(spans.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+        checked = sided.join(spans.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").select("la", "lb", "x", "y")
+        found = staged(in_parts(checked.mapInArrow(_verify, "la long, lb long"), rows).distinct())
+        discard(pairs)
+        return found
+
+    def every_first(first: float, end: float) -> DataFrame:
+        heads = lists.where(F.col("place") < end).select(
+            "shingle", F.col("set").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("label").alias("la"))
+        rest = lists.select("shingle", F.col("set").alias("b"), "n", "at", F.col("label").alias("lb"))
+        return rest.join(heads, "shingle").where((F.col("b") > F.col("a")) & (F.col("la") != F.col("lb")) & _may_link("n", "at", "na", "ata")).select(
+            "a", "la", "b", "lb").distinct()
+
+    def least_first() -> DataFrame:
+        heads = lists.groupBy("shingle").agg(F.min(F.struct("set", "n", "at")).alias("h")).select(
+            "shingle", F.col("h.set").alias("a"), F.col("h.n").alias("na"), F.col("h.at").alias("ata"))
+        rest = lists.select("shingle", F.col("set").alias("b"), "n", "at")
+        met = rest.join(heads, "shingle").where((F.col("b") > F.col("a")) & _may_link("n", "at", "na", "ata"))
+        return met.groupBy("b").agg(F.min("a").alias("a")).select("a", F.col("a").alias("la"), "b", F.col("b").alias("lb"))
+
+    first, end = 0.0, 0.0  # sets at a place below `first` have met their whole list
     while True:
-        mixed = lists.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("place").alias("last")).where(
-            (F.col("x") < F.col("y")) & (F.col("last") > first)).select("shingle")
+        found = linked(every_first(first, end) if end else least_first())
+        first, end = end, 4 * end or 1.0
+        if not found.isEmpty():
+            renamed = components(found.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), "root")
+            old = labels.join(renamed, "label", "left").select("set", F.coalesce("root", "label").alias("label"))
+            labels = staged(in_parts(old.unionByName(renamed.select(F.col("label").alias("set"), F.col("root").alias("label"))), rows))
+            lists = in_parts(lists.join(renamed, "label", "left"), rows).withColumn("label", F.coalesce("root", "label")).drop("root")
+        mixed = lists.where(F.col("place") >= first).groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("shingle")
         before, lists = written, staged(in_parts(lists.where(F.col("place") >= first).join(mixed, "shingle", "left_semi"), rows))
         discard(before)
         written = lists
         rows = lists.count()
         if not rows:
             return labels
-        heads = lists.where(F.col("place") < first + width).select(
-            "shingle", F.col("set").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
-        pairs = (
-            lists.select("shingle", F.col("set").alias("b"), "n", "place", "label").join(heads, "shingle")
-            .where((F.col("place") > F.col("pa")) & (F.col("label") != F.col("la"))
-                   & (F.least("n", "na") * 100 >= F.greatest("n", "na") * PERCENT))
-            .select("a", "b")
-        )
-        pairs = staged(in_parts(pairs.distinct(), rows))
-        sided = pairs.join(spans.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
-        checked = sided.join(spans.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-        found = staged(checked.mapInArrow(_verify, "a long, b long"))
-        discard(pairs)
-        first, width = first + width, 4 * width
-        if found.isEmpty():
-            continue
-        # the components so far stand for the links they were made of
-        links = found.unionByName(labels.select(F.col("set").alias("a"), F.col("label").alias("b")))
-        labels = components(links).select(F.col("node").alias("set"), F.col("root").alias("label"))
-        renamed = labels.withColumnRenamed("label", "root")
-        lists = in_parts(lists.join(renamed, "set", "left"), rows).withColumn("label", F.coalesce("root", "set")).drop("root")
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
