@@ -116,13 +116,22 @@ def _byte_values(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> np.ndarray:
+def _powers_of(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+_remembered_powers = lru_cache(maxsize=6)(_powers_of)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of `base`. A worker remembers them for usual blocks only, in one size
+    (6 arrays of 16 * BLOCK_BYTES bytes at most), not for longer texts."""
+    usual = 2 * BLOCK_BYTES
+    return _remembered_powers(base, usual)[:n] if n <= usual else _powers_of(base, n)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)

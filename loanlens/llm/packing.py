@@ -24,8 +24,10 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -61,65 +63,101 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+# The steps of the public tokenizer that make words independent of each other.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLITTERS = ["Split", "ByteLevel"]
+_MARKS = b".,;:!?"
+
+
+class _Memory(dict):
+    """Ids by word; an unknown word is encoded, and kept if it is short."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self._encode(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Little-endian uint32 ids of a text, word by word.
 
     A word made of plain letters and marks goes to the vocabulary's merges
     directly (its letters and its marks are encoded apart anyway); any other
     word goes through the whole tokenizer. Both are remembered in two
-    generations of at most `kept` words.
+    generations of about `kept` words, `forget` drops them. A tokenizer that
+    does not lower-case, or that keeps white space, raises ValueError.
     """
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._check(json.loads(self._tokenizer.to_str()))
         self._merges = self._tokenizer.model
         self._letters = _byte_letters()
         self._kept = kept
-        self._young: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
-        self._marks: dict[str, bytes] = {"": b""}
+        self._marks: dict[bytes, bytes] = {b"": b""}
+        self._packs = [struct.Struct(f"<{n}I").pack for n in range(65)]
+        self.forget()
+
+    @staticmethod
+    def _check(config: dict) -> None:
+        steps = (config.get("normalizer") or {}).get("normalizers") or []
+        splits = (config.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if (
+            [x["type"] for x in steps] != _NORMALIZERS or [x["type"] for x in splits] != _SPLITTERS
+            or splits[0]["behavior"] != "Removed" or not splits[0]["invert"] or splits[1]["add_prefix_space"] or config["model"]["type"] != "BPE"
+        ):
+            raise ValueError("packing takes a lower-casing byte-level BPE tokenizer that drops white space")
+
+    def forget(self) -> None:
+        self._young, self._old = _Memory(self._word), {}
 
     def _whole(self, word: str) -> bytes:
         return array("I", self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        plain = _PLAIN.fullmatch(text) if len(word) <= 64 else None
-        if not plain:
-            return self._whole(text)
-        letters, marks = plain.groups()
-        if marks not in self._marks:
-            if len(self._marks) > 1000:
+        known = self._old.get(word)
+        if known is not None:
+            return known
+        core = word.rstrip(_MARKS)
+        if len(word) > 64:
+            return self._whole(word.decode("utf-8", "replace"))
+        marks = word[len(core) :]
+        if core.isalpha():  # of bytes: ASCII letters only
+            key = core.lower()
+            letters = key.decode()
+        else:
+            text = word.decode("utf-8", "replace")
+            plain = _PLAIN.fullmatch(text)
+            if not plain:
                 return self._whole(text)
-            self._marks[marks] = self._whole(marks)
-        letters = letters.lower()
-        known = self._young.get(key := letters.encode()) or self._old.get(key)
+            lower = plain[1].lower()
+            key, letters = lower.encode(), lower.translate(self._letters)
+        after = self._marks.get(marks)
+        if after is None:
+            after = self._whole(marks.decode())
+            if len(self._marks) < 1000:
+                self._marks[marks] = after
+        if key != word:
+            known = self._young.get(key) or self._old.get(key)
         if known is None:
-            found = self._merges.tokenize(letters if letters.isascii() else letters.translate(self._letters))
-            known = self._young[key] = array("I", [t.id for t in found]).tobytes()
-        return known + self._marks[marks]
+            ids = [t.id for t in self._merges.tokenize(letters)]
+            known = self._packs[len(ids)](*ids) if len(ids) < 65 else array("I", ids).tobytes()
+            if key != word:
+                self._young[key] = known
+        return known + after if after else known
 
     def ids(self, body: bytes) -> bytes:
-        words = body.split()  # ASCII white space
-        young = self._young
-        try:
-            return b"".join(map(young.__getitem__, words))
-        except KeyError:
-            pass
-        if len(young) > self._kept:  # bounded: forget what was not used lately
-            self._old, self._young = young, {}
-            young = self._young
-        extra: dict[bytes, bytes] = {}
-        for w in set(words):
-            if w not in young:
-                ids = self._old.get(w)
-                (young if len(w) <= 64 else extra)[w] = self._word(w) if ids is None else ids
-        if extra:
-            return b"".join([extra[w] if w in extra else young[w] for w in words])
-        return b"".join(map(young.__getitem__, words))
+        if len(self._young) > self._kept:  # bounded: forget what was not used lately
+            self._old, self._young = self._young, _Memory(self._word)
+        return b"".join(map(self._young.__getitem__, body.split()))  # ASCII white space
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -218,6 +256,8 @@ def _pack_partition(path: str, open_windows: int):
         yield pa.RecordBatch.from_pydict(_rows(windows.closed, _prefix(0, part), part, False), schema=_SCHEMA)
         left = [(n, windows.content[n]) for _, n in windows.free]
         yield pa.RecordBatch.from_pydict(_rows(left, _prefix(0, part), part, True), schema=_SCHEMA)
+        tokenizer.forget()  # a worker outlives its tasks
+        pa.default_memory_pool().release_unused()
 
     return run
 
