@@ -14,10 +14,14 @@ layer) on figures of a whole text: shares of characters of each kind, of words
 in capitals, with symbols, repeated from the word before; each also as the
 maximum over windows of 20 words, so junk inside a long clean text shows.
 
-The fit uses at most `sample` positives and `sample` unlabelled rows, those
-with the smallest hash of doc_id; prior and everything else cover all rows. The
-figures of these rows (some 80 floats each) are all that reaches the driver.
-Scoring is one scan. Labels, lang, source and doc_id are no inputs of a score.
+One scan writes the figures of all training rows. Their mean and scale are
+aggregates over all of them, and the fit makes PASSES passes over all of them: in
+a pass every task takes mini-batch steps from the same model over its own rows,
+and the models are averaged, weighted by rows, by one aggregate (as many rows as
+the model has weights). Only the positives are bounded: the `sample` labelled rows
+with the smallest hash of doc_id, some 80 floats each, go to every task. Sums are
+decimal, so a result doesn't depend on the order in which parts arrive. Scoring is
+one scan. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: a null text is empty, and an empty text has a score of its
 own like any other; a null doc_id is hashed as the empty string; several labels
@@ -35,11 +39,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import blocks, documents
+from loanlens.llm.common import blocks, discard, documents, in_parts, staged
 
 SAMPLE = 10_000
 KEEP = 0.3
 WINDOW_WORDS = 20
+# The fit: passes over all training rows, rows of a step, least steps of a task in a
+# pass, rows of a small table in one task, first rate of a step, decay of weights.
+PASSES = 10
+BATCH = 2048
+STEPS = 40
+PART_ROWS = 50_000
+RATE = 0.03
+DECAY = 1e-5
 
 # Byte kinds whose share of a text is a figure of its own.
 _KINDS = [b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b" ", b"\n", b".", b",", b"!", b"?", b"|", b"#", b"%",
@@ -141,37 +153,125 @@ def _sigmoid(f: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 12, steps: int = 600, rate: float = 0.03, decay: float = 1e-5,
-        seed: int = 11) -> Model:
-    """Minimise the non-negative PU risk by full-batch Adam from a fixed start; the
-    rate falls to nothing, so the reversals die out."""
+Params = list[np.ndarray]
+
+
+def risk(params: Params, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the PU risk of standardised rows; the second may be negative."""
+    w1, b1, w2, b2 = params
+    s = [_sigmoid(np.tanh(x @ w1 + b1) @ w2 + b2) for x in (positive, unlabelled)]
+    above, below = (-np.log(np.maximum(x, 1e-12)) for x in (s[0], 1 - s[0]))
+    return prior * above.mean(), -np.log(np.maximum(1 - s[1], 1e-12)).mean() - prior * below.mean()
+
+
+def gradient(params: Params, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Params:
+    """Of the sum of both parts; of minus the second part where that is negative."""
+    w1, b1, w2, b2 = params
+    x, n = np.vstack([positive, unlabelled]), len(positive)
+    h = np.tanh(x @ w1 + b1)
+    s = _sigmoid(h @ w2 + b2)
+    # l(f) = -log s, l(-f) = -log(1 - s); derivatives by f: s - 1 and s
+    below = -np.log(np.maximum(1 - s, 1e-12))
+    g = np.empty(len(x))
+    if below[n:].mean() - prior * below[:n].mean() >= 0:
+        g[:n] = prior * (s[:n] - 1) / n - prior * s[:n] / n
+        g[n:] = s[n:] / (len(x) - n)
+    else:  # reversed: raise the part that went below zero
+        g[:n] = prior * s[:n] / n
+        g[n:] = -s[n:] / (len(x) - n)
+    back = np.outer(g, w2) * (1 - h * h)
+    return [x.T @ back, back.sum(axis=0), h.T @ g, np.array(g.sum())]
+
+
+class Adam:
+    def __init__(self, params: Params):
+        self.params = params
+        self._first, self._second = ([np.zeros_like(w) for w in params] for _ in range(2))
+        self.steps = 0
+
+    def step(self, grads: Params, rate: float) -> None:
+        self.steps += 1
+        for i, (w, d) in enumerate(zip(self.params, grads)):
+            d = d + (DECAY * w if w.ndim == 2 or i == 2 else 0)
+            self._first[i] = 0.9 * self._first[i] + 0.1 * d
+            self._second[i] = 0.999 * self._second[i] + 0.001 * d * d
+            self.params[i] = w - rate * (self._first[i] / (1 - 0.9**self.steps)) / (np.sqrt(self._second[i] / (1 - 0.999**self.steps)) + 1e-8)
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[np.ndarray]:
+    """The figures of a partition, `rows` rows at a time; the last may hold up to
+    half as many more."""
+    kept = np.zeros((0, FIGURES))
+    for batch in batches:
+        found = np.asarray(batch.column(0).flatten(), dtype=np.float64).reshape(-1, FIGURES)
+        kept = np.vstack([kept, found])
+        while len(kept) >= 1.5 * rows:
+            yield kept[:rows]
+            kept = kept[rows:]
+    if len(kept):
+        yield kept
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums and sums of squares of a partition's figures."""
+    for x in _matrices(batches, 1 << 14):
+        yield _numbered(np.r_[x.sum(axis=0), (x * x).sum(axis=0)], len(x))
+
+
+def _numbered(values: np.ndarray, rows: int) -> pa.RecordBatch:
+    """(at, value) rows: the number of rows at -1, then the values."""
+    return pa.RecordBatch.from_pydict({"at": pa.array(np.arange(-1, len(values), dtype=np.int32)), "value": pa.array(np.r_[float(rows), values])})
+
+
+def _added(parts: DataFrame) -> tuple[float, np.ndarray]:
+    """(rows, sums) of such rows, added as decimals."""
+    found = parts.groupBy("at").agg(F.sum(F.col("value").cast("decimal(30,10)")).cast("double").alias("value")).toArrow().sort_by("at")
+    values = found.column("value").to_numpy()
+    return (float(values[0]), values[1:]) if len(values) else (0.0, values)
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -8, 8)
+
+
+def _one_pass(params: Params, positive: np.ndarray, prior: float, mean: np.ndarray, scale: np.ndarray, at: int):
+    """Steps over a partition's rows from `params`; its weights times its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, rows, seen = Adam([w.copy() for w in params]), 0, []
+
+        def step(x: np.ndarray) -> None:
+            chosen = np.arange(fitted.steps * BATCH, (fitted.steps + 1) * BATCH) % len(positive) if len(positive) > BATCH else slice(None)
+            rate = RATE * (1 - (at + min(1, fitted.steps / STEPS)) / (PASSES + 0.01))
+            fitted.step(gradient(fitted.params, positive[chosen], x, prior), rate)
+
+        for x in _matrices(batches, BATCH):
+            x = _standard(x, mean, scale)
+            rows += len(x)
+            step(x)
+            if len(seen) < STEPS:
+                seen.append(x)
+        while seen and fitted.steps < STEPS:  # a small partition is gone over again
+            step(seen[fitted.steps % len(seen)])
+        if rows:
+            yield _numbered(rows * np.concatenate([w.ravel() for w in fitted.params]), rows)
+
+    return run
+
+
+def fit(table: DataFrame, rows: int, positive: np.ndarray, prior: float, hidden: int = 12, seed: int = 11) -> Model:
+    """Minimise the non-negative PU risk of all rows of `table` (figures)."""
+    table = in_parts(table, rows, PART_ROWS)
+    n, sums = _added(table.mapInArrow(_sums, "at int, value double"))
+    mean = sums[:FIGURES] / n
+    scale = np.sqrt(np.maximum(sums[FIGURES:] / n - mean**2, 0)) + 1e-6
     rng = np.random.default_rng(seed)
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
-    x = np.vstack([p, u])
-    n = len(p)
-    params = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.array(np.log(prior / (1 - prior)))]
-    first, second = [np.zeros_like(w) for w in params], [np.zeros_like(w) for w in params]
-    for step in range(1, steps + 1):
-        w1, b1, w2, b2 = params
-        h = np.tanh(x @ w1 + b1)
-        s = _sigmoid(h @ w2 + b2)
-        # l(f) = -log s, l(-f) = -log(1 - s); derivatives by f: s - 1 and s
-        below = -np.log(np.maximum(1 - s, 1e-12))
-        rest = below[n:].mean() - prior * below[:n].mean()
-        g = np.empty(len(x))
-        if rest >= 0:
-            g[:n] = prior * (s[:n] - 1) / n - prior * s[:n] / n
-            g[n:] = s[n:] / (len(x) - n)
-        else:  # reversed: raise the part that went below zero
-            g[:n] = prior * s[:n] / n
-            g[n:] = -s[n:] / (len(x) - n)
-        back = np.outer(g, w2) * (1 - h * h)
-        grads = [x.T @ back + decay * w1, back.sum(axis=0), h.T @ g + decay * w2, np.array(g.sum())]
-        for i, d in enumerate(grads):
-            first[i] = 0.9 * first[i] + 0.1 * d
-            second[i] = 0.999 * second[i] + 0.001 * d * d
-            params[i] = params[i] - rate * (1 - step / (steps + 1)) * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+    positive = _standard(positive, mean, scale)[rng.permutation(len(positive))]
+    params = [rng.normal(0, 1 / np.sqrt(FIGURES), (FIGURES, hidden)), np.zeros(hidden), rng.normal(0, 0.3, hidden), np.array(np.log(prior / (1 - prior)))]
+    cuts = np.cumsum([w.size for w in params])[:-1]
+    for at in range(PASSES):
+        n, sums = _added(table.mapInArrow(_one_pass(params, positive, prior, mean, scale, at), "at int, value double"))
+        params = [part.reshape(w.shape) for part, w in zip(np.split(sums / n, cuts), params)]
     return Model(mean, scale, params[0], params[1], params[2], float(params[3]))
 
 
@@ -179,10 +279,10 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, end, data, offsets in blocks(batch, "body"):
             rows = figures(data, offsets)
-            flat = pa.array(rows.ravel())
+            flat = pa.array(rows.ravel().astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[start:end], pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * FIGURES), flat)],
-                names=["positive", "figures"])
+                [pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * FIGURES), flat), *(batch.column(i)[start:end] for i in range(2))],
+                names=["figures", "id", "key"])
 
 
 def _scores(model: Model | None, prior: float):
@@ -198,35 +298,31 @@ def _scores(model: Model | None, prior: float):
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 0, sample: int = SAMPLE) -> tuple[Model | None, float]:
-    """(model, class prior) from the rows outside the held-out fold."""
+    """(model, class prior) from the rows outside the held-out fold; `sample` bounds
+    the positives (labelled rows), nothing else."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out("doc_id", fold))
         .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("quality"))
     )
     share = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)).alias("ones")).first()
     prior = (share.ones + 1) / (share.n + 2)
-    order = F.xxhash64("id")
-    positive = known.where("quality = 1").orderBy(order, "id").limit(sample).select("id", F.lit(True).alias("positive"))
-    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", fold)).select(F.col("doc_id").cast("long").alias("id")).distinct()
-    unlabelled = ids.orderBy(order, "id").limit(sample).select("id", F.lit(False).alias("positive"))
-    chosen = F.broadcast(positive.unionByName(unlabelled))  # at most 2 * sample rows
-    body = documents(docs)
-    rows = (
-        body.join(chosen, body["doc_id"] == chosen["id"])
-        .groupBy("id", "positive").agg(F.min("text_key").alias("key"), F.min_by("body", "text_key").alias("body"))  # one row per id
-        .select("positive", "body").mapInArrow(_figures, "positive boolean, figures array<double>")
-    ).toArrow()
-    is_positive = rows.column("positive").to_numpy(zero_copy_only=False).astype(bool)
-    values = rows.column("figures").combine_chunks()
-    flat = values if isinstance(values, pa.ListArray) else values.combine_chunks()
-    matrix = flat.flatten().to_numpy().reshape(len(is_positive), FIGURES)
-    order = np.lexsort(matrix.T)  # the fit doesn't depend on the order of rows
-    matrix, is_positive = matrix[order], is_positive[order]
-    if not is_positive.any() or is_positive.all():
+    positive = known.where("quality = 1").orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("id").alias("_id"))
+    training = documents(docs.where(~held_out("doc_id", fold)))  # without null ids: these are held out
+    table = staged(training.select("doc_id", "text_key", "body").mapInArrow(_figures, "figures array<float>, id long, key long"))
+    trusted = (
+        table.join(F.broadcast(positive), table["id"] == F.col("_id"))  # at most `sample` rows
+        .groupBy("id").agg(F.min(F.struct("key", "figures")).alias("row")).select("id", "row.figures")  # one row per id
+    ).toArrow().sort_by("id")
+    if not trusted.num_rows:
+        discard(table)
         return None, prior
-    error = np.sqrt(prior * (1 - prior) * (1 / share.n + 1 / (~is_positive).sum()))
+    rows = table.count()
+    matrix = np.asarray(trusted.column("figures").combine_chunks().flatten(), dtype=np.float64).reshape(-1, FIGURES)
+    error = np.sqrt(prior * (1 - prior) * (1 / share.n + 1 / rows))
     prior = float(np.clip(prior - 2.5 * error, 0.02, 0.98))
-    return fit(matrix[is_positive], matrix[~is_positive], prior), prior
+    model = fit(table.select("figures"), rows, matrix, prior)
+    discard(table)
+    return model, prior
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, fold: int = 0, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:

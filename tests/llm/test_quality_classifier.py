@@ -4,8 +4,9 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
-from loanlens.llm.quality_classifier import FIGURES, figures, score_quality
+from loanlens.llm.quality_classifier import FIGURES, figures, gradient, risk, score_quality
 
 
 def make(n, seed):
@@ -62,3 +63,36 @@ def test_figures_do_not_depend_on_neighbours():
     for k, t in enumerate(texts):
         one = figures(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t)]))
         assert np.allclose(one[0], whole[k])
+
+
+@pytest.mark.parametrize("prior, reversed_part", [(0.5, False), (0.9, True)])
+def test_gradient_equals_finite_differences(prior, reversed_part):
+    rng = np.random.default_rng(5)
+    positive, unlabelled = rng.normal(1, 1, (40, 6)), rng.normal(0, 1, (70, 6))
+    params = [rng.normal(0, 0.5, (6, 3)), rng.normal(0, 0.5, 3), rng.normal(0, 1, 3), np.array(-1.0 if reversed_part else 0.3)]
+    if reversed_part:  # unlabelled rows all far on the negative side
+        unlabelled = unlabelled - 3
+        params[0] = np.abs(params[0])
+        params[2] = np.abs(params[2]) * 3
+
+    def value():
+        first, second = risk(params, positive, unlabelled, prior)
+        assert (second < 0) == reversed_part
+        return -second if reversed_part else first + second
+
+    for w, got in zip(params, gradient(params, positive, unlabelled, prior)):
+        for at in np.ndindex(w.shape):
+            old = w[at].copy()
+            w[at] = old + 1e-5
+            more = value()
+            w[at] = old - 1e-5
+            less = value()
+            w[at] = old
+            assert abs((more - less) / 2e-5 - got[at]) < 1e-6
+
+
+def test_partitions_and_order_of_sums_do_not_matter_to_repeat(spark, corpus):
+    docs, labels = make(300, 6)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    runs = [{r.doc_id: r.score for r in score_quality(corpus(docs, 5), table).collect()} for _ in range(2)]
+    assert runs[0] == runs[1]
