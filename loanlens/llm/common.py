@@ -11,10 +11,11 @@ hashed in a few vectorised numpy steps.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,28 @@ def occurring_again(df: DataFrame, by: str, least: int = 2) -> DataFrame:
     return staged(df.groupBy(by).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= least).select(by))
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system, Arrow's and the allocator's.
+    Workers live on after a task, and idle ones would keep their highest mark."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A partition function that gives back its memory at the end."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import blocks, distinct_pairs, documents, shingle_hashes, words
+from loanlens.llm.common import blocks, distinct_pairs, documents, giving_back, shingle_hashes, words
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -101,6 +101,7 @@ class SketchIndex:
 
 
 def _probe(sent, threshold: float):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = SketchIndex(sent.value, threshold)
         for batch in batches:
@@ -151,6 +152,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 
 def _without_leaks(sent, threshold: float, text: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = SketchIndex(sent.value, threshold)
         for batch in batches:

@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import blocks, discard, distinct_pairs, documents, in_parts, shingle_hashes, staged, text_key, words
+from loanlens.llm.common import blocks, discard, distinct_pairs, documents, give_back, giving_back, in_parts, shingle_hashes, staged, text_key, words
 from loanlens.llm.components import components
 
 SHINGLE = 5
@@ -94,27 +94,36 @@ def _sieve(slices: int, read):
     def emit(batch: int, ids, keys, n: np.ndarray, value: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.argsort(value, kind="stable")
         value, owner = value[order], owner[order]
-        first = np.r_[True, value[1:] != value[:-1]] if len(value) else np.zeros(0, bool)
-        at = np.flatnonzero(first)
-        several = np.diff(np.r_[at, len(value)]) > 1
-        own = np.bincount(owner[np.repeat(several, np.diff(np.r_[at, len(value)]))], minlength=len(n))
+        del order
+        at = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[at, len(value)])
+        several = times > 1
+        own = np.bincount(owner[np.repeat(several, times)], minlength=len(n))
+        value, owner = value[at], owner[at]
+        del at, times
         none = pa.nulls(len(n), pa.int32())
         yield pa.RecordBatch.from_arrays([
             pa.array(np.full(len(n), batch)), pa.array(np.arange(len(n), dtype=np.int32)), ids, keys, pa.array(n.astype(np.int32)),
             pa.array(own.astype(np.int32)), none, pa.nulls(len(n), pa.binary())], schema=_SIEVE)
-        entries = np.zeros(len(at), dtype=_ENTRY)
-        entries["shingle"] = value[at] & np.uint64(0xFFFFFFFF)
-        entries["high"] = (value[at] >> np.uint64(32)) & np.uint64(0xFF)
-        entries["number"] = np.where(several, _SEVERAL, owner[at])
-        part = (((value[at] >> np.uint64(40)) * np.uint64(slices)) >> np.uint64(24)).astype(np.int64)  # ascending
-        cuts = np.searchsorted(part, np.arange(slices + 1))
+        entries = np.zeros(len(value), dtype=_ENTRY)
+        entries["shingle"] = value & np.uint64(0xFFFFFFFF)
+        value >>= np.uint64(32)
+        entries["high"] = value & np.uint64(0xFF)
+        entries["number"] = np.where(several, np.uint16(_SEVERAL), owner)
+        value >>= np.uint64(8)
+        value *= np.uint64(slices)
+        value >>= np.uint64(24)  # the slice, ascending
+        cuts = np.searchsorted(value, np.arange(slices + 1).astype(np.uint64))
+        del value, owner, several
         raw = [entries[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        del entries
         k = [s for s in range(slices) if raw[s]]
         no = lambda t: pa.nulls(len(k), t)
         yield pa.RecordBatch.from_arrays([
             pa.array(np.full(len(k), batch)), no(pa.int32()), no(pa.int64()), no(pa.int64()), no(pa.int32()), no(pa.int32()),
             pa.array(k, type=pa.int32()), pa.array([raw[s] for s in k], type=pa.binary())], schema=_SIEVE)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
@@ -130,7 +139,7 @@ def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Set sizes of a batch of texts, and the shingles (with owners) of their
     prefixes by hash."""
     n = np.zeros(batch.num_rows, dtype=np.int64)
-    values, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    values, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]  # at most _DOCS_PER_BATCH documents
     for start, end, data, offsets in blocks(batch):
         value, owner = sets(data, offsets)
         size = np.bincount(owner, minlength=end - start)
@@ -138,7 +147,7 @@ def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
         place = np.arange(len(value)) - (np.cumsum(size) - size)[owner]
         keep = place < (size - at_least(size) + common(size))[owner]
         values.append(value[keep])
-        owners.append(owner[keep] + start)
+        owners.append((owner[keep] + start).astype(np.uint16))
     return n, np.concatenate(values), np.concatenate(owners)
 
 
@@ -146,15 +155,17 @@ def _whole_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """The same of a batch of sets, all shingles."""
     column = batch.column(2)
     n = np.diff(np.asarray(column.offsets)).astype(np.int64)
-    return n, np.asarray(column.flatten()).view(np.uint64), np.repeat(np.arange(len(n)), n)
+    return n, np.asarray(column.flatten()).view(np.uint64), np.repeat(np.arange(len(n), dtype=np.uint16), n)
 
 
 def _credits(group: pd.DataFrame) -> pd.DataFrame:
     """How many shingles of a slice each document shares with other batches."""
     parts = [np.frombuffer(e, dtype=_ENTRY) for e in group["entries"]]
     whole = np.concatenate(parts)
-    batch = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    value = whole["shingle"].astype(np.uint64) | (whole["high"].astype(np.uint64) << np.uint64(32))
+    batch = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    value = whole["high"].astype(np.uint64)
+    value <<= np.uint64(32)
+    value |= whole["shingle"]
     order = np.argsort(value, kind="stable")
     value = value[order]
     same = value[1:] == value[:-1]
@@ -164,6 +175,8 @@ def _credits(group: pd.DataFrame) -> pd.DataFrame:
     hit = order[shared]
     hit = hit[whole["number"][hit] != _SEVERAL]
     key, credit = np.unique(batch[hit].astype(np.int64) << 16 | whole["number"][hit], return_counts=True)
+    del whole, value, order, same, shared, hit, batch
+    give_back()
     return pd.DataFrame({"batch": group["batch"].to_numpy()[key >> 16], "number": (key & 0xFFFF).astype(np.int32),
                          "credit": credit.astype(np.int32)})
 
@@ -210,6 +223,7 @@ def _as_sets(sent):
     """Sets of the documents whose key the bit table has; the few others that it
     lets through do no harm."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, dtype=np.uint8)
         for whole in batches:
@@ -244,6 +258,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+@giving_back
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column(2), batch.column(3)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from loanlens.llm.common import documents, occurring_again, staged, text_key
+from loanlens.llm.common import documents, giving_back, occurring_again, staged, text_key
 
 MIN_WORDS = 50
 
@@ -61,6 +61,7 @@ def shortest_windows(counts: list[int], min_words: int) -> tuple[list[int], list
 
 
 def _lines(min_words: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_id, key, line, rank, ahead, back = [], [], [], [], [], []
@@ -129,6 +130,7 @@ def _clean(names: list[str]):
     """Replace `text` by what is left and add n_lines and removed_lines; the last
     column has the copies."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, n_lines, removed = [], [], []

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import documents, staged
+from loanlens.llm.common import documents, give_back, staged
 
 WINDOW = 4096
 END_ID = 2
@@ -257,7 +257,7 @@ def _pack_partition(path: str, open_windows: int):
         left = [(n, windows.content[n]) for _, n in windows.free]
         yield pa.RecordBatch.from_pydict(_rows(left, _prefix(0, part), part, True), schema=_SCHEMA)
         tokenizer.forget()  # a worker outlives its tasks
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

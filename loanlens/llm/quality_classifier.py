@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import blocks, discard, documents, in_parts, staged
+from loanlens.llm.common import blocks, discard, documents, giving_back, in_parts, staged
 
 SAMPLE = 10_000
 KEEP = 0.3
@@ -237,6 +237,7 @@ def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 def _one_pass(params: Params, positive: np.ndarray, prior: float, mean: np.ndarray, scale: np.ndarray, at: int):
     """Steps over a partition's rows from `params`; its weights times its rows."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, rows, seen = Adam([w.copy() for w in params]), 0, []
 
@@ -275,6 +276,7 @@ def fit(table: DataFrame, rows: int, positive: np.ndarray, prior: float, hidden:
     return Model(mean, scale, params[0], params[1], params[2], float(params[3]))
 
 
+@giving_back
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, end, data, offsets in blocks(batch, "body"):
@@ -288,6 +290,7 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scores(model: Model | None, prior: float):
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offsets in blocks(batch, "body"):
@@ -336,6 +339,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, fold: int = 0, sample: int
 
 
 def _keep(model: Model | None, prior: float, keep: float, text: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.full(batch.num_rows, prior)
