@@ -1,9 +1,10 @@
 """Repayment transaction fact and balance columns.
 
-Plan shape: live payments JOIN vendor responses (txn id) JOIN paid roll-up
-and ranked schedules (both on the schedule id text; the roll-up arrives
-already partitioned on it) JOIN loans x users (loan id). The installment
-DENSE_RANK is computed on schedules, not payments. The balance columns
+Plan shape: schedules JOIN loans x users (loan id), so that only employer
+users' schedules go on; payments are dealt by schedule id text once, for the
+paid roll-up and for the rows, JOIN the schedules, then vendor responses (txn
+id). The installment DENSE_RANK is computed on schedules, not payments. The
+balance columns
 (ROW_NUMBER, LAG, LEAD, running sum) split each loan's payments by repaid
 day: per-row windows run inside one (loan, day) and one-row-per-day
 summaries carry values across days, so no task holds a whole loan.
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions import constants as K
-from loanlens.operators.delinquency import dpd, paid_payments
+from loanlens.operators.delinquency import beside_paid, dpd, paid_payments
 from loanlens.operators.ordering import position_in
 from loanlens.operators.relational import same_id
 from loanlens.plans.stages import handoff
@@ -32,7 +33,8 @@ FACT_COLUMNS = [
 PAYMENT_TIEBREAK = ["outstanding_balance", "paid_amount", "paid_principal", "paid_interest", "vendor_id", "subfamily"]
 
 
-def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None = None, spread: bool = False) -> DataFrame:
+def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None = None, spread: bool = False,
+                   columns: list[str] | None = None) -> DataFrame:
     """One row per live payment (paid before `as_of`) of employer users, with
     DENSE_RANK installment number, due and paid splits, vendor and DPD.
 
@@ -41,8 +43,11 @@ def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None
     written table does not keep row order, so it is off by default. The joined
     payments feed the ranks and the rows; with `stage` they are written to that
     folder once and both read it. `spread` ranks the due dates of a loan by range
-    partitions and offsets, for loans whose due dates nothing bounds.
+    partitions and offsets and joins the paid roll-up, for loans whose due dates
+    and schedules whose payments nothing bounds. `columns`
+    are the fact columns the caller reads (default: all); the rows are the same.
     """
+    names = list(columns) if columns is not None else FACT_COLUMNS
     as_of_col = lit_date(as_of)
     users = active(src.table("users", "id", "product_type", "is_delete")).where(
         F.col("product_type") == K.EMPLOYER_PRODUCT_TYPE
@@ -60,32 +65,34 @@ def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None
         F.col("amount").alias("due_amount"),
         "outstanding_balance",
     )
-    pay = active(src.table("split_purchases", "repayment_schedule_id", "txnid", "principal", "interest", "amount",
-                           "repaid_date", "is_delete")).where(
-        F.col("repaid_date").cast("date") < as_of_col
-    ).select(
+    payments = src.table("split_purchases", "repayment_schedule_id", "txnid", "principal", "interest", "amount",
+                         "repaid_date", "is_delete")
+    late = "dpd" in names  # the paid roll-up serves the DPD alone: every payment has one for its schedule
+    if late and not spread:
+        payments = beside_paid(payments)
+    pay = active(payments).where(F.col("repaid_date").cast("date") < as_of_col).select(
         F.col("repayment_schedule_id").alias("sched_key"),
         "txnid",
         "repaid_date",
         F.col("principal").alias("paid_principal"),
         F.col("interest").alias("paid_interest"),
         F.col("amount").alias("paid_amount"),
+        *(["pp_amount", "pp_repaid_date"] if late and not spread else []),
     )
+    if late and spread:
+        pay = pay.join(paid_payments(src).select(
+            F.col("repayment_schedule_id").alias("sched_key"),
+            F.col("amount").alias("pp_amount"),
+            F.col("repaid_date").alias("pp_repaid_date"),
+        ), "sched_key")
     crs = src.table("customer_repayment_responses", "txn_id", "vendor_id", "subfamily")
-    paid = paid_payments(src).select(
-        F.col("repayment_schedule_id").alias("sched_key"),
-        F.col("amount").alias("pp_amount"),
-        F.col("repaid_date").alias("pp_repaid_date"),
-    )
-    paid_rows = pay.join(crs, pay["txnid"] == crs["txn_id"])
-    rows = (
-        paid_rows.join(paid, "sched_key")
-        .join(sched, "sched_key")
-        .join(loans.join(users, "user_id"), "loan_id")
-        .select("user_id", "loan_id", "vendor_id", "subfamily", "repaid_date", "due_date", "due_principal", "due_interest", "due_amount",
-                "paid_principal", "paid_interest", "paid_amount", "outstanding_balance",
-                dpd(F.col("due_amount"), F.col("pp_amount"), F.col("pp_repaid_date"), F.col("due_date"), as_of_col).alias("dpd"))
-    )
+    days_late = dpd(F.col("due_amount"), F.col("pp_amount"), F.col("pp_repaid_date"), F.col("due_date"), as_of_col).alias("dpd")
+    due = sched.join(loans.join(users, "user_id"), "loan_id")
+    found = pay.join(due, "sched_key").select(
+        "txnid", "user_id", "loan_id", "repaid_date", "due_date", "due_principal", "due_interest", "due_amount",
+        "paid_principal", "paid_interest", "paid_amount", "outstanding_balance", *([days_late] if late else []))
+    rows = found.join(crs, found["txnid"] == crs["txn_id"]).select(
+        *dict.fromkeys(["loan_id", "due_date", *[c for c in names if c != "installment_number"]]))
     if stage:
         rows = handoff(rows, stage)
     # DENSE_RANK over a loan's distinct due dates with a surviving payment: one
@@ -99,7 +106,7 @@ def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None
         w = Window.partitionBy("loan_id").orderBy("due_date")
         ranks = dates.select("*", F.row_number().over(w).alias("installment_number"))
     ranks = ranks.select(F.col("loan_id").alias("_loan"), F.col("due_date").alias("_due"), "installment_number")
-    fact = rows.join(ranks, (rows["loan_id"] == ranks["_loan"]) & rows["due_date"].eqNullSafe(ranks["_due"])).select(*FACT_COLUMNS)
+    fact = rows.join(ranks, (rows["loan_id"] == ranks["_loan"]) & rows["due_date"].eqNullSafe(ranks["_due"])).select(*names)
     if ordered:
         fact = fact.orderBy("user_id", "loan_id", "installment_number", "repaid_date")
     return fact
@@ -116,21 +123,24 @@ def with_balance_before(fact: DataFrame) -> DataFrame:
     """
     order = ["repaid_date", "due_date"] + PAYMENT_TIEBREAK
     day = F.coalesce(F.col("repaid_date").cast("date"), F.lit(FIRST_DAY).cast("date"))
-    rows = fact.withColumn("_day", day).repartition("loan_id", "_day")
     bucket = ["user_id", "loan_id", "installment_number", "_day"]
+    split = fact.withColumn("_day", day).repartition(*bucket)
     in_bucket = Window.partitionBy(*bucket).orderBy(*order)
-    rows = rows.select("*", F.row_number().over(in_bucket).alias("_rn"),
-                       F.lag("outstanding_balance").over(in_bucket).alias("_lag"))
-    # ascending with nulls first, as the window orders: max(struct) is the last row
-    last = F.max(F.struct(*[F.col(c) for c in order])).alias("_last")
-    days = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), last)
+    rows = split.select("*", F.row_number().over(in_bucket).alias("_rn"),
+                        F.lag("outstanding_balance").over(in_bucket).alias("_lag"))
+    # ascending with nulls first, as the window orders: max(struct) is the last
+    # row; taken whole, so that days and rows read the same columns of one shuffle
+    last = F.max(F.struct(*order, *[c for c in fact.columns if c not in {*order, *bucket}])).alias("_last")
+    days = split.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), last).select(
+        *bucket, "_n", F.col("_last.outstanding_balance").alias("_balance"))
     in_inst = Window.partitionBy("user_id", "loan_id", "installment_number").orderBy("_day")
     in_loan = Window.partitionBy("user_id", "loan_id").orderBy("installment_number", "_day")
-    days = days.select(
+    # by loan first: the windows of its installments then need no shuffle of their own
+    days = days.select("*", F.lag("_balance").over(in_loan).alias("_prev_loan_day")).select(
         *bucket,
         F.coalesce(F.sum("_n").over(in_inst.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        F.lag("_last.outstanding_balance").over(in_inst).alias("_prev_inst_day"),
-        F.lag("_last.outstanding_balance").over(in_loan).alias("_prev_loan_day"),
+        F.lag("_balance").over(in_inst).alias("_prev_inst_day"),
+        "_prev_loan_day",
     )
     out = rows.join(days, bucket)
     first_in_day = F.col("_rn") == 1
@@ -198,21 +208,29 @@ def with_principal(fact: DataFrame, employees: DataFrame) -> DataFrame:
     return fact.join(principal, same_id(fact, "loan_id", principal, "_loan"), "left").drop("_loan")
 
 
-def balances_of_split(rows: DataFrame, fact_columns: list[str]) -> DataFrame:
-    """Running balance columns over rows already split by `split_by_day`."""
+def balances_of_split(rows: DataFrame, fact_columns: list[str], next_vendor: bool = False) -> DataFrame:
+    """Running balance columns over rows already split by `split_by_day`; with
+    `next_vendor` also that column, from the same days and windows."""
     paid = F.col("paid_principal")
-    # per day: total paid, and whether the day's last row has a payment
-    last = F.max(F.struct(*_order_struct(rows.columns), paid.isNull().alias("_none")))
-    days = rows.groupBy("loan_id", "_day").agg(F.sum(paid).alias("_tot"), last.alias("_last"))
+    # per day: total paid, and whether the day's last row has a payment; that row
+    # is taken whole, so that days and rows read the same columns of one shuffle
+    rest = [c for c in rows.columns if c not in {*LOAN_ORDER_KEYS, "loan_id", "_day"}]
+    last = F.max(F.struct(*_order_struct(rows.columns), paid.isNull().alias("_none"), *rest))
+    first = F.min(F.struct(*_order_struct(rows.columns), F.col("vendor_id").alias("_vendor"))).alias("_first") if next_vendor else None
+    days = rows.groupBy("loan_id", "_day").agg(F.sum(paid).alias("_tot"), last.alias("_last"), *([first] if next_vendor else []))
+    # only what the windows read goes to them
+    days = days.select("loan_id", "_day", "_tot", F.col("_last._none").alias("_none"),
+                       *([F.col("_first._vendor").alias("_vendor")] if next_vendor else []))
     over_days = Window.partitionBy("loan_id").orderBy("_day")
     days = days.select(
-        "loan_id", "_day", "_last",
+        "*",
         F.coalesce(F.sum("_tot").over(over_days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
         F.coalesce(F.sum("_tot").over(over_days.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_end"),
     )
     days = days.select(
         "loan_id", "_day", "_offset",
-        F.lag(F.when(~F.col("_last._none"), F.col("_end"))).over(over_days).alias("_prev_end"),
+        F.lag(F.when(~F.col("_none"), F.col("_end"))).over(over_days).alias("_prev_end"),
+        *([F.lead("_vendor").over(over_days).alias("_next_day_vendor")] if next_vendor else []),
     )
     in_day = Window.partitionBy("loan_id", "_day").orderBy(*loan_order(rows.columns))
     local = F.sum(paid).over(in_day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -220,6 +238,7 @@ def balances_of_split(rows: DataFrame, fact_columns: list[str]) -> DataFrame:
         "*",
         F.when(paid.isNotNull(), F.col("_offset") + local).alias("cumulative_paid_principal"),
         F.row_number().over(in_day).alias("_rn"),
+        *([_next_in_day(in_day).alias("next_vendor")] if next_vendor else []),
     )
     out = out.withColumn("osbal_after", F.col("ln_original_principal") - F.col("cumulative_paid_principal"))
     first_before = F.col("ln_original_principal") - F.col("_prev_end")
@@ -227,9 +246,16 @@ def balances_of_split(rows: DataFrame, fact_columns: list[str]) -> DataFrame:
     return out.select(
         *fact_columns, "ln_original_principal", "cumulative_paid_principal", "osbal_after",
         F.coalesce(before, F.col("ln_original_principal")).alias("osbal_before"),
+        *(["next_vendor"] if next_vendor else []),
     )
 
 
+def _next_in_day(in_day):
+    """The next row's vendor; of a day's last row that of the next day."""
+    is_last = F.lead(F.lit(1)).over(in_day).isNull()
+    return F.when(is_last, F.col("_next_day_vendor")).otherwise(F.lead("vendor_id").over(in_day))
+
+
 def with_next_vendor(repayments: DataFrame) -> DataFrame:
     """Add `next_vendor`: the vendor of the next payment of the loan in loan
     order (null for the last), split by day like `with_outstanding_balance`."""
@@ -243,7 +269,5 @@ def next_vendor_of_split(rows: DataFrame, columns: list[str]) -> DataFrame:
     over_days = Window.partitionBy("loan_id").orderBy("_day")
     days = days.select("loan_id", "_day", F.lead(F.col("_first._vendor")).over(over_days).alias("_next_day_vendor"))
     in_day = Window.partitionBy("loan_id", "_day").orderBy(*loan_order(rows.columns))
-    is_last = F.lead(F.lit(1)).over(in_day).isNull()
     out = rows.join(days, ["loan_id", "_day"])
-    nxt = F.when(is_last, F.col("_next_day_vendor")).otherwise(F.lead("vendor_id").over(in_day))
-    return out.select(*columns, nxt.alias("next_vendor"))
+    return out.select(*columns, _next_in_day(in_day).alias("next_vendor"))

@@ -131,5 +131,5 @@ def write_ordered(df: DataFrame, order: Sequence[Column | str], path: str, name:
     rows n..m filters on it and skips the other files by their statistics."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = with_position(df, order, name, parts)
-    placed.repartitionByRange(parts, name).sortWithinPartitions(name).write.mode("overwrite").parquet(path)
+    placed.repartitionByRange(parts, name).sortWithinPartitions(name).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return path
