@@ -143,3 +143,24 @@ def test_no_row_per_cell(spark):
     text = counted._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in text and "Expand" not in text
     assert counted.count() == 10
+
+
+def test_exact_report_from_given_sketches(spark, tmp_path):
+    """Sketches made before (here merged from two parts) say where to look: the
+    same report, and the table is neither written nor sketched again."""
+    from pyspark.sql import functions as F
+
+    from loanlens.operators import quality as ql
+    from loanlens.operators import sketches as sk
+    from loanlens.plans import stages
+
+    path = str(tmp_path / "t")
+    spark.range(500).selectExpr("id % 2 as part", "cast(id % 37 as double) as x", "id as y", "if(id % 5 = 0, null, concat('v', id % 3)) as z").write.parquet(path)
+    frame = spark.read.parquet(path)
+    merged = stages.handoff(sk.merge_sketches(sk.sketch_columns(frame.withColumn("_p", F.col("part")), "x", by=["_p"])))
+    before = len(stages._WRITTEN)
+    got = ql.data_quality_report(frame, "x", decimals=6, sketches=merged)
+    given = len(stages._WRITTEN) - before
+    want = ql.data_quality_report(frame, "x", decimals=6)
+    assert got.collect() == want.collect()
+    assert given == len(stages._WRITTEN) - before - given - 1
