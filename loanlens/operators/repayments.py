@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loanlens.functions import constants as K
 from loanlens.operators.delinquency import beside_paid, dpd, paid_payments
 from loanlens.operators.ordering import position_in
-from loanlens.operators.relational import same_id
+from loanlens.operators.relational import heavy_keys, light_and_heavy, same_id
 from loanlens.plans.stages import handoff
 from loanlens.sources.catalog import Sources, active, lit_date, require
 
@@ -98,7 +98,11 @@ def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None
     # DENSE_RANK over a loan's distinct due dates with a surviving payment: one
     # row per (loan, due date), so the window holds a loan's schedules, not its
     # payments (bounded by its tenor, an input contract); the payments only pass
-    # through a join, which AQE can split when a loan is hot
+    # through a join, which AQE can split when a loan is hot. Written rows tell
+    # which loans hold so many payments; those of the others meet in one window
+    light = None
+    if stage and not spread:
+        light, rows = light_and_heavy(rows, heavy_keys(rows, "loan_id"), "loan_id")
     dates = rows.select("loan_id", "due_date").distinct()
     if spread:
         ranks = position_in(dates, ["loan_id"], ["due_date"], "_at").select("loan_id", "due_date", (F.col("_at") + 1).cast("int").alias("installment_number"))
@@ -107,6 +111,9 @@ def repayment_fact(src: Sources, as_of, ordered: bool = False, stage: str | None
         ranks = dates.select("*", F.row_number().over(w).alias("installment_number"))
     ranks = ranks.select(F.col("loan_id").alias("_loan"), F.col("due_date").alias("_due"), "installment_number")
     fact = rows.join(ranks, (rows["loan_id"] == ranks["_loan"]) & rows["due_date"].eqNullSafe(ranks["_due"])).select(*names)
+    if light is not None:
+        place = F.dense_rank().over(Window.partitionBy("loan_id").orderBy("due_date"))
+        fact = light.withColumn("installment_number", place).select(*names).unionByName(fact)
     if ordered:
         fact = fact.orderBy("user_id", "loan_id", "installment_number", "repaid_date")
     return fact
@@ -250,6 +257,26 @@ def balances_of_split(rows: DataFrame, fact_columns: list[str], next_vendor: boo
     )
 
 
+def loan_balances(rows: DataFrame, fact_columns: list[str], heavy: DataFrame, next_vendor: bool = False) -> DataFrame:
+    """`balances_of_split` for rows of `with_principal`: a loan's payments meet in
+    one window, except those of the `heavy` loans (`heavy_keys`), which are split
+    by day. Payments without a loan are left out, as there."""
+    light, split = light_and_heavy(rows, heavy, "loan_id")
+    order = Window.partitionBy("loan_id").orderBy(*loan_order(rows.columns))
+    paid = F.col("paid_principal")
+    total = F.sum(paid).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    light = light.where(F.col("loan_id").isNotNull()).select(
+        "*", F.when(paid.isNotNull(), total).alias("cumulative_paid_principal"),
+        *([F.lead("vendor_id").over(order).alias("next_vendor")] if next_vendor else []),
+    ).withColumn("osbal_after", F.col("ln_original_principal") - F.col("cumulative_paid_principal"))
+    light = light.select(
+        *fact_columns, "ln_original_principal", "cumulative_paid_principal", "osbal_after",
+        F.coalesce(F.lag("osbal_after").over(order), F.col("ln_original_principal")).alias("osbal_before"),
+        *(["next_vendor"] if next_vendor else []),
+    )
+    return light.unionByName(balances_of_split(split_by_day(split), fact_columns, next_vendor))
+
+
 def _next_in_day(in_day):
     """The next row's vendor; of a day's last row that of the next day."""
     is_last = F.lead(F.lit(1)).over(in_day).isNull()

@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanlens.operators import prep as pr
+from loanlens.operators import relational as rl
 from loanlens.operators import repayments as rp
 from loanlens.operators.repayments import FACT_COLUMNS
 from loanlens.plans import registry
 from loanlens.sources import Sources
+from loanlens.sources.testdata import adapter_sources
 
 AS_OF = "2024-06-01"
 FACT = ("user_id long, loan_id long, installment_number int, vendor_id string, subfamily string, repaid_date date, due_date date, "
@@ -96,3 +98,52 @@ def test_labels_read_a_written_base(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     leaves = [line for line in plan.splitlines() if "Relation [" in line]
     assert leaves and all("obs_end" in line for line in leaves)
+
+
+def _loans(spark):
+    """Payments with principal, some without a loan."""
+    rows = _fact(spark).withColumn("ln_original_principal", F.lit(1000).cast("decimal(18,2)"))
+    return rows.unionByName(rows.limit(3).withColumn("loan_id", F.lit(None).cast("long")))
+
+
+@pytest.mark.parametrize("least, named", [(5, 5), (1000, 0)])
+def test_loans_in_one_window_equal_loans_by_day(spark, least, named):
+    rows = _loans(spark)
+    heavy = rl.heavy_keys(rows, "loan_id", least)
+    assert heavy.count() == named
+    whole = rp.balances_of_split(rp.split_by_day(rows), FACT_COLUMNS, next_vendor=True)
+    got = rp.loan_balances(rows, FACT_COLUMNS, heavy, next_vendor=True)
+    assert got.schema.simpleString() == whole.schema.simpleString()
+    assert got.count() == 60 and sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_heavy_and_light_loans_meet(spark):
+    rows = _loans(spark)
+    some = spark.createDataFrame([(1,), (3,)], "loan_id long")
+    whole = rp.balances_of_split(rp.split_by_day(rows), FACT_COLUMNS, next_vendor=True)
+    assert sorted(map(str, rp.loan_balances(rows, FACT_COLUMNS, some, next_vendor=True).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_balances_of_light_loans_take_one_shuffle(spark, tmp_path):
+    _loans(spark).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    assert _shuffles(rp.loan_balances(rows, FACT_COLUMNS, rl.heavy_keys(rows, "loan_id"), next_vendor=True)) == 1
+
+
+def test_fact_ranks_of_a_written_fact(spark, tmp_path):
+    apart = rp.repayment_fact(_sources(spark), AS_OF)
+    written = rp.repayment_fact(_sources(spark), AS_OF, stage=str(tmp_path / "rows"))
+    assert written.schema.simpleString() == apart.schema.simpleString()
+    assert sorted(map(str, written.collect())) == sorted(map(str, apart.collect()))
+
+
+@pytest.mark.parametrize("name, key", [("repayment_schedules", "payment_response_id"), ("customer_repayment_responses", "txn_id")])
+def test_lending_tables_come_dealt_by_their_key(spark, name, key):
+    """What groups a schedule by loan, or joins a response by transaction, shuffles no second time."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
+    try:
+        table = adapter_sources(spark, "/root/testdata/sf0.001").table(name)
+        assert _shuffles(table.groupBy(key).count()) <= 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
