@@ -11,6 +11,7 @@ from loanlens.operators import relational as rl
 from loanlens.operators import repayments as rp
 from loanlens.operators.repayments import FACT_COLUMNS
 from loanlens.plans import registry
+from loanlens.session import bounded_tasks
 from loanlens.sources import Sources
 from loanlens.sources.testdata import adapter_sources
 
@@ -147,3 +148,14 @@ def test_lending_tables_come_dealt_by_their_key(spark, name, key):
         assert _shuffles(table.groupBy(key).count()) <= 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_task_sizes_are_bounded_unless_the_session_says(spark):
+    size, number = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    mine = spark.newSession()
+    bounded_tasks(mine)
+    assert mine.conf.get(size) == "16m" and int(mine.conf.get(number)) == 4 * int(mine.conf.get("spark.sql.shuffle.partitions"))
+    own = spark.newSession()
+    own.conf.set(size, "8m")
+    bounded_tasks(own)
+    assert own.conf.get(size) == "8m" and own.conf.get(number, None) is None
