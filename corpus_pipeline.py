@@ -17,12 +17,13 @@ operator's docstring says.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loanlens.llm import decontamination, jaccard_join, line_dedup, packing, quality_classifier
-from loanlens.llm.common import staged
+from loanlens.llm.common import bounded_batches, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,22 +32,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _bounded(stage: Stage) -> Stage:
+    """The stage with Arrow batches of a bounded size: executors live through all
+    stages, and what large batches once took is not given back."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_bounded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_quality(docs, _table(spark, sf_dir, "labels"))
 
 
+@_bounded
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.clean_documents(docs)
 
 
+@_bounded
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.one_per_component(docs)
 
 
+@_bounded
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
+@_bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 

@@ -65,3 +65,28 @@ def test_run_equals_the_stages(spark, folder):
     got = corpus_pipeline.run(spark, path)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert got.count() > 0
+
+
+def test_stages_take_small_batches(spark, monkeypatch):
+    """A stage's tasks see batches of some MB, however many long texts a partition holds."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([batch.nbytes], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('word ', 100000) as text")
+    monkeypatch.setattr(corpus_pipeline, "_table", lambda *_: None)
+    for module, function in [("quality_classifier", "keep_quality"), ("line_dedup", "clean_documents"), ("jaccard_join", "one_per_component"),
+                             ("decontamination", "decontaminate"), ("packing", "pack_documents")]:
+        monkeypatch.setattr(getattr(corpus_pipeline, module), function, lambda found, *_: found.mapInArrow(sizes, "size long"))
+    before = spark.conf.get(name, None)
+    try:
+        for stage_name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(name)
+            found = [r.size for r in stage(spark, docs, "").collect()]
+            assert sum(found) >= 20_000_000 and max(found) < 8_000_000, stage_name
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
