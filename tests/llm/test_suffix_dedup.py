@@ -71,3 +71,21 @@ def test_thousands_of_equal_rows_have_the_spans_of_one(corpus):
     assert len(spans) == len(set(spans)) <= len(body)
     out = got(remove_repeats(corpus(rows), 40))
     assert Counter(out) == Counter(brute(rows[-4:], 40)) + Counter({x: 2998 for x in out if x[0] is None})
+
+
+def test_contract_length_decides_on_planted_passages(corpus):
+    """Passages of over 50 words: removed from 400 equal bytes on, left alone below; a shorter `length` finds them all."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    short, long = prose(55), prose(57) + "!!"
+    assert (len(short), len(long)) == (384, 400)
+    # no two rows have the same byte before or after their passage; ids 3 to 5 share all but the last byte of `long`
+    passages = [short] * 3 + [long[:-1]] * 3 + [long] * 3
+    rows = [(k, f"{prose(30)}{chr(65 + k)}{p}{chr(65 + k)}{prose(30)}") for k, p in enumerate(passages)]
+    rows += [(100 + i, prose(150)) for i in range(3)]
+    result = got(remove_repeats(corpus(rows)))
+    assert result == brute(rows, 400)
+    assert {r[0]: r[2:4] for r in result if r[2]} == {6: (400, 1), 7: (400, 1), 8: (400, 1)}
+    at_250 = {r[0]: r[2] for r in got(remove_repeats(corpus(rows), 250))}
+    assert at_250 == {**{k: len(p) for k, p in enumerate(passages[:6])}, 6: 400, 7: 400, 8: 400, 100: 0, 101: 0, 102: 0}
