@@ -164,3 +164,67 @@ def test_exact_report_from_given_sketches(spark, tmp_path):
     want = ql.data_quality_report(frame, "x", decimals=6)
     assert got.collect() == want.collect()
     assert given == len(stages._WRITTEN) - before - given - 1
+
+
+def test_exact_report_makes_no_sketches(spark, monkeypatch):
+    """Of 30 numeric columns of every kind: the exact report groups, sums and ranks
+    them without sketches, and equals plain aggregates."""
+    import pytest
+
+    from loanlens.operators import quality as ql
+    from loanlens.operators import sketches as sk
+
+    kinds = ["bigint", "decimal(18,2)", "double", "float", "boolean", "int"]
+    exprs = [f"cast(if(id % {i + 2} = 0, null, (id * {i + 7}) % {2 + i * i} - {i}) as {kinds[i % 6]}) as c{i}" for i in range(30)]
+    df = spark.range(3000).selectExpr("id % 2 as t", *exprs, "concat('v', id % 9) as s", "cast(null as int) as gone")
+
+    def never(*args, **kwargs):
+        raise AssertionError("sketched")
+
+    monkeypatch.setattr(sk, "sketch_columns", never)
+    got = {r["Column"]: r for r in ql.data_quality_report(df, "t").collect()}
+    frame = df.toPandas()
+    assert list(got) == df.columns
+    for name in [c for c in df.columns if c not in ("s", "gone")]:
+        x, y, r = frame[name].dropna().astype(float), frame["t"], got[name]
+        assert (r["Missing Values"], r["Unique Values"]) == (3000 - len(x), x.nunique()), name
+        want = [x.min(), x.max(), x.mean(), x.median(), x.std(), *x.quantile([0.25, 0.75])]
+        assert [r[c] for c in ("Min", "Max", "Mean", "Median", "Std Dev", "25% Quantile", "75% Quantile")] == pytest.approx(want), name
+        assert float(r["Mode"]) == pytest.approx(x.mode().min()) and r["Mode Percentage"] == pytest.approx((x == x.mode().min()).sum() / 30), name
+        if x.std() > 0 and name != "t":
+            assert r["Correlation with t"] == pytest.approx(x.corr(y[x.index].astype(float)), abs=1e-12), name
+    assert (got["s"]["Unique Values"], got["s"]["Mode"], got["s"]["Min"]) == (9, "v0", None)
+    assert (got["gone"]["Missing Values"], got["gone"]["Unique Values"], got["gone"]["Mode"], got["gone"]["Median"]) == (3000, 0, None, None)
+
+
+def test_sums_of_many_columns_are_compiled(spark):
+    """Every aggregate over the rows is part of a compiled stage, however many columns."""
+    from loanlens.operators import sketches as sk
+
+    df = spark.range(100).selectExpr(*[f"if(id % 7 = {i}, null, cast(id as double)) as c{i}" for i in range(20)],
+                                     *[f"if(id % 7 = {i}, null, cast(id as string)) as s{i}" for i in range(60)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = sk.sum_columns(df, "c0")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    partial = [line for line in plan.splitlines() if "HashAggregate" in line and "partial_" in line]
+    assert len(partial) == 9 and all("*(" in line.split("HashAggregate")[0] for line in partial)
+
+
+def test_bitmaps_and_selection_equal_groups(spark, monkeypatch):
+    """Given small sketches, so that bounds miss, the exact report equals the one without."""
+    import random
+
+    from loanlens.operators import quality as ql
+    from loanlens.operators import sketches as sk
+    from loanlens.plans.stages import handoff
+
+    monkeypatch.setattr(ql, "FEW", 500)
+    rng = random.Random(11)
+    n = 4000
+    rows = [(i + 5, rng.randrange(-2000, 2000), 77 if rng.random() < 0.3 else rng.randrange(5000), rng.gauss(0, 1), rng.choice([1, 2, 2, None])) for i in range(n)]
+    frame = handoff(spark.createDataFrame(rows, "ids bigint, filled bigint, heavy bigint, frac double, few bigint").repartition(4))
+    sketches = handoff(sk.sketch_columns(frame, "few", k=sk.k_for(1 / 20)))
+    given = ql.data_quality_report(frame, "few", decimals=6, accuracy=20, sketches=sketches).collect()
+    assert given == ql.data_quality_report(frame, "few", decimals=6).collect()
